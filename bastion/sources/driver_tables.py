@@ -29,7 +29,7 @@ CACHE_SPACING_S = 60
 
 def pick(values: list[str], idx: Column) -> Column:
     """``values[idx]`` for a non-negative integer column (0-based)."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx % len(values)).cast("int") + 1)
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.pmod(idx, F.lit(len(values))).cast("int") + 1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,7 @@ def chunks_from_documents(documents: DataFrame) -> DataFrame:
 def user_role(conv_id: Column) -> Column:
     """Raw role as a client sends it: mixed case and padding for odd ids, to exercise normalisation."""
     r = pick(USER_ROLES, conv_id)
-    return F.when(conv_id % 2 == 1, F.concat(F.lit(" "), F.upper(r), F.lit(" "))).otherwise(r)
+    return F.when(F.pmod(conv_id, F.lit(2)) == 1, F.concat(F.lit(" "), F.upper(r), F.lit(" "))).otherwise(r)
 
 
 def chat_queries(conversations: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def _sql_list(values: list[str]) -> str:
 
 
 def sql_pick(values: list[str], idx: str) -> str:
-    return f"{_sql_list(values)}[(({idx}) % {len(values)}) + 1]"
+    return f"{_sql_list(values)}[((({idx}) % {len(values)}) + {len(values)}) % {len(values)} + 1]"
 
 
 def sql_cost(tokens: str, model: str) -> str:
@@ -150,7 +150,7 @@ SQL = {
   FROM documents)""",
     "chat_queries": f"""chat_queries AS (
   SELECT conv_id, turn, 'user' || CAST(conv_id AS VARCHAR) AS username,
-         CASE WHEN conv_id % 2 = 1 THEN ' ' || upper({sql_pick(USER_ROLES, "conv_id")}) || ' '
+         CASE WHEN ((conv_id % 2) + 2) % 2 = 1 THEN ' ' || upper({sql_pick(USER_ROLES, "conv_id")}) || ' '
               ELSE {sql_pick(USER_ROLES, "conv_id")} END AS role,
          text AS query
   FROM conversations WHERE role = 'user')""",
