@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import guard
+from . import access, guard
 
-MODULES = [guard]
+MODULES = [guard, access]
 
 
 def queries():
