@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import access, guard
+from . import access, guard, monitor
 
-MODULES = [guard, access]
+MODULES = [guard, access, monitor]
 
 
 def queries():
