@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import access, guard, monitor
+from . import access, evaluation, guard, monitor
 
-MODULES = [guard, access, monitor]
+MODULES = [guard, access, monitor, evaluation]
 
 
 def queries():
