@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import access, evaluation, guard, monitor
+from . import access, evaluation, guard, monitor, vectors
 
-MODULES = [guard, access, monitor, evaluation]
+MODULES = [guard, access, monitor, evaluation, vectors]
 
 
 def queries():
