@@ -24,10 +24,22 @@ NEVER = "(?!)"  # a regex that matches nothing
 # PII
 # ---------------------------------------------------------------------------
 
+def pii_any(text: Column | str, unicode: bool = True) -> Column:
+    """True iff any PII pattern matches: one combined scan (alternation of all types).
+
+    "Some alternative matches somewhere" is exactly "some pattern matches", so this
+    is a safe prefilter; clean rows — nearly all of them — skip the per-type scans.
+    """
+    combined = "|".join(f"(?:{p})" for _, p in L.PII_PATTERNS)
+    return col_of(text).rlike(py_regex(combined, unicode))
+
+
 def pii_hits(text: Column | str, unicode: bool = True) -> Column:
     """Struct of one boolean per PII type: at least one match in ``text``."""
     t = col_of(text)
-    return F.struct(*[t.rlike(py_regex(p, unicode)).alias(name) for name, p in L.PII_PATTERNS])
+    anyhit = pii_any(t, unicode)
+    return F.struct(*[F.when(anyhit, t.rlike(py_regex(p, unicode))).otherwise(F.lit(False)).alias(name)
+                      for name, p in L.PII_PATTERNS])
 
 
 def pii_detected(hits: Column) -> Column:
@@ -42,13 +54,15 @@ def pii_redact(text: Column | str, hits: Column, unicode: bool = True) -> Column
     what makes a 10-digit number starting 6-9 show only the PHONE_US token. The
     condition picks the pattern (a never-matching one otherwise) instead of
     branching on the running text, so the expression stays linear in the number
-    of types rather than doubling per type.
+    of types rather than doubling per type. Rows with no hit skip the chain.
     """
     cur = col_of(text)
+    anyhit = None
     for name, p in L.PII_PATTERNS:
         pat = F.when(hits[name], F.lit(py_regex(p, unicode))).otherwise(F.lit(NEVER))
         cur = F.regexp_replace(cur, pat, F.lit(f"[REDACTED_{name}]"))
-    return cur
+        anyhit = hits[name] if anyhit is None else (anyhit | hits[name])
+    return F.when(anyhit, cur).otherwise(col_of(text))
 
 
 def pii_findings(text: Column | str, unicode: bool = True) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import access, evaluation, guard, monitor, vectors
+from . import access, evaluation, guard, monitor, pipelines, vectors
 
-MODULES = [guard, access, monitor, evaluation, vectors]
+MODULES = [guard, access, monitor, evaluation, vectors, pipelines]
 
 
 def queries():

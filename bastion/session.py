@@ -50,3 +50,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set(CHECKPOINT_KEY, path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Cut lineage at a fan-out point with a reliable checkpoint.
+
+    Data goes to the shared ``spark.checkpoint.dir`` (never a machine-local folder
+    or a local checkpoint), so a lost executor does not force recomputation of the
+    upstream plan, and branches that read the result do not each replay it.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

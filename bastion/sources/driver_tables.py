@@ -32,8 +32,26 @@ def pick(values: list[str], idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), F.pmod(idx, F.lit(len(values))).cast("int") + 1)
 
 
+TEXT_TABLES = {"documents", "conversations", "pages", "benchmark"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Make a CPU-heavy scan use the whole cluster.
+
+    Regex guards and chunking cost far more per byte than the read. A file written
+    as one row group scans as one task; then the rows are dealt round-robin over
+    ``defaultParallelism`` partitions. Large inputs already have at least that many
+    splits, and are returned untouched (no extra shuffle).
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
 
 
 def doc_namespace(source: Column) -> Column:
