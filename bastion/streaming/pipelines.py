@@ -85,7 +85,7 @@ def cache_replay_stream(log: DataFrame, watermark: str = "1 hour", shard: str =
     """
     src = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).select(
         "query_id", "role", F.col("vec").cast("array<double>").alias("vec"),
-        F.unix_micros("ts").alias("ts_us"), F.col(shard).cast("string").alias("shard"))
+        F.unix_micros("ts").alias("ts_us"), F.col(shard).cast("string").alias("shard"), "ts")
 
     def fn(key, pdfs, state):
         if state.hasTimedOut:
