@@ -57,3 +57,38 @@ QUERIES = {
     "p1_metrics_sink": p1_metrics_sink,
 }
 ORACLE: dict[str, str] = {}
+
+
+# -- S4/S5: tagging and chunk-metadata upsert over documents -------------------------
+def _meta(spark, sf, ts):
+    from ..operators.ingest import fixed_chunks
+    d = chunks_from_documents(table(spark, sf, "documents")).select("doc_id", "text", "file_name", "namespace")
+    ch = fixed_chunks(d)
+    return ch.select("chunk_id", "file_name", F.col("namespace").alias("role"), F.col("namespace").alias("department"),
+                     F.col("file_name").alias("source"), F.lit(ts).cast("timestamp_ntz").alias("indexed_at"), "doc_id")
+
+
+def s5_doc_chunks_upsert(spark, sf):
+    """A first ingest of every document, then a re-ingest of the labelled ones: last write wins."""
+    from ..sources.sinks import upsert_latest
+    first = _meta(spark, sf, "2024-01-01 00:00:00")
+    again = _meta(spark, sf, "2024-01-02 00:00:00").join(
+        table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    out = upsert_latest(first, again)
+    return out.select("chunk_id", "file_name", "department", F.date_format("indexed_at", "yyyy-MM-dd").alias("day"))
+
+
+def _s5_sql():
+    from ..sources.driver_tables import with_sql
+    return with_sql("chunks") + """
+, s AS (SELECT doc_id, file_name, unnest(generate_series(1, greatest(1, length(text) - 50), 450)) AS start
+  FROM chunks WHERE length(text) > 0),
+c AS (SELECT doc_id, file_name, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS pos FROM s),
+m AS (SELECT sha256(CAST(doc_id AS VARCHAR) || '|' || CAST(pos AS VARCHAR)) AS chunk_id, file_name, doc_id FROM c)
+SELECT m.chunk_id, m.file_name, ch.namespace AS department,
+  CASE WHEN m.doc_id IN (SELECT doc_id FROM labels) THEN '2024-01-02' ELSE '2024-01-01' END AS day
+FROM m JOIN chunks ch USING (doc_id)"""
+
+
+QUERIES["s5_doc_chunks_upsert"] = s5_doc_chunks_upsert
+ORACLE["s5_doc_chunks_upsert"] = _s5_sql()
