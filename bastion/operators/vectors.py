@@ -162,15 +162,14 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, *, q_id: str, i_id:
     ``q_time``/``i_time``/``max_age_s``: keep items with ``0 < q_time - i_time <
     max_age_s`` (cache TTL semantics). ``min_score``: keep only ``score >
     min_score`` (strict). Scores are rounded to ``digits`` before ranking.
-    Block counts come from row counts (two cheap count jobs unless given).
+    Item blocks per key come from a per-key count aggregate; the query-block count
+    from one cheap count job (unless ``n_queries`` is given).
     Returns (q_id, i_id, score, rank).
     """
     if q_id == i_id:
         raise ValueError("q_id and i_id must differ; rename one side for a self-join")
     tie = tie or i_id
-    n_items = items.count() if n_items is None else n_items
     n_queries = queries.count() if n_queries is None else n_queries
-    nib = max(1, math.ceil(n_items / item_block_rows))
     nqb = max(1, math.ceil(n_queries / query_block_rows))
     timed = max_age_s is not None
     tie_col = F.col(tie)
@@ -183,10 +182,16 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, *, q_id: str, i_id:
     if timed:
         qcols.append(_ts_us(F.col(q_time)).alias("__ts"))
         icols.append(_ts_us(F.col(i_time)).alias("__ts"))
-    q = queries.select(*qcols).withColumn("__qb", F.pmod(F.xxhash64("__q"), F.lit(nqb))) \
-        .withColumn("__ib", F.explode(F.sequence(F.lit(0), F.lit(nib - 1))))
-    i = items.select(*icols).withColumn("__ib", F.pmod(F.xxhash64("__i"), F.lit(nib))) \
-        .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))))
+    i0 = items.select(*icols)
+    # Item blocks are sized per key from a per-key count (a partial aggregate, one row
+    # per key): a hot key gets many blocks, a small key one, and each query is copied
+    # only to the blocks of the keys it may read — replication follows the work.
+    blocks = i0.groupBy("__k").agg(F.count(F.lit(1)).alias("__n")).select(
+        "__k", F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(item_block_rows))).cast("int").alias("__nb"))
+    q = queries.select(*qcols).join(blocks, "__k").withColumn("__qb", F.pmod(F.xxhash64("__q"), F.lit(nqb))) \
+        .withColumn("__ib", F.explode(F.sequence(F.lit(0), F.col("__nb") - 1))).drop("__nb")
+    i = i0.join(blocks, "__k").withColumn("__ib", F.pmod(F.xxhash64("__i"), F.col("__nb")).cast("int")) \
+        .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1)))).drop("__nb")
     if not timed:
         q = q.withColumn("__ts", F.lit(0).cast("long"))
         i = i.withColumn("__ts", F.lit(0).cast("long"))
