@@ -146,19 +146,35 @@ def replay_shard(pdf: pd.DataFrame, ttl_s: float, threshold: float, max_size: in
 
 def replay(log: DataFrame, *, shard: str = "shard", ttl_s: float = L.CACHE_TTL_SECONDS,
            threshold: float = L.CACHE_THRESHOLD, max_size: int = L.CACHE_MAX_SIZE) -> DataFrame:
-    """Each shard replays its queries in time order (``groupBy(shard).applyInPandas``).
-
-    ``log`` has query_id, role, vec, ts and a shard column. A shard's state is
-    bounded (capacity + TTL) but its query list is processed in one task; choose a
-    shard key with many values (role x LSH bucket, tenant) so no shard holds an
-    outsized share of the log. With one shard the result equals the service's.
+    """Each shard replays its queries in time order; misses are inserted.
+
+    ``log`` has query_id, role, vec, ts and a shard column. Rows are hash-partitioned
+    by shard and sorted within partitions (an external, spillable sort), then
+    streamed through ``mapInPandas`` in Arrow batches. Only the current shard's
+    cache state is held — bounded by capacity and TTL — and it is carried from batch
+    to batch, so a shard's log is never collected into memory, however large.
+    A shard is still one sequential stream (each lookup depends on earlier misses);
+    use a shard key with many values (role x LSH bucket, tenant) for parallelism.
+    With one shard the result equals the service's.
     """
     src = log.select("query_id", "role", F.col("vec").cast("array<double>").alias("vec"),
                      F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.col(shard).cast("string")
                      .alias("shard"))
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, _ = replay_shard(pdf, ttl_s, threshold, max_size)
-        return out
-
-    return src.groupBy("shard").applyInPandas(fn, REPLAY_SCHEMA)
+    src = src.repartition(F.col("shard")).sortWithinPartitions("shard", "ts_us", "query_id")
+
+    def fn(batches):
+        cur_shard, state = None, None
+        for pdf in batches:
+            outs = []
+            # rows arrive sorted by (shard, time): each shard is one contiguous run
+            starts = (pdf["shard"] != pdf["shard"].shift()).cumsum()
+            for _, g in pdf.groupby(starts, sort=False):
+                sh = g["shard"].iat[0]
+                if sh != cur_shard:
+                    cur_shard, state = sh, None
+                out, state = replay_shard(g, ttl_s, threshold, max_size, state)
+                outs.append(out)
+            if outs:
+                yield pd.concat(outs, ignore_index=True)
+
+    return src.mapInPandas(fn, REPLAY_SCHEMA)

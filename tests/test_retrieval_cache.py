@@ -133,3 +133,18 @@ def test_replay_equals_sequential(spark):
     log = spark.createDataFrame(rows, "query_id long, role string, vec array<double>, ts timestamp_ntz, shard string")
     r = {x.query_id: x.hit for x in C.replay(log, threshold=0.95).collect()}
     assert r == {0: False, 1: False, 2: True, 3: True, 4: True, 5: True}
+
+
+def test_replay_streams_across_batches(spark):
+    """A shard longer than one Arrow batch keeps its state across batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [(i, "employee", [1.0, 0.0] if i < 5 else [0.0, 1.0], T0 + dt.timedelta(seconds=i), "s" + str(i % 2))
+                for i in range(12)]
+        log = spark.createDataFrame(rows, "query_id long, role string, vec array<double>, ts timestamp_ntz, "
+                                          "shard string")
+        r = {x.query_id: x.hit for x in C.replay(log, threshold=0.95).collect()}
+        # per shard: the first query of each vector direction misses, later ones hit
+        assert [q for q, h in sorted(r.items()) if not h] == [0, 1, 5, 6]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
