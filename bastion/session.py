@@ -32,6 +32,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -61,3 +62,25 @@ def materialize(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``bastion`` importable in Python workers (pandas kernels refer to it).
+
+    Zips the package once per application and registers it with ``addPyFile``;
+    Spark copies it to every executor. On a cluster, ``--py-files`` does the same.
+    """
+    import shutil
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="bastion-pkg-")
+    zip_path = shutil.make_archive(os.path.join(out, "bastion"), "zip", os.path.dirname(pkg_dir), "bastion")
+    sc.addPyFile(zip_path)
+    _SHIPPED.add(app)

@@ -148,3 +148,32 @@ def test_replay_streams_across_batches(spark):
         assert [q for q, h in sorted(r.items()) if not h] == [0, 1, 5, 6]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_plugins(spark):
+    from bastion.operators.plugins import model_embedder, pair_scorer
+
+    # loaders are local so they ship by value to the Python workers
+    def _toy_embedder():
+        def model(texts):
+            return [[t.count("a") + 1.0, t.count("b") + 1.0, len(t) + 1.0] for t in texts]
+        return model
+
+    def _overlap_scorer():
+        def model(pairs):
+            return [float(len(set(q.split()) & set(t.split()))) for q, t in pairs]
+        return model
+
+    def _broken_scorer():
+        raise RuntimeError("Model error")
+
+    df = spark.createDataFrame([(1, "aab"), (2, "")], "id long, text string")
+    v = model_embedder(_toy_embedder)(df, "text").orderBy("id").collect()
+    assert v[0].vec == [3.0, 2.0, 4.0] and v[1].vec == [1.0, 1.0, 1.0]
+    cand = spark.createDataFrame([(1, "leave policy", f"D{i}", t, i + 1) for i, t in
+                                  enumerate(["x", "leave", "leave policy", "y", "z"])],
+                                 "query_id long, safe_query string, chunk_id string, text string, retrieval_rank int")
+    good = R.rerank(pair_scorer(_overlap_scorer)(cand), 2).orderBy("rank").collect()
+    assert [r.chunk_id for r in good] == ["D2", "D1"]
+    bad = R.rerank(pair_scorer(_broken_scorer)(cand), 2).orderBy("rank").collect()
+    assert [r.chunk_id for r in bad] == ["D0", "D1"]
