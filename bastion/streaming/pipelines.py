@@ -101,3 +101,17 @@ def cache_replay_stream(log: DataFrame, watermark: str = "1 hour", shard: str =
 
     return src.groupBy("shard").applyInPandasWithState(fn, REPLAY_SCHEMA, STATE_SCHEMA, "append",
                                                        GroupStateTimeout.EventTimeTimeout)
+
+
+def fill_trend(trend: DataFrame, bucket_minutes: int = 5) -> DataFrame:
+    """P5 read side: gap-fill the appended buckets (A10 NULL latency, A11 0.0 cost).
+
+    Append mode writes only non-empty buckets; the reader joins them to the
+    contiguous bucket range, whose size is set by the time span, not the rows.
+    """
+    span = trend.agg(F.min("bucket_start").alias("lo"), F.max("bucket_start").alias("hi"))
+    grid = span.select(F.explode(F.sequence("lo", "hi", F.make_interval(mins=F.lit(bucket_minutes))))
+                       .alias("bucket_start"))
+    out = grid.join(trend, "bucket_start", "left")
+    return out.withColumn("total_cost_usd", F.coalesce(F.col("total_cost_usd"), F.lit(0.0))) \
+        .withColumn("queries", F.coalesce(F.col("queries"), F.lit(0)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from bastion.operators.ingest import fixed_chunks, split_text
 from bastion.plans.ingest import ingest
 from bastion.sources.sinks import upsert_latest
-from bastion.streaming.pipelines import cache_replay_stream, guard_stream, monitor_frames
+from bastion.streaming.pipelines import cache_replay_stream, fill_trend, guard_stream, monitor_frames, monitor_stream
 
 
 def _corpus(root):
@@ -101,3 +101,27 @@ def test_cache_replay_stream(spark):
     q.awaitTermination(180)
     got = {r.query_id: r.hit for r in spark.sql("select * from replay_t").collect()}
     assert got == {0: False, 1: True, 2: True, 3: True}
+
+
+def test_monitor_stream_equals_batch(spark):
+    """Closed buckets written by the stream, gap-filled at read, equal the batch trends."""
+    from bastion.operators.monitoring import cost_trend, latency_trend
+    d = tempfile.mkdtemp(prefix="bastion-mon2-")
+    t0 = dt.datetime(2024, 1, 1)
+    mins = [1, 3, 12, 13, 31, 44, 46, 300]  # the last row only advances the watermark
+    sch = "id long, ts timestamp_ntz, latency_ms double, cost_usd double, model_used string"
+    rows = [(i, t0 + dt.timedelta(minutes=m), float(m), 0.001 * (i + 1), "m" + str(i % 2)) for i, m in enumerate(mins)]
+    spark.createDataFrame(rows, sch).write.parquet(f"{d}/in")
+    src = spark.readStream.schema(sch).parquet(f"{d}/in")
+    q1, q2 = monitor_stream(src, f"{d}/trend", f"{d}/models", f"{d}/ck", watermark="10 minutes")
+    q1.awaitTermination(120)
+    q2.awaitTermination(120)
+    streamed = fill_trend(spark.read.parquet(f"{d}/trend"))
+    got = {r.bucket_start.replace(tzinfo=None): (r.avg_latency_ms, round(r.total_cost_usd, 6))
+           for r in streamed.collect()}
+    batch = spark.createDataFrame(rows[:-1], sch)
+    as_of = t0 + dt.timedelta(hours=1)
+    lat = {r.bucket: r.avg_latency_ms for r in latency_trend(batch, 24, as_of=as_of).collect()}
+    cost = {r.bucket: round(r.total_cost_usd, 6) for r in cost_trend(batch, 24, as_of=as_of).collect()}
+    want = {b: (lat[b], cost[b]) for b in lat}
+    assert got == want
