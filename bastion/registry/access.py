@@ -168,3 +168,14 @@ ORACLE = {
     "t3_tokens": _t3_sql(),
     "t4_cost": _t4_sql(),
 }
+
+
+def r2_single_role_filter(spark, sf):
+    """R2 for one fixed role: an ``isin`` on namespace (prunes department partitions when stored so)."""
+    chunks = chunks_from_documents(table(spark, sf, "documents")).select("doc_id", "namespace")
+    return A.namespace_filter(chunks, " Finance ").select("doc_id", "namespace")
+
+
+QUERIES["r2_single_role_filter"] = r2_single_role_filter
+ORACLE["r2_single_role_filter"] = with_sql("chunks") + \
+    "SELECT doc_id, namespace FROM chunks WHERE namespace IN ('finance', 'general')"

@@ -173,3 +173,14 @@ ORACLE = {
     "e9_summary": _e9_sql(),
     "e9_summary_by_domain": _e9_sql("domain"),
 }
+
+
+def p3_eval_report(spark, sf):
+    """The JSON-report row (S10 shape); the per-question list is reported by its length."""
+    rep = EV.report(EV.per_question(_scored(spark, sf)), mode="live")
+    return rep.select("total_questions", "avg_faithfulness", "avg_answer_relevancy", "avg_context_precision",
+                      "avg_context_recall", "threshold", "passed", F.size("per_question").alias("n_per_question"))
+
+
+QUERIES["p3_eval_report"] = p3_eval_report
+ORACLE["p3_eval_report"] = _e9_sql().replace("FROM perq", ", CAST(count(*) AS INTEGER) AS n_per_question FROM perq")

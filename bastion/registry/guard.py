@@ -248,3 +248,15 @@ ORACLE = {
     "g8_guardrail_events": _g8_events_sql(),
     "g8_forwarded": _g8_fwd_sql(),
 }
+
+
+# -- G4 class-only variant ---------------------------------------------------
+def g4_injection_class(spark, sf):
+    from ..functions.guards import injection_class
+    m = messages(spark, sf)
+    return m.select("conv_id", "turn", injection_class("text").alias("attack_type"))
+
+
+QUERIES["g4_injection_class"] = g4_injection_class
+ORACLE["g4_injection_class"] = (f"WITH {MESSAGES_SQL}\nSELECT conv_id, turn, {D.injection_type('text')} AS attack_type "
+                                f"FROM messages")

@@ -345,3 +345,13 @@ ORACLE = {
     "c4_stats": C4_SQL,
     "c7_near_duplicates": C7_SQL,
 }
+
+
+def v1_boundary_chunks(spark, sf):
+    """Boundary-aware recursive splitting of every document, whole (no oracle: Python splitter)."""
+    from ..operators.ingest import boundary_chunks
+    ch = boundary_chunks(table(spark, sf, "documents").select("doc_id", "text"))
+    return ch.select("doc_id", "pos", "chunk_id", F.length("chunk_text").alias("chunk_len"))
+
+
+QUERIES["v1_boundary_chunks"] = v1_boundary_chunks
