@@ -90,57 +90,83 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+def _select_topk(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, col) candidates holding each row's top-k finite scores, ties at the k-th kept.
+
+    Vectorised: one argpartition per chunk. Only rows whose k-th score is tied with
+    scores outside the partition take an exact per-row path (rare).
+    """
+    m, n = s.shape
+    kk = min(k, n)
+    idx = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
+    kth = np.take_along_axis(s, idx, axis=1).min(axis=1)
+    n_ge = (s >= kth[:, None]).sum(axis=1)
+    simple = (n_ge <= kk) | ~np.isfinite(kth)
+    rows = [np.repeat(np.nonzero(simple)[0], kk)]
+    cols = [idx[simple].ravel()]
+    for r in np.nonzero(~simple)[0]:
+        c = np.nonzero(s[r] >= kth[r])[0]
+        rows.append(np.full(c.size, r))
+        cols.append(c)
+    rr, cc = np.concatenate(rows), np.concatenate(cols)
+    ok = np.isfinite(s[rr, cc])
+    return rr[ok], cc[ok]
+
+
 def _kernel(k: int, digits: int, exclude_self: bool, max_age_us: int | None, min_score: float | None,
-            q_chunk: int = 2048):
+            max_cells: int = 4_000_000):
+    """Block scorer: cosine of every (query, item) pair of the block, top-k per query.
+
+    Queries are processed in chunks of at most ``max_cells`` matrix cells, so a
+    block of 50k x 50k never allocates more than a few tens of MB at a time.
+    """
+    def empty() -> pd.DataFrame:
+        return pd.DataFrame({"__q": pd.Series([], dtype="int64"), "__i": pd.Series([], dtype="int64"),
+                             "score": pd.Series([], dtype="float64"), "__t": pd.Series([], dtype="int64")})
+
     def run(qdf: pd.DataFrame, idf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or idf.empty:
-            return pd.DataFrame({"__q": pd.Series([], dtype="int64"), "__i": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64"), "__t": pd.Series([], dtype="int64")})
+            return empty()
         dim_i = idf["__iv"].map(len).to_numpy()
         d = int(np.bincount(dim_i).argmax())
-        ok_i = dim_i == d
-        idf = idf[ok_i]
-        im = _unit(np.stack(idf["__iv"].to_numpy()).astype(np.float64)) if len(idf) else np.zeros((0, d))
+        idf = idf[dim_i == d]
+        im = _unit(np.stack(idf["__iv"].to_numpy()).astype(np.float64))
         iid = idf["__i"].to_numpy(np.int64)
         itie = idf["__t"].to_numpy(np.int64)
-        itime = idf["__ts"].to_numpy(np.int64) if max_age_us is not None else None
-        out = []
+        itime = idf["__ts"].to_numpy(np.int64)
         qlen = qdf["__qv"].map(len).to_numpy()
-        for start in range(0, len(qdf), q_chunk):
-            part = qdf.iloc[start:start + q_chunk]
-            plen = qlen[start:start + q_chunk]
+        step = max(1, max_cells // max(1, len(idf)))
+        out = []
+        for start in range(0, len(qdf), step):
+            part = qdf.iloc[start:start + step]
+            good = qlen[start:start + step] == d
             qm = np.zeros((len(part), d))
-            good = plen == d
             if good.any():
                 qm[good] = np.stack(part["__qv"].to_numpy()[good]).astype(np.float64)
-            s = np.round(_unit(qm) @ im.T, digits) if len(idf) else np.zeros((len(part), 0))
+            s = np.round(_unit(qm) @ im.T, digits)
             s[~good, :] = 0.0  # unequal length -> similarity 0 (V4)
             qid = part["__q"].to_numpy(np.int64)
-            valid = np.ones_like(s, dtype=bool)
+            valid = np.ones(s.shape, dtype=bool)
             if exclude_self:
                 valid &= qid[:, None] != iid[None, :]
             if max_age_us is not None:
-                qt = part["__ts"].to_numpy(np.int64)
-                age = qt[:, None] - itime[None, :]
+                age = part["__ts"].to_numpy(np.int64)[:, None] - itime[None, :]
                 valid &= (age > 0) & (age < max_age_us)
             if min_score is not None:
                 valid &= s > min_score
-            for r in range(len(part)):
-                cand = np.nonzero(valid[r])[0]
-                if cand.size == 0:
-                    continue
-                sc = s[r, cand]
-                if cand.size > k:
-                    # keep everything tied with the k-th best, then order exactly
-                    kth = np.partition(-sc, k - 1)[k - 1]
-                    keep = -sc <= kth
-                    cand, sc = cand[keep], sc[keep]
-                order = np.lexsort((iid[cand], itie[cand], -sc))[:k]
-                sel = cand[order]
-                out.append(pd.DataFrame({"__q": qid[r], "__i": iid[sel], "score": s[r, sel], "__t": itie[sel]}))
-        if not out:
-            return run(qdf.iloc[0:0], idf.iloc[0:0])
-        return pd.concat(out, ignore_index=True)
+            sm = np.where(valid, s, -np.inf)
+            rr, cc = _select_topk(sm, k)
+            if rr.size == 0:
+                continue
+            sc = sm[rr, cc]
+            order = np.lexsort((iid[cc], itie[cc], -sc, rr))
+            rr, cc, sc = rr[order], cc[order], sc[order]
+            first = np.r_[True, rr[1:] != rr[:-1]]
+            start_of = np.maximum.accumulate(np.where(first, np.arange(rr.size), 0))
+            keep = (np.arange(rr.size) - start_of) < k
+            rr, cc, sc = rr[keep], cc[keep], sc[keep]
+            out.append(pd.DataFrame({"__q": qid[rr], "__i": iid[cc], "score": sc, "__t": itie[cc]}))
+        return pd.concat(out, ignore_index=True) if out else empty()
     return run
 
 

@@ -177,3 +177,17 @@ def test_plugins(spark):
     assert [r.chunk_id for r in good] == ["D2", "D1"]
     bad = R.rerank(pair_scorer(_broken_scorer)(cand), 2).orderBy("rank").collect()
     assert [r.chunk_id for r in bad] == ["D0", "D1"]
+
+
+def test_select_topk_ties_and_sparse():
+    from bastion.operators.vectors import _select_topk
+    inf = -np.inf
+    s = np.array([[0.5, 0.9, 0.5, 0.5, 0.1],      # tie at the k-th value: all 0.5 kept
+                  [inf, 0.2, inf, inf, inf],      # fewer valid than k
+                  [inf, inf, inf, inf, inf],      # none valid
+                  [0.4, 0.3, 0.2, 0.1, 0.0]])
+    rr, cc = _select_topk(s, 2)
+    got = {}
+    for r, c in zip(rr, cc):
+        got.setdefault(int(r), set()).add(int(c))
+    assert got == {0: {0, 1, 2, 3}, 1: {1}, 3: {0, 1}}
