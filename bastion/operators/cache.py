@@ -56,11 +56,14 @@ def enforce_capacity(entries: DataFrame, max_size: int = L.CACHE_MAX_SIZE, shard
                      created_at: str = "created_at", e_id: str = "entry_id") -> DataFrame:
     """Keep the newest ``max_size`` entries per shard (FIFO by created_at).
 
-    Partitioned by shard, never one global window; WindowGroupLimit trims each
-    partition before the shuffle.
+    Per shard it is a ``row_number`` partitioned by shard (WindowGroupLimit trims
+    each partition before the shuffle), never one global window. Without shards
+    it is an ordered limit (TakeOrderedAndProject: per-partition top-n, then merge).
     """
-    w = Window.partitionBy(shard) if shard else Window.partitionBy(F.lit(0))
-    w = w.orderBy(F.col(created_at).desc(), F.col(e_id).desc())
+    order = [F.col(created_at).desc(), F.col(e_id).desc()]
+    if not shard:
+        return entries.orderBy(*order).limit(max_size)
+    w = Window.partitionBy(shard).orderBy(*order)
     return entries.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= max_size).drop("__rn")
 
 

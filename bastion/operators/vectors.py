@@ -179,7 +179,7 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, *, q_id: str, i_id:
                tie: str | None = None, exclude_self: bool = False, q_time: str | None = None,
                i_time: str | None = None, max_age_s: float | None = None, min_score: float | None = None,
                item_block_rows: int = 50_000, query_block_rows: int = 50_000, digits: int = 6,
-               n_items: int | None = None, n_queries: int | None = None) -> DataFrame:
+               n_queries: int | None = None) -> DataFrame:
     """Exact top-k items per query by cosine, computed block by block.
 
     ``q_key``/``i_key``: optional equi key (e.g. namespace); a query may appear in
@@ -212,11 +212,19 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, *, q_id: str, i_id:
     # Item blocks are sized per key from a per-key count (a partial aggregate, one row
     # per key): a hot key gets many blocks, a small key one, and each query is copied
     # only to the blocks of the keys it may read — replication follows the work.
-    blocks = i0.groupBy("__k").agg(F.count(F.lit(1)).alias("__n")).select(
-        "__k", F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(item_block_rows))).cast("int").alias("__nb"))
-    q = queries.select(*qcols).join(blocks, "__k").withColumn("__qb", F.pmod(F.xxhash64("__q"), F.lit(nqb))) \
+    q0 = queries.select(*qcols)
+    if q_key or i_key:
+        blocks = i0.groupBy("__k").agg(F.count(F.lit(1)).alias("__n")).select(
+            "__k", F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(item_block_rows))).cast("int").alias("__nb"))
+        q0 = q0.join(blocks, "__k")
+        i0 = i0.join(blocks, "__k")
+    else:  # keyless search: one block count for everything, no join needed
+        nb = max(1, math.ceil(i0.count() / item_block_rows))
+        q0 = q0.withColumn("__nb", F.lit(nb))
+        i0 = i0.withColumn("__nb", F.lit(nb))
+    q = q0.withColumn("__qb", F.pmod(F.xxhash64("__q"), F.lit(nqb))) \
         .withColumn("__ib", F.explode(F.sequence(F.lit(0), F.col("__nb") - 1))).drop("__nb")
-    i = i0.join(blocks, "__k").withColumn("__ib", F.pmod(F.xxhash64("__i"), F.col("__nb")).cast("int")) \
+    i = i0.withColumn("__ib", F.pmod(F.xxhash64("__i"), F.col("__nb")).cast("int")) \
         .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1)))).drop("__nb")
     if not timed:
         q = q.withColumn("__ts", F.lit(0).cast("long"))
