@@ -82,11 +82,11 @@ def principal_namespaces(principals: DataFrame, chunks: DataFrame, role: str = "
     """
     restricted = principals.where(~is_unrestricted(role)).withColumn(
         namespace, F.explode(allowed_namespaces(role)))
-    # The unrestricted role is keyed to its own row of present namespaces by an equi
-    # key, so the planner sees an ordinary hash join rather than a cartesian product.
-    present = chunks.select(namespace).distinct().withColumn("__u", F.lit(L.UNRESTRICTED_ROLE))
-    unrestricted = principals.where(is_unrestricted(role)).withColumn("__u", norm_role(role)).join(
-        present, "__u", "inner").drop("__u")
+    # The unrestricted role expands to the distinct namespaces present in the chunk
+    # table, read as one array-valued scalar subquery (a partial collect_set, as
+    # many elements as there are namespaces) — an explode, not a join.
+    present = chunks.agg(F.array_sort(F.collect_set(namespace))).scalar()
+    unrestricted = principals.where(is_unrestricted(role)).withColumn(namespace, F.explode(present))
     return restricted.unionByName(unrestricted)
 
 

@@ -36,3 +36,14 @@ def test_global_aggregates_are_partial_first(spark):
 def test_pii_scan_stays_in_codegen(spark):
     p = _plan(E.queries()["g3_pii_redact"](spark, SF_CHECK))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+
+
+THETA_JOINS = {"r4_accessible_counts", "a4_hours_selector"}  # non-equi, broadcast side of <= 7 rows
+
+
+def test_nested_loop_joins_only_for_bounded_theta_joins(spark):
+    for name, fn in E.queries().items():
+        if name.startswith("p1") or name in THETA_JOINS:
+            continue
+        p = _plan(fn(spark, "/root/testdata/sf0.001"))
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
