@@ -84,3 +84,16 @@ def ship_package(spark: SparkSession) -> None:
     zip_path = shutil.make_archive(os.path.join(out, "bastion"), "zip", os.path.dirname(pkg_dir), "bastion")
     sc.addPyFile(zip_path)
     _SHIPPED.add(app)
+
+
+# Settings the operators assume on a large cluster (set them at submit time).
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",                       # runtime re-planning, coalescing
+    "spark.sql.adaptive.skewJoin.enabled": "true",              # split hot join partitions
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",  # target post-shuffle partition size
+    "spark.sql.files.maxPartitionBytes": "256m",                # scan split size (text-heavy tables)
+    "spark.sql.shuffle.partitions": "8000",                     # upper bound; AQE coalesces down
+    "spark.sql.autoBroadcastJoinThreshold": "64m",              # dimension tables only
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",    # pandas kernel batch size
+    "spark.sql.session.timeZone": "UTC",
+}
