@@ -65,3 +65,12 @@ def test_tokens_and_cost(spark):
     assert [x.n for x in r] == [1, 13, 3] and r[0].c == 0.005
     c = df.select(cost_usd(F.lit(500), "m").alias("c")).collect()
     assert c[1].c == 0.0 and c[2].c == 0.000395
+
+
+def test_route_override_map_column(spark):
+    df = spark.createDataFrame(
+        [("What is leave?", "employee", {"simple": "tiny-model"}), ("What is leave?", "employee", {"simple": "  "}),
+         ("What is leave?", "employee", None)],
+        "query string, role string, overrides map<string,string>")
+    r = route(df, override_map="overrides").collect()
+    assert [x.model_name for x in r] == ["tiny-model", "llama-3.1-8b-instant", "llama-3.1-8b-instant"]
