@@ -16,11 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-_MODELS: dict[int, object] = {}
+_MODELS: dict[bytes, object] = {}
 
 
 def _model(load: Callable[[], object]):
-    key = id(load)
+    """The loaded model, cached per worker by the loader's serialized form.
+
+    (Object ids are reused after garbage collection in a long-lived worker, so
+    they cannot identify a loader.)
+    """
+    import hashlib
+
+    from pyspark import cloudpickle
+
+    key = hashlib.sha256(cloudpickle.dumps(load)).digest()
     if key not in _MODELS:
         _MODELS[key] = load()
     return _MODELS[key]
