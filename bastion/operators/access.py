@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import libraries as L
-from ..functions.text import col_of, norm_role
+from ..functions.text import norm_role
 
 
 def role_dim(spark: SparkSession) -> DataFrame:

@@ -26,12 +26,11 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = L.RERANK_CANDIDATES
     Returns (q_id, c_id, score, retrieval_rank).
     """
     q = principal_namespaces(queries.select(q_id, role, q_vec), chunks, role, namespace)
-    fn = block_topk if method == "block" else topk_join
     if method == "block":
         res = block_topk(q, chunks, k, q_id=q_id, i_id=c_id, q_key=namespace, i_key=namespace, q_vec=q_vec,
                          i_vec=c_vec, **kw)
     else:
-        res = fn(q, chunks, k, q_id=q_id, i_id=c_id, key=namespace, q_vec=q_vec, i_vec=c_vec, **kw)
+        res = topk_join(q, chunks, k, q_id=q_id, i_id=c_id, key=namespace, q_vec=q_vec, i_vec=c_vec, **kw)
     return res.withColumnRenamed("rank", "retrieval_rank")
 
 

@@ -8,7 +8,7 @@ from ..functions.routing import complexity, estimate_tokens
 from ..functions.text import norm_role, word_count
 from ..operators import access as A
 from ..operators.routing import route
-from ..sources.driver_tables import (SQL, USER_ROLES, chat_queries, chunks_from_documents, pick, query_metrics,
+from ..sources.driver_tables import (USER_ROLES, chat_queries, chunks_from_documents, pick, query_metrics,
                                      table, vectors, with_sql)
 from . import duck as D
 

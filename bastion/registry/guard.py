@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import libraries as L
 from ..functions.guards import detect_injection, pii_findings, scope_check
-from ..functions.text import sha256_prefix
 from ..operators.guardrails import check_input, check_output, guard_split, with_pii
-from ..sources.driver_tables import SQL, chat_queries, table, user_role
+from ..sources.driver_tables import SQL, chat_queries, table
 from . import duck as D
 
 # Literal rows that hit the patterns the synthetic prose never contains (ASCII only,

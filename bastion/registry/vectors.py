@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import libraries as L
 from ..operators import cache as C
 from ..operators import retrieval as R
-from ..operators.vectors import approx_topk, block_topk, cosine, topk_join
+from ..operators.vectors import approx_topk, cosine
 from ..operators.ingest import fixed_chunks
-from ..sources.driver_tables import (NAMESPACES, SQL, chat_answers, chat_queries, table, vectors, with_sql)
+from ..sources.driver_tables import chat_answers, chat_queries, table, vectors, with_sql
 from . import duck as D
 
 THRESHOLD = 0.3  # the synthetic vectors never reach 0.95; 0.3 gives real hits
