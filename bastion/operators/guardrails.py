@@ -92,13 +92,18 @@ def check_output(df: DataFrame, text: str = "answer", out: str = "out_guard", un
 
 
 def guard_split(guarded: DataFrame, message: str = "query", guard: str = "guard",
-                ts: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+                ts: str | None = None, materialized: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Blocked rows -> (events, metrics); passed rows -> forwarded with ``safe_query``.
 
-    Returns ``(forwarded, guardrail_events, blocked_metrics)``. Both sinks read the
-    same projected DataFrame; nothing is recomputed per branch if the caller caches
-    or checkpoints ``guarded``.
+    Returns ``(forwarded, guardrail_events, blocked_metrics)``. A filter on the
+    guard struct would be pushed below the projection that computes it (alias
+    substitution), running every regex twice; and three outputs read the same
+    rows. So the guarded frame is checkpointed once here, unless the caller says
+    it already is (``materialized``, e.g. a persisted micro-batch).
     """
+    if not materialized:
+        from ..session import materialize
+        guarded = materialize(guarded)
     tcol = F.col(ts) if ts else F.current_timestamp()
     blocked = guarded.where(~F.col(f"{guard}.passed"))
     events = blocked.select(

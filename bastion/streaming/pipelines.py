@@ -28,9 +28,15 @@ def guard_stream(messages: DataFrame, passed_path: str, events_path: str, checkp
     guarded = check_input(messages, text, block_on_pii=block_on_pii)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        fwd, events, _ = guard_split(batch, text, ts="ts" if "ts" in batch.columns else None)
-        fwd.drop("guard").write.mode("append").parquet(passed_path)
-        events.write.mode("append").parquet(events_path)
+        # the micro-batch feeds two sinks: compute the guard once, then filter
+        batch = batch.persist()
+        try:
+            fwd, events, _ = guard_split(batch, text, ts="ts" if "ts" in batch.columns else None,
+                                         materialized=True)
+            fwd.drop("guard").write.mode("append").parquet(passed_path)
+            events.write.mode("append").parquet(events_path)
+        finally:
+            batch.unpersist()
 
     w = guarded.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
