@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import libraries as L
-from .text import col_of, py_regex, word_count
+from .text import col_of, memo_column, py_regex, word_count
 
 NEVER = "(?!)"  # a regex that matches nothing
 
@@ -24,6 +24,7 @@ NEVER = "(?!)"  # a regex that matches nothing
 # PII
 # ---------------------------------------------------------------------------
 
+@memo_column
 def pii_any(text: Column | str, unicode: bool = True) -> Column:
     """True iff any PII pattern matches: one combined scan (alternation of all types).
 
@@ -34,6 +35,7 @@ def pii_any(text: Column | str, unicode: bool = True) -> Column:
     return col_of(text).rlike(py_regex(combined, unicode))
 
 
+@memo_column
 def pii_hits(text: Column | str, unicode: bool = True) -> Column:
     """Struct of one boolean per PII type: at least one match in ``text``."""
     t = col_of(text)
@@ -65,6 +67,7 @@ def pii_redact(text: Column | str, hits: Column, unicode: bool = True) -> Column
     return F.when(anyhit, cur).otherwise(col_of(text))
 
 
+@memo_column
 def pii_findings(text: Column | str, unicode: bool = True) -> Column:
     """array<struct<type, match>> — every match, by type then position."""
     t = col_of(text)
@@ -111,6 +114,7 @@ def with_pii(df, text: str, out: str = "pii", unicode: bool = True):
 # Prompt injection
 # ---------------------------------------------------------------------------
 
+@memo_column
 def detect_injection(text: Column | str, unicode: bool = True) -> Column:
     """struct(is_injection, attack_type, matched_pattern); first pattern wins."""
     t = col_of(text)
@@ -125,6 +129,7 @@ def detect_injection(text: Column | str, unicode: bool = True) -> Column:
     return chain.otherwise(miss)
 
 
+@memo_column
 def injection_class(text: Column | str, unicode: bool = True) -> Column:
     """Class-only variant of G4: adjacent patterns of one class OR-ed into one regex."""
     t = col_of(text)
@@ -158,6 +163,7 @@ def any_keyword(lower_text: Column, keywords: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [lower_text.contains(F.lit(k)) for k in keywords])
 
 
+@memo_column
 def out_of_scope_category(text: Column | str, unicode: bool = True) -> Column:
     """Category of the first out-of-scope pattern matching the raw text, else NULL."""
     t = col_of(text)
@@ -168,6 +174,7 @@ def out_of_scope_category(text: Column | str, unicode: bool = True) -> Column:
     return chain
 
 
+@memo_column
 def scope_check(text: Column | str, company: str = L.DEFAULT_COMPANY,
                 assistant: str = L.DEFAULT_ASSISTANT, unicode: bool = True) -> Column:
     """struct(in_scope, reason, matched_keyword). The role is not consulted."""

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from . import libraries as L
 from .guards import any_keyword
-from .text import col_of, norm_role, strip, word_count
+from .text import col_of, memo_column, norm_role, strip, word_count
 
 
+@memo_column
 def complexity(query: Column | str, role: Column | str) -> Column:
     """T1: 'simple' | 'moderate' | 'complex'.
 
@@ -31,12 +32,14 @@ def complexity(query: Column | str, role: Column | str) -> Column:
     )
 
 
+@memo_column
 def estimate_tokens(text: Column | str) -> Column:
     """``max(1, int(words * 1.3))`` in exact integer arithmetic."""
     words = word_count(text).cast("long")
     return F.greatest(F.lit(1), F.floor(words * L.TOKENS_PER_WORD_NUM / L.TOKENS_PER_WORD_DEN).cast("int"))
 
 
+@memo_column
 def rate_e8(model: Column | str) -> Column:
     """Cost per 1k tokens of ``model`` in 1e-8 USD; unknown model -> 0."""
     m = col_of(model)

@@ -6,12 +6,41 @@ is what Python's ``re`` does for ``str`` patterns by default.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNICODE = "(?U)"
 
 
+def memo_column(fn):
+    """Cache a pure Column builder called with a column *name* and hashable options.
+
+    Building long CASE chains costs hundreds of Py4J round trips; the resulting
+    (unresolved) expression does not depend on any DataFrame, so it is built once
+    per JVM and reused. Calls with Column arguments are not cached.
+    """
+    cache: dict = {}
+
+    @functools.wraps(fn)
+    def wrapper(*args, **kwargs):
+        try:
+            from pyspark import SparkContext
+            gw = id(SparkContext._gateway)
+            key = (gw, args, tuple(sorted(kwargs.items())))
+            hash(key)
+        except TypeError:
+            return fn(*args, **kwargs)
+        if any(isinstance(a, Column) for a in list(args) + list(kwargs.values())):
+            return fn(*args, **kwargs)
+        if key not in cache:
+            cache[key] = fn(*args, **kwargs)
+        return cache[key]
+
+    return wrapper
+
+
 def col_of(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

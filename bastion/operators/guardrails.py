@@ -40,8 +40,8 @@ def check_input(df: DataFrame, text: str = "query", block_on_pii: bool = True,
     injection, pii, scope). With ``block_on_pii=False`` (G6b) PII is redacted and
     the scope check runs on the redacted text.
     """
-    df = df.withColumn("__inj", detect_injection(text, unicode))
-    df = with_pii(df, text, "__pii", unicode)
+    df = df.withColumns({"__inj": detect_injection(text, unicode), "__pii_hits": pii_hits(text, unicode)})
+    df = df.withColumn("__pii", _pii_struct(text, "__pii_hits", unicode)).drop("__pii_hits")
     forward = F.col(text) if block_on_pii else F.when(
         F.col("__pii.has_pii"), F.col("__pii.redacted_text")).otherwise(F.col(text))
     df = df.withColumn("__fwd", forward)
