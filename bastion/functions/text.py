@@ -80,3 +80,23 @@ def first_words(text: Column | str, n: int) -> Column:
 def sha256_prefix(text: Column | str, n: int) -> Column:
     """First ``n`` hex characters of SHA-256 of the UTF-8 text."""
     return F.substring(F.sha2(col_of(text), 256), 1, n)
+
+
+EPOCH = "1970-01-01 00:00:00"
+
+
+def epoch_us(df, name: str) -> Column:
+    """Microseconds since the epoch of a timestamp column, independent of the session zone.
+
+    TIMESTAMP_NTZ is measured from the NTZ epoch (no zone involved); TIMESTAMP is an
+    instant already. Casting NTZ to TIMESTAMP would apply the session zone and shift
+    differences across DST changes.
+    """
+    if dict(df.dtypes).get(name) == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), F.col(name))
+    return F.unix_micros(F.col(name).cast("timestamp"))
+
+
+def ntz_from_epoch_us(us: Column) -> Column:
+    """Inverse of :func:`epoch_us` for TIMESTAMP_NTZ results."""
+    return F.timestamp_add("MICROSECOND", us, F.lit(EPOCH).cast("timestamp_ntz"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import libraries as L
+from ..functions.text import epoch_us
 from .access import can_access
 from .vectors import block_topk
 
@@ -47,8 +48,8 @@ def lookup(queries: DataFrame, entries: DataFrame, *, q_id: str = "query_id", q_
 def live_entries(entries: DataFrame, as_of, ttl_s: float = L.CACHE_TTL_SECONDS,
                  created_at: str = "created_at") -> DataFrame:
     """Keep iff ``as_of - created_at < ttl`` (strict)."""
-    age_us = F.unix_micros(F.lit(as_of).cast("timestamp") if not hasattr(as_of, "alias") else as_of.cast(
-        "timestamp")) - F.unix_micros(F.col(created_at).cast("timestamp"))
+    now = as_of if hasattr(as_of, "alias") else F.lit(as_of).cast(dict(entries.dtypes)[created_at])
+    age_us = F.timestamp_diff("MICROSECOND", F.col(created_at), now)
     return entries.where(age_us < F.lit(int(ttl_s * 1_000_000)))
 
 
@@ -161,8 +162,7 @@ def replay(log: DataFrame, *, shard: str = "shard", ttl_s: float = L.CACHE_TTL_S
     With one shard the result equals the service's.
     """
     src = log.select("query_id", "role", F.col("vec").cast("array<double>").alias("vec"),
-                     F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.col(shard).cast("string")
-                     .alias("shard"))
+                     epoch_us(log, "ts").alias("ts_us"), F.col(shard).cast("string").alias("shard"))
     src = src.repartition(F.col("shard")).sortWithinPartitions("shard", "ts_us", "query_id")
 
     def fn(batches):

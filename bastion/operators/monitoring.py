@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import libraries as L
+from ..functions.text import epoch_us, ntz_from_epoch_us
 
 BUCKET_US = 5 * 60 * 1_000_000
 
@@ -133,15 +134,15 @@ def kpi_row(metrics: DataFrame, hours: int = 24, as_of=None) -> DataFrame:
     )
 
 
-def bucket_start(ts: str = "ts", bucket_us: int = BUCKET_US) -> Column:
-    """Epoch-aligned tumbling bucket start (what a 5-minute resample uses)."""
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    return F.timestamp_micros(F.floor(us / bucket_us) * bucket_us).cast("timestamp_ntz")
+def bucket_start(df: DataFrame, ts: str = "ts", bucket_us: int = BUCKET_US) -> Column:
+    """Epoch-aligned tumbling bucket start (what a 5-minute resample uses), as TIMESTAMP_NTZ."""
+    return ntz_from_epoch_us(F.floor(epoch_us(df, ts) / bucket_us) * bucket_us)
 
 
 def _trend(metrics: DataFrame, value: str, how: str, fill, hours: int, as_of, bucket_us: int) -> DataFrame:
     as_of = latest_ts(metrics) if as_of is None else as_of
-    base = in_window(metrics, hours, as_of).withColumn("bucket", bucket_start("ts", bucket_us))
+    base = in_window(metrics, hours, as_of)
+    base = base.withColumn("bucket", bucket_start(base, "ts", bucket_us))
     agg = F.avg(value) if how == "mean" else F.sum(value)
     per = base.groupBy("bucket").agg(agg.alias("v"))
     # Contiguous buckets from the first to the last non-empty one; the range is

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import col_of
+from ..functions.text import col_of, epoch_us
 
 # ---------------------------------------------------------------------------
 # Column functions
@@ -170,10 +170,6 @@ def _kernel(k: int, digits: int, exclude_self: bool, max_age_us: int | None, min
     return run
 
 
-def _ts_us(c: Column) -> Column:
-    return F.unix_micros(c.cast("timestamp"))
-
-
 def block_topk(queries: DataFrame, items: DataFrame, k: int, *, q_id: str, i_id: str,
                q_key: str | None = None, i_key: str | None = None, q_vec: str = "vec", i_vec: str = "vec",
                tie: str | None = None, exclude_self: bool = False, q_time: str | None = None,
@@ -200,14 +196,14 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, *, q_id: str, i_id:
     timed = max_age_s is not None
     tie_col = F.col(tie)
     if dict(items.dtypes).get(tie, "") in ("timestamp", "timestamp_ntz"):
-        tie_col = _ts_us(tie_col)
+        tie_col = epoch_us(items, tie)
     qcols = [F.col(q_id).cast("long").alias("__q"), F.col(q_vec).cast("array<double>").alias("__qv"),
              (F.col(q_key).cast("string") if q_key else F.lit("")).alias("__k")]
     icols = [F.col(i_id).cast("long").alias("__i"), F.col(i_vec).cast("array<double>").alias("__iv"),
              (F.col(i_key).cast("string") if i_key else F.lit("")).alias("__k"), tie_col.cast("long").alias("__t")]
     if timed:
-        qcols.append(_ts_us(F.col(q_time)).alias("__ts"))
-        icols.append(_ts_us(F.col(i_time)).alias("__ts"))
+        qcols.append(epoch_us(queries, q_time).alias("__ts"))
+        icols.append(epoch_us(items, i_time).alias("__ts"))
     i0 = items.select(*icols)
     # Item blocks are sized per key from a per-key count (a partial aggregate, one row
     # per key): a hot key gets many blocks, a small key one, and each query is copied

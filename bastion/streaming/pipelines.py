@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import libraries as L
+from ..functions.text import epoch_us
 from ..operators.cache import REPLAY_SCHEMA, replay_shard
 from ..operators.guardrails import check_input, guard_split
 
@@ -89,9 +90,10 @@ def cache_replay_stream(log: DataFrame, watermark: str = "1 hour", shard: str =
     Within a micro-batch a shard's rows are replayed in event-time order, then the
     bounded cache state is stored for the next batch.
     """
-    src = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).select(
-        "query_id", "role", F.col("vec").cast("array<double>").alias("vec"),
-        F.unix_micros("ts").alias("ts_us"), F.col(shard).cast("string").alias("shard"), "ts")
+    src = log.withColumn("ts_us", epoch_us(log, "ts")).withColumn("ts", F.col("ts").cast("timestamp")) \
+        .withWatermark("ts", watermark).select(
+            "query_id", "role", F.col("vec").cast("array<double>").alias("vec"), "ts_us",
+            F.col(shard).cast("string").alias("shard"), "ts")
 
     def fn(key, pdfs, state):
         if state.hasTimedOut:

@@ -47,3 +47,16 @@ def test_nested_loop_joins_only_for_bounded_theta_joins(spark):
             continue
         p = _plan(fn(spark, "/root/testdata/sf0.001"))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_time_math_ignores_session_zone(spark):
+    """Buckets, TTL windows and replay order must not depend on spark.sql.session.timeZone."""
+    names = ["a10_latency_trend", "a11_cost_trend", "c1_cache_lookup", "c2_live_entries", "c6_replay"]
+    base = {n: sorted(map(tuple, E.queries()[n](spark, SF_CHECK).collect()), key=repr) for n in names}
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for n in names:
+            other = sorted(map(tuple, E.queries()[n](spark, SF_CHECK).collect()), key=repr)
+            assert other == base[n], n
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
