@@ -5,48 +5,53 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.overlap import token_f1
-from ..functions.text import first_words
+from ..functions.text import norm_role
 from ..operators import evaluation as EV
-from ..sources.driver_tables import pick, table
+from ..sources.driver_tables import chat_answers, chat_queries, table, with_sql
 from . import duck as D
 
-ROLES5 = ["finance", "hr", "engineering", "marketing", "employee"]
-DOMAINS5 = ["finance", "hr", "engineering", "marketing", "general"]
+DOMAINS = ["finance", "hr", "engineering", "marketing"]
 
 
 def samples(spark, sf):
-    """Eval samples: question = first 12 words of a benchmark passage, truth = the passage."""
-    b = table(spark, sf, "benchmark")
-    q = first_words("text", 12)
-    return b.select(F.col("item_id").alias("sample_id"), q.alias("question"), F.col("text").alias("ground_truth"),
-                    pick(ROLES5, F.col("item_id")).alias("role"), pick(DOMAINS5, F.col("item_id")).alias("domain"),
-                    F.slice(F.filter(F.split("text", r"(?U)\s+"), lambda x: x != ""), 1, 4).alias("contexts_keywords"))
+    """Eval samples from whole conversation turns: question = a user turn, truth = the reply.
+
+    Keywords: the four smallest distinct tokens of the question (a whole-text rule);
+    domain: the role's own department, 'general' for other roles.
+    """
+    conv = table(spark, sf, "conversations")
+    q = chat_queries(conv)
+    a = chat_answers(conv)
+    j = q.join(a, ["conv_id", "turn"], "inner")
+    toks = F.array_distinct(F.filter(F.split("query", r"(?U)\s+"), lambda x: x != ""))
+    role = norm_role("role")
+    return j.select((F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"), "conv_id",
+                    F.col("query").alias("question"), F.col("answer").alias("ground_truth"), "role",
+                    F.when(role.isin(*DOMAINS), role).otherwise(F.lit("general")).alias("domain"),
+                    F.slice(F.array_sort(toks), 1, 4).alias("contexts_keywords"))
 
 
 def answers(spark, sf):
-    """Retrieved answers: documents of good quality (labels) answer the sample with their id."""
+    """Retrieved answers: a labelled good document answers every question of the conversation
+    with its id — the whole text, with every 500-character window as a context."""
     d = table(spark, sf, "documents").join(
         table(spark, sf, "labels").where(F.col("quality") == 1).select("doc_id"), "doc_id", "left_semi")
-    return d.select(F.col("doc_id").alias("sample_id"), first_words("text", 40).alias("answer"),
-                    F.array(F.substring("text", 1, 500), F.substring("text", 451, 500)).alias("contexts"))
-
-
-def _pick(vals, idx):
-    return f"{D.values([(i + 1, v) for i, v in enumerate(vals)], ['i', 'v'])}"
-
-
-SAMPLES_SQL = f"""samples AS (
-  SELECT item_id AS sample_id,
-         array_to_string(list_slice(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), 1, 12), ' ') AS question,
-         text AS ground_truth,
-         {str(ROLES5)}[((item_id % 5) + 5) % 5 + 1] AS role,
-         {str(DOMAINS5)}[((item_id % 5) + 5) % 5 + 1] AS domain,
-         list_slice(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), 1, 4) AS contexts_keywords
-  FROM benchmark)"""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - 50), F.lit(450))
+    windows = F.transform(starts, lambda i: F.substring(F.col("text"), i, 500))
+    return d.select(F.col("doc_id").alias("conv_id"), F.col("text").alias("answer"), windows.alias("contexts"))
+
+
+SAMPLES_SQL = with_sql("chat_queries", "chat_answers").replace("WITH ", "", 1) + f""",
+samples AS (
+  SELECT q.conv_id * 1000 + q.turn AS sample_id, q.conv_id, q.query AS question, a.answer AS ground_truth, q.role,
+         CASE WHEN {D.norm_role('q.role')} IN ('finance', 'hr', 'engineering', 'marketing') THEN {D.norm_role('q.role')}
+              ELSE 'general' END AS domain,
+         list_slice(list_sort(list_distinct(list_filter(string_split_regex(q.query, '\\s+'), lambda x: x <> ''))), 1, 4)
+           AS contexts_keywords
+  FROM chat_queries q JOIN chat_answers a ON a.conv_id = q.conv_id AND a.turn = q.turn)"""
 ANSWERS_SQL = """answers AS (
-  SELECT doc_id AS sample_id,
-         array_to_string(list_slice(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), 1, 40), ' ') AS answer,
-         [substr(text, 1, 500), substr(text, 451, 500)] AS contexts
+  SELECT doc_id AS conv_id, text AS answer,
+         list_transform(generate_series(1, greatest(1, length(text) - 50), 450), lambda i: substr(text, i, 500)) AS contexts
   FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))"""
 
 
@@ -94,7 +99,7 @@ E6_SQL = f"WITH {SAMPLES_SQL}\nSELECT sample_id, {_mock_cols()[0]} AS mock_answe
 
 
 def _scored(spark, sf):
-    return EV.attach_answers(samples(spark, sf), answers(spark, sf))
+    return EV.attach_answers(samples(spark, sf), answers(spark, sf), key="conv_id")
 
 
 def e7_answer_join(spark, sf):
@@ -103,7 +108,7 @@ def e7_answer_join(spark, sf):
 
 
 JOINED_SQL = f"""WITH {SAMPLES_SQL}, {ANSWERS_SQL},
-j AS (SELECT s.*, a.answer AS live_answer, a.contexts AS live_contexts FROM samples s LEFT JOIN answers a USING (sample_id)),
+j AS (SELECT s.*, a.answer AS live_answer, a.contexts AS live_contexts FROM samples s LEFT JOIN answers a USING (conv_id)),
 scored AS (SELECT sample_id, question, ground_truth, role, domain,
   CASE WHEN live_answer IS NOT NULL THEN 'live' ELSE 'fallback' END AS mode,
   coalesce(live_answer, {_mock_cols()[0]}) AS answer,

@@ -21,9 +21,12 @@ def _requests(spark, sf):
 
 
 def _chunks(spark, sf):
-    d = chunks_from_documents(table(spark, sf, "documents"))
-    d = d.select(F.col("doc_id").alias("chunk_id"), "namespace", F.substring("text", 1, 500).alias("text"), "source")
-    return hashing_embedder(d, "text", "vec")
+    """Every V1 window of every document (whole texts), keyed numerically for the kernel."""
+    from ..operators.ingest import fixed_chunks
+    d = chunks_from_documents(table(spark, sf, "documents")).select("doc_id", "text", "namespace", "source")
+    ch = fixed_chunks(d).select((F.col("doc_id") * 100000 + F.col("pos")).alias("chunk_id"), "namespace",
+                                F.col("chunk_text").alias("text"), "source")
+    return hashing_embedder(ch, "text", "vec")
 
 
 def _answers(spark, sf):

@@ -22,7 +22,7 @@ def _vec(spark, sf):
 
 def _chunk_text(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 300).alias("text"), "source")
+    return d.select(F.col("doc_id").alias("chunk_id"), "text", "source")
 
 
 # -- V1/V2 ---------------------------------------------------------------------
@@ -174,7 +174,7 @@ def v10_context(spark, sf):
 
 
 CTX_SQL = _rerank_sql() + f""",
-t AS (SELECT r.query_id, r.rank, r.chunk_id, substr(d.text, 1, 300) AS text, d.source FROM r
+t AS (SELECT r.query_id, r.rank, r.chunk_id, d.text, d.source FROM r
       LEFT JOIN documents d ON d.doc_id = r.chunk_id WHERE r.rank <= 4),
 a AS (SELECT query_id, string_agg(text, {D.q(L.CONTEXT_SEPARATOR)} ORDER BY rank) AS context,
              string_agg(coalesce(source, 'unknown'), ',' ORDER BY rank) AS sources,
