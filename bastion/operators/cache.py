@@ -20,19 +20,34 @@ from .access import can_access
 from .vectors import block_topk
 
 
+def _ttl_buckets(queries: DataFrame, q_time: str, entries: DataFrame, e_time: str, ttl_s: float):
+    """Interval-join keys: entries live in bucket floor(t / ttl); a query probes its own
+    bucket and the one before, which hold every entry with 0 < age < ttl."""
+    ttl_us = int(ttl_s * 1_000_000)
+    qb = F.floor(epoch_us(queries, q_time) / ttl_us).cast("long")
+    q = queries.withColumn("__tb", F.explode(F.array(qb.cast("string"), (qb - 1).cast("string"))))
+    e = entries.withColumn("__tb", F.floor(epoch_us(entries, e_time) / ttl_us).cast("long").cast("string"))
+    return q, e
+
+
 def lookup(queries: DataFrame, entries: DataFrame, *, q_id: str = "query_id", q_vec: str = "vec",
            q_time: str = "ts", role: str = "role", e_id: str = "entry_id", e_vec: str = "vec",
            e_time: str = "created_at", owner_role: str = "owner_role", ttl_s: float = L.CACHE_TTL_SECONDS,
            threshold: float = L.CACHE_THRESHOLD, strict_namespaces: bool = False, **kw) -> DataFrame:
     """C1 (+C2): best live entry per query; hit iff sim >= threshold and R4(role, owner).
 
+    An interval join: both sides are keyed by TTL-sized time buckets, so a query is
+    scored only against entries of its own and the previous bucket.
+
     Best = highest cosine strictly above 0; ties go to the earliest entry. With
     ``strict_namespaces`` the access test is equality of roles' namespaces instead
     of the privilege hierarchy (closes the finance-reads-hr-answer gap).
     Returns (q_id, e_id, sim, hit).
     """
-    best = block_topk(queries, entries, 1, q_id=q_id, i_id=e_id, q_vec=q_vec, i_vec=e_vec, tie=e_time,
-                      q_time=q_time, i_time=e_time, max_age_s=ttl_s, min_score=0.0, **kw)
+    qk, ek = _ttl_buckets(queries.select(q_id, q_vec, q_time), q_time,
+                          entries.select(e_id, e_vec, e_time), e_time, ttl_s)
+    best = block_topk(qk, ek, 1, q_id=q_id, i_id=e_id, q_key="__tb", i_key="__tb", q_vec=q_vec, i_vec=e_vec,
+                      tie=e_time, q_time=q_time, i_time=e_time, max_age_s=ttl_s, min_score=0.0, **kw)
     best = best.select(q_id, e_id, F.col("score").alias("sim"))
     q = queries.select(q_id, role)
     e = entries.select(e_id, owner_role)
@@ -91,8 +106,9 @@ def near_duplicates(queries: DataFrame, *, q_id: str = "query_id", q_vec: str =
                     ttl_s: float = L.CACHE_TTL_SECONDS, threshold: float = L.CACHE_THRESHOLD, **kw) -> DataFrame:
     """Share of queries with an earlier one (within TTL) at cosine >= threshold."""
     earlier = queries.select(F.col(q_id).alias("__earlier"), F.col(q_vec).alias("__ev"), F.col(q_time).alias("__et"))
-    best = block_topk(queries, earlier, 1, q_id=q_id, i_id="__earlier", q_vec=q_vec, i_vec="__ev", q_time=q_time,
-                      i_time="__et", max_age_s=ttl_s, tie="__et", **kw)
+    qk, ek = _ttl_buckets(queries.select(q_id, q_vec, q_time), q_time, earlier, "__et", ttl_s)
+    best = block_topk(qk, ek, 1, q_id=q_id, i_id="__earlier", q_key="__tb", i_key="__tb", q_vec=q_vec,
+                      i_vec="__ev", q_time=q_time, i_time="__et", max_age_s=ttl_s, tie="__et", **kw)
     dup = best.where(F.col("score") >= threshold).select(q_id).withColumn("__d", F.lit(1))
     j = queries.select(q_id).join(dup, q_id, "left")
     return j.agg(F.count(F.lit(1)).alias("queries"), F.coalesce(F.sum("__d"), F.lit(0)).cast("long")
