@@ -10,11 +10,13 @@ Two exact strategies produce the same rows:
   (items by hash of id, queries likewise), each query block is co-grouped with
   each item block of the same key, and a vectorised numpy kernel computes the
   block's similarity matrix and keeps only the top-k per query. Pairs are never
-  rows; a hot key (one namespace holding a third of all chunks) is spread over
-  as many blocks as its size needs, so no task holds an unbounded group.
+  rows. The number of item blocks is set per key from a per-key count, so a hot
+  key (one namespace holding a third of all chunks) is spread over as many
+  blocks as its size needs, a small key gets one, and a query is copied only to
+  the blocks of the keys it may read. No task holds an unbounded group.
 
-The final merge is a ``row_number`` over at most (#item blocks x k) candidates
-per query.
+The final merge is a ``row_number`` over at most (#item blocks of the query's
+keys x k) candidates per query.
 """
 
 from __future__ import annotations
@@ -186,10 +188,15 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, *, q_id: str, i_id:
     min_score`` (strict). Scores are rounded to ``digits`` before ranking.
     Item blocks per key come from a per-key count aggregate; the query-block count
     from one cheap count job (unless ``n_queries`` is given).
+    Ids must be integral (the kernel works on int64 arrays); key string ids first.
     Returns (q_id, i_id, score, rank).
     """
     if q_id == i_id:
         raise ValueError("q_id and i_id must differ; rename one side for a self-join")
+    integral = ("bigint", "int", "smallint", "tinyint")
+    for df, name in ((queries, q_id), (items, i_id)):
+        if dict(df.dtypes).get(name) not in integral:
+            raise TypeError(f"block_topk needs an integral id column, got {name}: {dict(df.dtypes).get(name)}")
     tie = tie or i_id
     n_queries = queries.count() if n_queries is None else n_queries
     nqb = max(1, math.ceil(n_queries / query_block_rows))
