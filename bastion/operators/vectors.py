@@ -225,10 +225,12 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, *, q_id: str, i_id:
         nb = max(1, math.ceil(i0.count() / item_block_rows))
         q0 = q0.withColumn("__nb", F.lit(nb))
         i0 = i0.withColumn("__nb", F.lit(nb))
-    q = q0.withColumn("__qb", F.pmod(F.xxhash64("__q"), F.lit(nqb))) \
-        .withColumn("__ib", F.explode(F.sequence(F.lit(0), F.col("__nb") - 1))).drop("__nb")
+    # The co-group keys must have identical types on both sides: the shuffle hashes
+    # them, and a bigint 0 and an int 0 land in different partitions.
+    q = q0.withColumn("__qb", F.pmod(F.xxhash64("__q"), F.lit(nqb)).cast("int")) \
+        .withColumn("__ib", F.explode(F.sequence(F.lit(0), F.col("__nb").cast("int") - 1))).drop("__nb")
     i = i0.withColumn("__ib", F.pmod(F.xxhash64("__i"), F.col("__nb")).cast("int")) \
-        .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1)))).drop("__nb")
+        .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(int(nqb) - 1)))).drop("__nb")
     if not timed:
         q = q.withColumn("__ts", F.lit(0).cast("long"))
         i = i.withColumn("__ts", F.lit(0).cast("long"))
