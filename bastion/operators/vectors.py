@@ -186,8 +186,8 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, *, q_id: str, i_id:
     ``q_time``/``i_time``/``max_age_s``: keep items with ``0 < q_time - i_time <
     max_age_s`` (cache TTL semantics). ``min_score``: keep only ``score >
     min_score`` (strict). Scores are rounded to ``digits`` before ranking.
-    Item blocks per key come from a per-key count aggregate; the query-block count
-    from one cheap count job (unless ``n_queries`` is given).
+    Block counts per key come from per-key count aggregates on both sides (keyless
+    searches use two count jobs; ``n_queries`` skips one).
     Ids must be integral (the kernel works on int64 arrays); key string ids first.
     Returns (q_id, i_id, score, rank).
     """
@@ -198,8 +198,6 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, *, q_id: str, i_id:
         if dict(df.dtypes).get(name) not in integral:
             raise TypeError(f"block_topk needs an integral id column, got {name}: {dict(df.dtypes).get(name)}")
     tie = tie or i_id
-    n_queries = queries.count() if n_queries is None else n_queries
-    nqb = max(1, math.ceil(n_queries / query_block_rows))
     timed = max_age_s is not None
     tie_col = F.col(tie)
     if dict(items.dtypes).get(tie, "") in ("timestamp", "timestamp_ntz"):
@@ -212,25 +210,35 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, *, q_id: str, i_id:
         qcols.append(epoch_us(queries, q_time).alias("__ts"))
         icols.append(epoch_us(items, i_time).alias("__ts"))
     i0 = items.select(*icols)
-    # Item blocks are sized per key from a per-key count (a partial aggregate, one row
-    # per key): a hot key gets many blocks, a small key one, and each query is copied
-    # only to the blocks of the keys it may read — replication follows the work.
     q0 = queries.select(*qcols)
+
+    def nblocks(n, rows):
+        return F.greatest(F.lit(1), F.ceil(n / F.lit(rows))).cast("int")
+
     if q_key or i_key:
-        blocks = i0.groupBy("__k").agg(F.count(F.lit(1)).alias("__n")).select(
-            "__k", F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(item_block_rows))).cast("int").alias("__nb"))
+        # Block counts per key from per-key counts on both sides (partial aggregates, one
+        # row per key): a hot key gets many blocks, a small key one; a query is copied
+        # only to the item blocks of its own keys and an item to the query blocks of its
+        # key, so replication follows the work. Keys missing on either side drop out.
+        ic = i0.groupBy("__k").agg(F.count(F.lit(1)).alias("__n")).select("__k", nblocks(F.col("__n"), item_block_rows)
+                                                                          .alias("__nb"))
+        qc = q0.groupBy("__k").agg(F.count(F.lit(1)).alias("__n")).select("__k", nblocks(F.col("__n"), query_block_rows)
+                                                                          .alias("__nqb"))
+        blocks = ic.join(qc, "__k")
         q0 = q0.join(blocks, "__k")
         i0 = i0.join(blocks, "__k")
-    else:  # keyless search: one block count for everything, no join needed
-        nb = max(1, math.ceil(i0.count() / item_block_rows))
-        q0 = q0.withColumn("__nb", F.lit(nb))
-        i0 = i0.withColumn("__nb", F.lit(nb))
+    else:  # keyless search: one block count per side from two count jobs, no join needed
+        n_q = queries.count() if n_queries is None else n_queries
+        nqb = max(1, math.ceil(n_q / query_block_rows))
+        nb = max(1, math.ceil(items.count() / item_block_rows))
+        q0 = q0.withColumn("__nqb", F.lit(nqb)).withColumn("__nb", F.lit(nb))
+        i0 = i0.withColumn("__nqb", F.lit(nqb)).withColumn("__nb", F.lit(nb))
     # The co-group keys must have identical types on both sides: the shuffle hashes
     # them, and a bigint 0 and an int 0 land in different partitions.
-    q = q0.withColumn("__qb", F.pmod(F.xxhash64("__q"), F.lit(nqb)).cast("int")) \
-        .withColumn("__ib", F.explode(F.sequence(F.lit(0), F.col("__nb").cast("int") - 1))).drop("__nb")
+    q = q0.withColumn("__qb", F.pmod(F.xxhash64("__q"), F.col("__nqb")).cast("int")) \
+        .withColumn("__ib", F.explode(F.sequence(F.lit(0), F.col("__nb").cast("int") - 1))).drop("__nb", "__nqb")
     i = i0.withColumn("__ib", F.pmod(F.xxhash64("__i"), F.col("__nb")).cast("int")) \
-        .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(int(nqb) - 1)))).drop("__nb")
+        .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.col("__nqb").cast("int") - 1))).drop("__nb", "__nqb")
     if not timed:
         q = q.withColumn("__ts", F.lit(0).cast("long"))
         i = i.withColumn("__ts", F.lit(0).cast("long"))
