@@ -14,7 +14,7 @@ from .text import col_of, memo_column, norm_role, strip, word_count
 def complexity(query: Column | str, role: Column | str) -> Column:
     """T1: 'simple' | 'moderate' | 'complex'.
 
-    The reference's >40-word and multi-question tests also yield 'moderate', like the
+    The service's >40-word and multi-question tests also yield 'moderate', like the
     default, so they are folded into ``otherwise``.
     """
     q = strip(F.lower(col_of(query)))

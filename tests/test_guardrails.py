@@ -86,7 +86,8 @@ def test_scope(spark):
     got = [r.in_scope for r in df.select(scope_check("text").alias("s")).select("s.in_scope").collect()]
     assert got == [e for _, e in SCOPE]
     r = df.limit(1).select(scope_check("text").alias("s")).select("s.reason").first()[0]
-    assert r == "Query appears to be about general trivia, which is outside FinSolve-AI's scope."
+    from bastion.functions import libraries as L
+    assert r == f"Query appears to be about general trivia, which is outside {L.DEFAULT_ASSISTANT}'s scope."
 
 
 def test_input_pipeline_order(spark):
