@@ -125,3 +125,24 @@ def test_monitor_stream_equals_batch(spark):
     cost = {r.bucket: round(r.total_cost_usd, 6) for r in cost_trend(batch, 24, as_of=as_of).collect()}
     want = {b: (lat[b], cost[b]) for b in lat}
     assert got == want
+
+
+def test_rebuilt_index_prunes_partitions(spark):
+    """S6 writes the index partitioned by department; R2 for one role prunes partitions at scan."""
+    from bastion.operators.access import namespace_filter
+    root = tempfile.mkdtemp(prefix="bastion-corpus2-")
+    _corpus(root)
+    out = tempfile.mkdtemp(prefix="bastion-index-")
+    chunks, meta, _ = ingest(spark, root, f"{out}/index", f"{out}/meta")
+    idx = spark.read.parquet(f"{out}/index")
+    hr = namespace_filter(idx, "HR", namespace="department")
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        hr.explain("formatted")
+    plan = buf.getvalue()
+    import re
+    assert re.search(r"PartitionFilters: \[.*department#\d+ IN \(hr,general\)", plan), plan
+    assert {r.department for r in hr.select("department").distinct().collect()} == {"hr"}
+    assert spark.read.parquet(f"{out}/meta").count() == chunks.count()
