@@ -355,3 +355,23 @@ def v1_boundary_chunks(spark, sf):
 
 
 QUERIES["v1_boundary_chunks"] = v1_boundary_chunks
+
+
+def c5_invalidate(spark, sf):
+    """A re-ingest at the midpoint of the cache's time span bumps the index version;
+    entries written before it carry the old version and are dropped."""
+    _, e = _cache_sides(spark, sf)
+    span = e.agg(F.min("created_at").alias("lo"), F.max("created_at").alias("hi"))
+    mid = span.select(F.timestamp_add("SECOND", F.floor(F.timestamp_diff("SECOND", "lo", "hi") / 2), F.col("lo"))
+                      ).scalar()
+    versioned = e.withColumn("index_version", F.when(F.col("created_at") < mid, F.lit(1)).otherwise(F.lit(2)))
+    return C.invalidate(versioned, 2).select("entry_id", "index_version")
+
+
+C5_SQL = with_sql("vectors") + """
+, m AS (SELECT min(created_at) + to_seconds(floor(date_diff('second', min(created_at), max(created_at)) / 2)::BIGINT) AS mid
+  FROM vectors)
+SELECT vec_id AS entry_id, 2 AS index_version FROM vectors, m WHERE created_at >= m.mid"""
+
+QUERIES["c5_invalidate"] = c5_invalidate
+ORACLE["c5_invalidate"] = C5_SQL
