@@ -208,3 +208,10 @@ def test_block_topk_across_many_partitions(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_live_entries_literal_as_of(spark):
+    e = spark.createDataFrame([(1, T0), (2, T0 + dt.timedelta(seconds=1)), (3, T0 + dt.timedelta(seconds=3599))],
+                              "entry_id long, created_at timestamp_ntz")
+    now = T0 + dt.timedelta(seconds=3600)
+    assert sorted(r.entry_id for r in C.live_entries(e, now).collect()) == [2, 3]  # age == ttl is expired
