@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import chat, minhash, shard
 
-MODULES = [minhash]
+MODULES = [minhash, shard, chat]
 
 
 def queries():
