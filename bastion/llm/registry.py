@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, minhash, shard
+from . import chat, lines, minhash, shard
 
-MODULES = [minhash, shard, chat]
+MODULES = [minhash, lines, shard, chat]
 
 
 def queries():
