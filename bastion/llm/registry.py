@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, lines, minhash, shard
+from . import chat, lines, minhash, shard, tokens
 
-MODULES = [minhash, lines, shard, chat]
+MODULES = [minhash, lines, shard, chat, tokens]
 
 
 def queries():
