@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, lines, minhash, shard, tokens
+from . import chat, langid, lines, minhash, shard, tokens
 
-MODULES = [minhash, lines, shard, chat, tokens]
+MODULES = [minhash, lines, shard, chat, langid, tokens]
 
 
 def queries():
