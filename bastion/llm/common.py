@@ -104,17 +104,17 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+def _cuts(data: np.ndarray, offsets: np.ndarray, space: np.ndarray) -> Iterator[tuple[int, int]]:
     """Slices of about SLICE_BYTES that end at a document's end or just after white space."""
     lo, end = 0, len(data)
     while lo < end:
         hi = min(end, lo + SLICE_BYTES)
         if hi < end:
-            spaces = np.flatnonzero(_SPACE[data[lo:hi]])
+            spaces = np.flatnonzero(space[data[lo:hi]])
             bound = offsets[np.searchsorted(offsets, hi, "right") - 1]
             best = max(int(bound), lo + int(spaces[-1]) + 1 if len(spaces) else lo)
             if best <= lo:  # one word longer than a slice
-                after = np.flatnonzero(_SPACE[data[hi:]])
+                after = np.flatnonzero(space[data[hi:]])
                 nxt = offsets[np.searchsorted(offsets, hi, "left")]
                 best = min(int(nxt), hi + int(after[0]) + 1 if len(after) else end)
             hi = best
@@ -122,16 +122,16 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word (runs of bytes other than 0x20, 0x09-0x0D; A-Z lower-cased) and its text's index.
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word (runs of bytes not in ``space``: 0x20, 0x09-0x0D; A-Z lower-cased) and its text's index.
 
     ``data`` holds the UTF-8 bytes of all texts one after another, ``offsets`` their n + 1 bounds from 0.
     """
     words, owners = [], []
     with np.errstate(over="ignore"):
-        for lo, hi in _cuts(data, offsets):
+        for lo, hi in _cuts(data, offsets, space):
             part = data[lo:hi]
-            solid = ~_SPACE[part]
+            solid = ~space[part]
             first = solid.copy()
             first[1:] &= ~solid[:-1]
             heads = offsets[np.searchsorted(offsets, lo, "left"):np.searchsorted(offsets, hi, "left")] - lo

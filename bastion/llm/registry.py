@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, langid, lines, minhash, shard, tokens
+from . import chat, langid, lines, minhash, shard, tiling, tokens
 
-MODULES = [minhash, lines, shard, chat, langid, tokens]
+MODULES = [minhash, lines, shard, chat, langid, tokens, tiling]
 
 
 def queries():
