@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, langid, lines, minhash, shard, tiling, tokens
+from . import chat, langid, lines, minhash, shard, tiling, tokens, toxicity
 
-MODULES = [minhash, lines, shard, chat, langid, tokens, tiling]
+MODULES = [minhash, lines, shard, chat, langid, toxicity, tokens, tiling]
 
 
 def queries():
