@@ -249,7 +249,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         mark = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         unstage(held)
         cur, held = new, new
-        if last == (mark["n"], mark["h"]):
+        if not mark["n"] or last == (mark["n"], mark["h"]):
             break
         last = (mark["n"], mark["h"])
     else:
