@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bastion.session import ensure_checkpoint_dir, ship_package
@@ -261,3 +261,18 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     unstage(held)
     unstage(nodes)
     return out
+
+
+# ---------------------------------------------------------------- samples
+
+def hash_sample(rows: DataFrame, class_col: str, id_col: str, most: Column, salts: int = 32) -> DataFrame:
+    """The ``most`` rows of each class with the smallest id hashes, exact; ``most`` may depend on the class.
+
+    A first top-k per class and salt keeps a class of any size from meeting in one task.
+    """
+    draw, cols = F.xxhash64(F.col(id_col)), rows.columns
+    salted = rows.withColumn("__llm_draw", draw).withColumn("__llm_salt", F.pmod("__llm_draw", F.lit(salts)))
+    part = Window.partitionBy(class_col, "__llm_salt").orderBy("__llm_draw", id_col)
+    few = salted.withColumn("__llm_k", F.row_number().over(part)).where(F.col("__llm_k") <= most)
+    rank = Window.partitionBy(class_col).orderBy("__llm_draw", id_col)
+    return few.withColumn("__llm_k", F.row_number().over(rank)).where(F.col("__llm_k") <= most).select(*cols)

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -131,10 +131,9 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
     C.prepare(df.sparkSession)
     rows = df.where(F.col(label_col).isNotNull() & (fold(F.col(id_col)) != 2)).select(
         F.col(id_col).cast("string").alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-    rank = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "label").distinct().withColumn("k", F.row_number().over(rank)).where(F.col("k") <= per_class)
+    chosen = C.hash_sample(rows.select("id", "label").distinct(), "label", "id", F.lit(per_class))
     # bounded: per_class rows per language
-    picked = rows.join(F.broadcast(chosen), ["id", "label"]).select("id", "label", "k", "text")
+    picked = rows.join(F.broadcast(chosen), ["id", "label"]).select("id", "label", F.xxhash64("id").alias("k"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,8 +144,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(ok)],
                                                  ["id", "label", "k", "bits", "ok"])
 
-    got = picked.mapInArrow(run, "id string, label string, k int, bits binary, ok boolean").where("ok").drop("ok").toPandas()
-    got = got.sort_values(["label", "k", "bits"])
+    got = picked.mapInArrow(run, "id string, label string, k long, bits binary, ok boolean").where("ok").drop("ok").toPandas()
+    got = got.sort_values(["label", "k", "id", "bits"])
     if got.empty:
         return None
     bits = np.unpackbits(np.frombuffer(b"".join(bytes(b) for b in got["bits"]), np.uint8).reshape(len(got), -1), axis=1)[:, :WIDTH].astype(bool)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, langid, lines, minhash, prefixjoin, shard, tiling, tokens, toxicity
+from . import chat, langid, lines, minhash, mixing, prefixjoin, shard, tiling, tokens, toxicity
 
-MODULES = [minhash, lines, prefixjoin, shard, chat, langid, toxicity, tokens, tiling]
+MODULES = [minhash, lines, prefixjoin, shard, chat, langid, mixing, toxicity, tokens, tiling]
 
 
 def queries():

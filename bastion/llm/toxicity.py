@@ -30,7 +30,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
@@ -244,9 +244,7 @@ def labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> DataFrame:
     """(id, toxic, text) of the bounded sample: folds other than 2, fixed by id hash."""
     marked = labelled(labels, id_col, label_col)
-    rank = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
-    chosen = marked.withColumn("k", F.row_number().over(rank)).where(
-        F.col("k") <= F.when(F.col("toxic") == 1, F.lit(per_class)).otherwise(3 * per_class)).drop("k")
+    chosen = C.hash_sample(marked, "toxic", "id", F.when(F.col("toxic") == 1, F.lit(per_class)).otherwise(3 * per_class))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"])  # at most 4 x per_class ids
 
