@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -344,27 +344,41 @@ def verified_links(sets: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row; component_id is the smallest id reachable by links."""
+    """(id, mark, n_shingles, component_id, first) of every row; component_id is the smallest id reachable by links.
+
+    ``mark`` is the text's 64-bit hash. ``first`` is true for the rows of the component's first text: smallest
+    id, nulls last, then smallest mark. Only repeated rows, equal in both, are first together.
+    """
     spark = df.sparkSession
     C.prepare(spark)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     profile = C.stage(profiles(rows), "profiles")
+    lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("lead")
+    classes = C.stage(profile.where("n > 0").groupBy("node", "n").agg(lead), "classes")
     alive = survivors(rows.select("text"))
-    chosen = (profile.where("n > 0").groupBy("node", "n").agg(F.min(F.struct("id", "mark")).alias("x"))
-              .join(alive, ["node", "n"]).select("x.id", "x.mark"))
-    sets = C.stage(survivor_sets(rows, chosen), "sets")
+    sets = C.stage(survivor_sets(rows, classes.join(alive, ["node", "n"]).select("lead.id", "lead.mark")), "sets")
     found = clusters(sets)
     edges = verified_links(sets, found)
     label = C.connected_components(edges)
     for used in (sets, found, edges):
         C.unstage(used)
-    classes = profile.where("n > 0").groupBy("node", "n").agg(F.min("id").alias("least"))
     named = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("node", "n", "component_id")
-    linked = profile.where("n > 0").join(named, ["node", "n"]).select("id", "n", "component_id")
-    return linked.union(profile.where("n = 0").select("id", "n", F.col("id").alias("component_id"))).select(
-        "id", F.col("n").alias("n_shingles"), "component_id")
+    heads = named.groupBy("component").agg(F.min("lead").alias("head"))
+    named = named.join(heads, "component").select("node", "n", "head")
+    linked = (profile.where("n > 0").join(named, ["node", "n"])
+              .select("id", "mark", F.col("n").alias("n_shingles"), F.col("head.id").alias("component_id"),
+                      (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("mark") == F.col("head.mark"))).alias("first")))
+    return linked.union(profile.where("n = 0").select("id", "mark", "n", F.col("id").alias("component_id"), F.lit(True)))
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one row of each component; rows without words stay as they are. Texts cross the network once."""
+    first = near_components(df, id_col, text_col).where("first").select(F.col("id").alias("__llm_id"), F.col("mark").alias("__llm_mark"), "n_shingles").distinct()
+    rows = df.withColumn("__llm_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    met = rows.join(first, F.col(id_col).eqNullSafe(F.col("__llm_id")) & (F.col("__llm_text") == F.col("__llm_mark")))
+    # repeated rows of the first text: one stays
+    rank = Window.partitionBy("__llm_id", "__llm_mark").orderBy(F.lit(0))
+    return met.withColumn("__llm_k", F.row_number().over(rank)).where("__llm_k = 1 or n_shingles = 0").select(*df.columns)
 
 
 def op3_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat, langid, lines, minhash, mixing, prefixjoin, shard, tiling, tokens, toxicity
 
 MODULES = [minhash, lines, prefixjoin, shard, chat, langid, mixing, toxicity, tokens, tiling]
@@ -11,11 +13,11 @@ def queries():
     out = {}
     for m in MODULES:
         out.update(m.QUERIES)
-    return out
+    return out | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
     out = {}
     for m in MODULES:
         out.update(getattr(m, "ORACLE", {}))
-    return out
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
