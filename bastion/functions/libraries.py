@@ -73,9 +73,9 @@ IN_SCOPE_KEYWORDS: list[str] = [
     "project", "deadline", "roadmap", "strategy", "vision", "mission", "quarter",
 ]
 
-# FIXED VALUES: company name used in the keyword list and in messages (a parameter)
-DEFAULT_COMPANY = "FinSolve"
-DEFAULT_ASSISTANT = "FinSolve-AI"
+# Parameters: company and assistant name used in the keyword list and in messages
+DEFAULT_COMPANY = "Acme"
+DEFAULT_ASSISTANT = "Acme-AI"
 
 # FIXED VALUES: out-of-scope patterns, in order (first match wins), run on raw text
 OUT_OF_SCOPE_PATTERNS: list[tuple[str, str]] = [
@@ -97,7 +97,6 @@ MSG_PII = (
     "Please remove PII before continuing."
 )
 MSG_SCOPE = "{assistant} is an enterprise assistant and can only answer questions related to company operations. {reason}"
-MSG_SCOPE_CATEGORY = "Query appears to be about {category}, which is outside {assistant}'s scope."
 MSG_SCOPE_SHORT = "Short query, allowing by default."
 MSG_SCOPE_DEFAULT = (
     "Query does not appear to relate to company operations, finance, HR, engineering, or marketing."
@@ -128,6 +127,7 @@ ROLE_NAMESPACES: list[tuple[str, list[str]]] = [
 UNRESTRICTED_ROLE = "c-levelexecutives"
 DEFAULT_NAMESPACES = ["general"]
 UNKNOWN_ROLE_LEVEL = 0
+UNKNOWN_ROLE = "unknown"
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: complexity routing

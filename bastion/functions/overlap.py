@@ -30,30 +30,42 @@ def token_f1(a: Column | str, b: Column | str) -> Column:
     return f1_of_sets(token_set(a), token_set(b))
 
 
-def faithfulness(answer: Column | str, context: Column | str) -> Column:
-    """Share of answer tokens present in the context; 0 for an empty answer; 3 dp."""
-    a, c = token_set(answer), token_set(context)
+def share_of_set(answer: Column | str, context: Column | str) -> Column:
+    """E2 on token sets: share of answer tokens present in the context; 0 for an empty answer; 3 dp."""
+    a, c = col_of(answer), col_of(context)
     na = F.size(a).cast("double")
     return F.bround(F.when(na == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, c)) / na), 3)
 
 
+def mean_f1_of_sets(question: Column | str, contexts: Column | str) -> Column:
+    """E4 on token sets: mean of E1(question, c) over contexts; 0 when there are none; 3 dp."""
+    q, ctx = col_of(question), col_of(contexts)
+    total = F.aggregate(ctx, F.lit(0.0), lambda acc, c: acc + f1_of_sets(q, c))
+    n = F.size(ctx)
+    return F.bround(F.when(F.coalesce(n, F.lit(0)) <= 0, F.lit(0.0)).otherwise(total / n), 3)
+
+
+def recall_of_sets(truth: Column | str, joined: Column | str, contexts: Column | str) -> Column:
+    """E5 on token sets: E1(truth, all contexts joined); 0 when there are none; 3 dp."""
+    n = F.coalesce(F.size(col_of(contexts)), F.lit(0))
+    return F.bround(F.when(n <= 0, F.lit(0.0)).otherwise(f1_of_sets(col_of(truth), col_of(joined))), 3)
+
+
+def faithfulness(answer: Column | str, context: Column | str) -> Column:
+    """E2."""
+    return share_of_set(token_set(answer), token_set(context))
+
+
 def answer_relevancy(question: Column | str, answer: Column | str) -> Column:
     """E3."""
     return F.bround(token_f1(question, answer), 3)
 
 
 def context_precision(question: Column | str, contexts: Column | str) -> Column:
-    """Mean of E1(question, c) over contexts; 0 when there are none; 3 dp."""
-    q = token_set(question)
-    ctx = col_of(contexts)
-    scores = F.transform(ctx, lambda c: f1_of_sets(q, token_set(c)))
-    total = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + x)
-    n = F.size(ctx)
-    return F.bround(F.when(F.coalesce(n, F.lit(0)) <= 0, F.lit(0.0)).otherwise(total / n), 3)
+    """E4."""
+    return mean_f1_of_sets(token_set(question), F.transform(col_of(contexts), token_set))
 
 
 def context_recall(ground_truth: Column | str, contexts: Column | str) -> Column:
-    """E5: E1(truth, contexts joined by a space); 0 when there are none; 3 dp."""
-    ctx = col_of(contexts)
-    n = F.coalesce(F.size(ctx), F.lit(0))
-    return F.bround(F.when(n <= 0, F.lit(0.0)).otherwise(token_f1(ground_truth, F.array_join(ctx, " "))), 3)
+    """E5."""
+    return recall_of_sets(token_set(ground_truth), token_set(F.array_join(col_of(contexts), " ")), contexts)

@@ -71,12 +71,6 @@ def token_set(text: Column | str) -> Column:
     return F.array_distinct(F.filter(toks, lambda x: x != F.lit("")))
 
 
-def first_words(text: Column | str, n: int) -> Column:
-    """The first ``n`` whitespace tokens joined by one space."""
-    toks = F.filter(F.split(col_of(text), UNICODE + r"\s+"), lambda x: x != F.lit(""))
-    return F.array_join(F.slice(toks, 1, n), " ")
-
-
 def sha256_prefix(text: Column | str, n: int) -> Column:
     """First ``n`` hex characters of SHA-256 of the UTF-8 text."""
     return F.substring(F.sha2(col_of(text), 256), 1, n)

@@ -6,26 +6,13 @@ The role dimension is a fixed six-row table, so lookups are CASE expressions
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import libraries as L
 from ..functions.text import norm_role
 
 
-def role_dim(spark: SparkSession) -> DataFrame:
-    """role, level, namespaces (six rows)."""
-    ns = dict(L.ROLE_NAMESPACES)
-    return spark.createDataFrame([(r, lvl, ns[r]) for r, lvl in L.ROLE_LEVELS],
-                                 "role string, level int, namespaces array<string>")
-
-
-def role_namespace_pairs(spark: SparkSession) -> DataFrame:
-    """(role, namespace) pairs of the permission matrix (15 rows)."""
-    return spark.createDataFrame([(r, n) for r, nss in L.ROLE_NAMESPACES for n in nss],
-                                 "role string, namespace string")
-
-
 def allowed_namespaces(role: Column | str) -> Column:
     """Namespaces of a role after lower/strip; unknown -> ['general']."""
     r = norm_role(role)
@@ -90,11 +77,21 @@ def principal_namespaces(principals: DataFrame, chunks: DataFrame, role: str = "
     return restricted.unionByName(unrestricted)
 
 
+def role_class(role: Column | str) -> Column:
+    """The known role's name, or 'unknown' for any other: at most one value more than there are roles."""
+    return F.when(is_valid_role(role), norm_role(role)).otherwise(F.lit(L.UNKNOWN_ROLE))
+
+
 def visible_rows(principals: DataFrame, chunks: DataFrame, role: str = "role",
-                 namespace: str = "namespace") -> DataFrame:
-    """R2 for many principals: equi-join chunks to the principals' namespaces."""
+                 namespace: str = "namespace", bounded: bool = False) -> DataFrame:
+    """R2 for many principals: equi-join chunks to the principals' namespaces.
+
+    ``bounded``: the principals are role classes (:func:`role_class`), so that there are at most
+    roles x namespaces pairs; these are broadcast and the chunk table is never shuffled on its few
+    namespaces. Leave it off for user tables, whose size has no bound.
+    """
     pairs = principal_namespaces(principals, chunks, role, namespace)
-    return pairs.join(chunks, namespace, "inner")
+    return (F.broadcast(pairs) if bounded else pairs).join(chunks, namespace, "inner")
 
 
 def invalid_roles(df: DataFrame, role: str = "role") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Semantic cache as batch joins and a sequential per-shard replay.
+"""Semantic cache as batch joins.
 
 Batch lookups treat the cache as a table of entries and every query as a probe
 at its own time: the arg-max is computed by the blocked top-k kernel (k = 1)
@@ -9,15 +9,13 @@ order (an inaccessible best is a miss even if the runner-up would pass).
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import libraries as L
 from ..functions.text import epoch_us
-from .access import can_access
-from .vectors import block_topk
+from .access import allowed_namespaces, can_access, is_unrestricted
+from .vectors import approx_topk, block_topk
 
 
 def _ttl_buckets(queries: DataFrame, q_time: str, entries: DataFrame, e_time: str, ttl_s: float):
@@ -40,8 +38,8 @@ def lookup(queries: DataFrame, entries: DataFrame, *, q_id: str = "query_id", q_
     scored only against entries of its own and the previous bucket.
 
     Best = highest cosine strictly above 0; ties go to the earliest entry. With
-    ``strict_namespaces`` the access test is equality of roles' namespaces instead
-    of the privilege hierarchy (closes the finance-reads-hr-answer gap).
+    ``strict_namespaces`` the asker must also be allowed every namespace of the owner
+    (closes the finance-reads-hr-answer gap); the unrestricted role always may.
     Returns (q_id, e_id, sim, hit).
     """
     qk, ek = _ttl_buckets(queries.select(q_id, q_vec, q_time), q_time,
@@ -54,8 +52,8 @@ def lookup(queries: DataFrame, entries: DataFrame, *, q_id: str = "query_id", q_
     j = q.join(best, q_id, "left").join(e, e_id, "left")
     ok = can_access(role, owner_role)
     if strict_namespaces:
-        from .access import allowed_namespaces
-        ok = ok & F.array_contains(allowed_namespaces(role), F.lower(F.trim(F.col(owner_role))))
+        beyond = F.array_except(allowed_namespaces(owner_role), allowed_namespaces(role))
+        ok = ok & (is_unrestricted(role) | (F.size(beyond) == 0))
     hit = F.coalesce((F.col("sim") >= threshold) & ok, F.lit(False))
     return j.select(q_id, e_id, "sim", hit.alias("hit"))
 
@@ -103,12 +101,19 @@ def invalidate(entries: DataFrame, current_version: int, version: str = "index_v
 
 
 def near_duplicates(queries: DataFrame, *, q_id: str = "query_id", q_vec: str = "vec", q_time: str = "ts",
-                    ttl_s: float = L.CACHE_TTL_SECONDS, threshold: float = L.CACHE_THRESHOLD, **kw) -> DataFrame:
-    """Share of queries with an earlier one (within TTL) at cosine >= threshold."""
+                    ttl_s: float = L.CACHE_TTL_SECONDS, threshold: float = L.CACHE_THRESHOLD,
+                    method: str = "block", **kw) -> DataFrame:
+    """Share of queries with an earlier one (within TTL) at cosine >= threshold.
+
+    ``method="block"`` compares all pairs of a TTL bucket exactly. ``method="lsh"`` (needs ``dim``)
+    compares only bucket mates of the signed projections within the TTL buckets: for large logs;
+    its share is a lower bound, its scores are exact.
+    """
     earlier = queries.select(F.col(q_id).alias("__earlier"), F.col(q_vec).alias("__ev"), F.col(q_time).alias("__et"))
     qk, ek = _ttl_buckets(queries.select(q_id, q_vec, q_time), q_time, earlier, "__et", ttl_s)
-    best = block_topk(qk, ek, 1, q_id=q_id, i_id="__earlier", q_key="__tb", i_key="__tb", q_vec=q_vec,
-                      i_vec="__ev", q_time=q_time, i_time="__et", max_age_s=ttl_s, tie="__et", **kw)
+    search = {"block": block_topk, "lsh": approx_topk}[method]
+    best = search(qk, ek, 1, q_id=q_id, i_id="__earlier", q_key="__tb", i_key="__tb", q_vec=q_vec,
+                  i_vec="__ev", q_time=q_time, i_time="__et", max_age_s=ttl_s, tie="__et", **kw)
     dup = best.where(F.col("score") >= threshold).select(q_id).withColumn("__d", F.lit(1))
     j = queries.select(q_id).join(dup, q_id, "left")
     return j.agg(F.count(F.lit(1)).alias("queries"), F.coalesce(F.sum("__d"), F.lit(0)).cast("long")
@@ -116,84 +121,3 @@ def near_duplicates(queries: DataFrame, *, q_id: str = "query_id", q_vec: str =
         "share", F.when(F.col("queries") > 0, F.round(F.col("near_duplicates") / F.col("queries"), 6)))
 
 
-# ---------------------------------------------------------------------------
-# Sequential replay inside a shard
-# ---------------------------------------------------------------------------
-
-REPLAY_SCHEMA = "query_id long, shard string, hit boolean, entry_id long, sim double"
-
-
-def _level(role: str) -> int:
-    return dict(L.ROLE_LEVELS).get((role or "").lower().strip(), L.UNKNOWN_ROLE_LEVEL)
-
-
-def replay_shard(pdf: pd.DataFrame, ttl_s: float, threshold: float, max_size: int,
-                 state: list | None = None) -> tuple[pd.DataFrame, list]:
-    """Run lookup/put over one shard's time-ordered queries; misses are inserted.
-
-    State is a list of [entry_id, created_us, unit_vec, owner_role, hits]; it is
-    bounded by ``max_size`` and by the TTL.
-    """
-    state = [] if state is None else state
-    pdf = pdf.sort_values(["ts_us", "query_id"])
-    ttl_us = int(ttl_s * 1_000_000)
-    rows = []
-    for r in pdf.itertuples(index=False):
-        now = r.ts_us
-        state = [e for e in state if now - e[1] < ttl_us]
-        v = np.asarray(r.vec, dtype=np.float64)
-        n = np.linalg.norm(v)
-        u = v / n if n > 0 else v
-        best, best_sim = None, 0.0
-        for e in state:
-            sim = float(u @ e[2]) if len(e[2]) == len(u) and n > 0 else 0.0
-            if sim > best_sim:
-                best, best_sim = e, sim
-        if best is not None and best_sim >= threshold and _level(r.role) >= _level(best[3]):
-            best[4] += 1
-            rows.append((r.query_id, r.shard, True, best[0], round(best_sim, 6)))
-            continue
-        if len(state) >= max_size:
-            state.sort(key=lambda e: e[1])
-            state.pop(0)
-        state.append([r.query_id, now, u, r.role, 0])
-        rows.append((r.query_id, r.shard, False, None if best is None else best[0],
-                     None if best is None else round(best_sim, 6)))
-    out = pd.DataFrame(rows, columns=["query_id", "shard", "hit", "entry_id", "sim"])
-    out["entry_id"] = out["entry_id"].astype("Int64")
-    return out, state
-
-
-def replay(log: DataFrame, *, shard: str = "shard", ttl_s: float = L.CACHE_TTL_SECONDS,
-           threshold: float = L.CACHE_THRESHOLD, max_size: int = L.CACHE_MAX_SIZE) -> DataFrame:
-    """Each shard replays its queries in time order; misses are inserted.
-
-    ``log`` has query_id, role, vec, ts and a shard column. Rows are hash-partitioned
-    by shard and sorted within partitions (an external, spillable sort), then
-    streamed through ``mapInPandas`` in Arrow batches. Only the current shard's
-    cache state is held — bounded by capacity and TTL — and it is carried from batch
-    to batch, so a shard's log is never collected into memory, however large.
-    A shard is still one sequential stream (each lookup depends on earlier misses);
-    use a shard key with many values (role x LSH bucket, tenant) for parallelism.
-    With one shard the result equals the service's.
-    """
-    src = log.select("query_id", "role", F.col("vec").cast("array<double>").alias("vec"),
-                     epoch_us(log, "ts").alias("ts_us"), F.col(shard).cast("string").alias("shard"))
-    src = src.repartition(F.col("shard")).sortWithinPartitions("shard", "ts_us", "query_id")
-
-    def fn(batches):
-        cur_shard, state = None, None
-        for pdf in batches:
-            outs = []
-            # rows arrive sorted by (shard, time): each shard is one contiguous run
-            starts = (pdf["shard"] != pdf["shard"].shift()).cumsum()
-            for _, g in pdf.groupby(starts, sort=False):
-                sh = g["shard"].iat[0]
-                if sh != cur_shard:
-                    cur_shard, state = sh, None
-                out, state = replay_shard(g, ttl_s, threshold, max_size, state)
-                outs.append(out)
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
-
-    return src.mapInPandas(fn, REPLAY_SCHEMA)

@@ -40,15 +40,19 @@ def check_input(df: DataFrame, text: str = "query", block_on_pii: bool = True,
     injection, pii, scope). With ``block_on_pii=False`` (G6b) PII is redacted and
     the scope check runs on the redacted text.
     """
-    df = df.withColumns({"__inj": detect_injection(text, unicode), "__pii_hits": pii_hits(text, unicode)})
-    df = df.withColumn("__pii", _pii_struct(text, "__pii_hits", unicode)).drop("__pii_hits")
-    forward = F.col(text) if block_on_pii else F.when(
-        F.col("__pii.has_pii"), F.col("__pii.redacted_text")).otherwise(F.col(text))
+    df = df.withColumn("__inj", detect_injection(text, unicode))
+    # a later check runs only on rows that are still open
+    open_pii = ~F.coalesce(F.col("__inj.is_injection"), F.lit(False))
+    df = df.withColumn("__pii_hits", F.when(open_pii, pii_hits(text, unicode)))
+    df = df.withColumn("__pii", F.when(open_pii, _pii_struct(text, "__pii_hits", unicode))).drop("__pii_hits")
+    has_pii = F.coalesce(F.col("__pii.has_pii"), F.lit(False))
+    pii_block = has_pii if block_on_pii else F.lit(False)
+    open_scope = open_pii & ~pii_block
+    forward = F.col(text) if block_on_pii else F.when(has_pii, F.col("__pii.redacted_text")).otherwise(F.col(text))
     df = df.withColumn("__fwd", forward)
-    df = df.withColumn("__scope", scope_check("__fwd", company, assistant, unicode))
-    inj_hit = F.col("__inj.is_injection")
-    pii_block = F.col("__pii.has_pii") if block_on_pii else F.lit(False)
-    scope_miss = ~F.col("__scope.in_scope")
+    df = df.withColumn("__scope", F.when(open_scope, scope_check("__fwd", company, assistant, unicode)))
+    inj_hit = ~open_pii
+    scope_miss = ~F.coalesce(F.col("__scope.in_scope"), F.lit(True))
     block_type = (F.when(inj_hit, F.lit("INJECTION")).when(pii_block, F.lit("PII"))
                   .when(scope_miss, F.lit("SCOPE")).otherwise(F.lit("")))
     reason = (
@@ -63,14 +67,16 @@ def check_input(df: DataFrame, text: str = "query", block_on_pii: bool = True,
     )
     sanitized = (F.when(inj_hit, F.lit("")).when(pii_block, F.col("__pii.redacted_text"))
                  .when(scope_miss, F.lit("")).otherwise(F.col("__fwd")))
+    passed = block_type == ""
+    # the nested results: of the check that blocked, or of all three when passed
     df = df.withColumn(out, F.struct(
-        (block_type == "").alias("passed"),
+        passed.alias("passed"),
         block_type.alias("block_type"),
         reason.alias("blocked_reason"),
         sanitized.alias("sanitized_input"),
-        F.col("__inj").alias("injection"),
-        F.col("__pii").alias("pii"),
-        F.col("__scope").alias("scope"),
+        F.when(inj_hit | passed, F.col("__inj")).alias("injection"),
+        F.when((block_type == "PII") | passed, F.col("__pii")).alias("pii"),
+        F.when((block_type == "SCOPE") | passed, F.col("__scope")).alias("scope"),
     ))
     return df.drop("__inj", "__pii", "__fwd", "__scope")
 

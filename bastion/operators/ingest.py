@@ -2,9 +2,9 @@
 
 ``fixed_chunks`` is the native, oracle-checkable splitter: windows of ``size``
 characters stepping ``size - overlap``; the last start is ``n - overlap`` so no
-chunk is only overlap. ``boundary_chunks`` is the boundary-aware recursive
-splitter (paragraph, line, space, character), run per partition with
-``mapInPandas`` — each document is split independently, whole.
+chunk is only overlap. ``boundary_chunks`` ends its windows at the best break in reach
+(paragraph, line, sentence, space), run per partition with ``mapInPandas`` — each
+document is split independently, whole.
 """
 
 from __future__ import annotations
@@ -31,52 +31,36 @@ def fixed_chunks(docs: DataFrame, text: str = "text", doc_key: str = "doc_id", s
         .withColumn("chunk_id", chunk_id(doc_key, "pos"))
 
 
-SEPARATORS = ["\n\n", "\n", " ", ""]
+#: Chunks handed on at a time.
+CHUNK_BATCH = 5000
+#: Places to end a chunk at, best first.
+BREAKS = ("\n\n", "\n", ". ", " ")
 
 
-def split_text(text: str, size: int = L.CHUNK_SIZE, overlap: int = L.CHUNK_OVERLAP,
-               seps: list[str] | None = None) -> list[str]:
-    """Recursive character splitting: split on the first separator present, merge
-    pieces up to ``size`` with up to ``overlap`` characters carried over, and recurse
-    into pieces still too long with the next separator."""
-    seps = SEPARATORS if seps is None else seps
-    sep, rest = seps[-1], []
-    for i, s in enumerate(seps):
-        if s == "" or s in text:
-            sep, rest = s, seps[i + 1:]
-            break
-    pieces = list(text) if sep == "" else [p for p in text.split(sep) if p != ""]
+def split_text(text: str, size: int = L.CHUNK_SIZE, overlap: int = L.CHUNK_OVERLAP) -> list[str]:
+    """Windows of at most ``size`` characters that end at the best break in reach and overlap by whole words.
+
+    A window ends after the last paragraph break that leaves it longer than the overlap, else the last line
+    break, sentence end or space, else it is cut. The next one begins at the first word of the last ``overlap``
+    characters.
+    """
     out: list[str] = []
-    good: list[str] = []
-    for p in pieces:
-        if len(p) <= size:
-            good.append(p)
-            continue
-        if good:
-            out.extend(_merge(good, sep, size, overlap))
-            good = []
-        out.extend(split_text(p, size, overlap, rest) if rest else [p])
-    if good:
-        out.extend(_merge(good, sep, size, overlap))
+    lo = 0
+    while lo < len(text):
+        hi = min(len(text), lo + size)
+        if hi < len(text):
+            ends = (text.rfind(mark, lo + overlap, hi) + len(mark) for mark in BREAKS if text.rfind(mark, lo + overlap, hi) >= 0)
+            hi = next((e for e in ends if lo + overlap < e <= hi), hi)
+        piece = text[lo:hi].strip()
+        if piece:
+            out.append(piece)
+        if hi == len(text):
+            break
+        word = text.find(" ", hi - overlap, hi - 1)
+        lo = word + 1 if word >= 0 else hi - overlap
     return out
 
 
-def _merge(pieces: list[str], sep: str, size: int, overlap: int) -> list[str]:
-    docs, cur, total = [], [], 0
-    for p in pieces:
-        add = len(p) + (len(sep) if cur else 0)
-        if total + add > size and cur:
-            docs.append(sep.join(cur).strip())
-            while cur and (total > overlap or total + len(p) + (len(sep) if cur else 0) > size):
-                total -= len(cur[0]) + (len(sep) if len(cur) > 1 else 0)
-                cur.pop(0)
-        cur.append(p)
-        total += len(p) + (len(sep) if len(cur) > 1 else 0)
-    if cur:
-        docs.append(sep.join(cur).strip())
-    return [d for d in docs if d]
-
-
 def boundary_chunks(docs: DataFrame, text: str = "text", doc_key: str = "doc_id", size: int = L.CHUNK_SIZE,
                     overlap: int = L.CHUNK_OVERLAP) -> DataFrame:
     """V1 boundary-aware variant via ``mapInPandas`` (one pass, no shuffle)."""
@@ -84,14 +68,19 @@ def boundary_chunks(docs: DataFrame, text: str = "text", doc_key: str = "doc_id"
     schema = docs.select(*keep).schema.simpleString()[len("struct<"):-1]
 
     def fn(batches):
+        names = keep + ["pos", "chunk_text"]
+        rows = []
         for pdf in batches:
-            rows = []
             for rec in pdf.itertuples(index=False):
                 d = rec._asdict()
                 t = d.pop(text) or ""
                 for i, c in enumerate(split_text(t, size, overlap)):
                     rows.append({**d, "pos": i, "chunk_text": c})
-            yield pd.DataFrame(rows, columns=keep + ["pos", "chunk_text"])
+                    if len(rows) >= CHUNK_BATCH:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     out = docs.mapInPandas(fn, f"{schema}, pos int, chunk_text string")
     return out.withColumn("chunk_id", chunk_id(doc_key, "pos"))

@@ -34,9 +34,17 @@ def latest_ts(df: DataFrame, ts: str = "ts") -> Column:
     return df.select(F.max(ts)).scalar()
 
 
-def in_window(df: DataFrame, hours: int, as_of, ts: str = "ts") -> DataFrame:
-    """``ts >= as_of - hours`` (the service's window has no upper bound)."""
-    return df.where(F.col(ts) >= _as_of(as_of) - F.make_interval(hours=F.lit(hours)))
+def in_window(df: DataFrame, hours: int, as_of, ts: str = "ts", date: str = "date") -> DataFrame:
+    """``ts >= as_of - hours`` (the service's window has no upper bound).
+
+    A table written by the metrics sink has a partition column ``date``; it is filtered too, so
+    that older partitions are not read. Pass ``as_of`` as a literal where it is known: the default
+    of the callers, the latest timestamp, reads that column of the whole table first.
+    """
+    start = _as_of(as_of) - F.make_interval(hours=F.lit(hours))
+    if dict(df.dtypes).get(date) == "date":
+        df = df.where(F.col(date) >= F.to_date(start))
+    return df.where(F.col(ts) >= start)
 
 
 def _summary_aggs(user: str = "username"):
@@ -87,7 +95,7 @@ def hours_selector(metrics: DataFrame, hours_list=tuple(L.DASHBOARD_HOURS), as_o
         F.sum("tokens_used").alias("tok"),
         F.sum(F.when(F.col("cache_hit"), 1).otherwise(0)).alias("hits"),
         F.sum(F.when(F.col("guardrail_triggered"), 1).otherwise(0)).alias("blocks"))
-    users = tagged.groupBy("username").agg(F.min("w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("u"))
+    users = tagged.where(F.col("username").isNotNull()).groupBy("username").agg(F.min("w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("u"))
     per_w = per_w.join(users, "w", "full")
     dim = spark.createDataFrame([(h,) for h in hs], "hours int")
     j = dim.join(F.broadcast(per_w), F.col("w") <= F.col("hours"), "left")

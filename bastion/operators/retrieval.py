@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import libraries as L
 from ..functions.text import col_of, strip
 from .access import principal_namespaces
-from .vectors import block_topk, topk_join
+from .vectors import approx_topk, block_topk, topk_join
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int = L.RERANK_CANDIDATES, *, q_id: str = "query_id",
@@ -22,13 +22,20 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = L.RERANK_CANDIDATES
 
     Queries are expanded to one row per readable namespace (R1; the unrestricted
     role gets every namespace present) and equi-joined on namespace, so the
-    access filter is a join key, never an OR predicate.
+    access filter is a join key, never an OR predicate. ``method``: ``block`` (exact,
+    blocked kernel), ``lsh`` (V6: approximate, needs ``dim``; only chunks of a readable
+    namespace are candidates) or ``join`` (exact, every pair a row: for checks).
     Returns (q_id, c_id, score, retrieval_rank).
     """
     q = principal_namespaces(queries.select(q_id, role, q_vec), chunks, role, namespace)
     if method == "block":
         res = block_topk(q, chunks, k, q_id=q_id, i_id=c_id, q_key=namespace, i_key=namespace, q_vec=q_vec,
-                         i_vec=c_vec, **kw)
+                         i_vec=c_vec, bounded_keys=True, **kw)
+    elif method == "lsh":
+        res = approx_topk(q, chunks, k, q_id=q_id, i_id=c_id, q_key=namespace, i_key=namespace, q_vec=q_vec,
+                          i_vec=c_vec, **kw).select(q_id, c_id, "score", "rank")
+    elif method != "join":
+        raise ValueError(f"unknown method {method!r}")
     else:
         res = topk_join(q, chunks, k, q_id=q_id, i_id=c_id, key=namespace, q_vec=q_vec, i_vec=c_vec, **kw)
     return res.withColumnRenamed("rank", "retrieval_rank")

@@ -21,8 +21,6 @@ keys x k) candidates per query.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -92,6 +90,14 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+def _by_length(vectors: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Positions and unit vectors of each vector length; NULL and empty vectors are in none."""
+    lengths = np.array([0 if v is None else len(v) for v in vectors])
+    values = vectors.to_numpy()
+    return {int(d): (at, _unit(np.stack(values[at]).astype(np.float64)))
+            for d in np.unique(lengths[lengths > 0]) for at in [np.flatnonzero(lengths == d)]}
+
+
 def _select_topk(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, col) candidates holding each row's top-k finite scores, ties at the k-th kept.
 
@@ -129,24 +135,20 @@ def _kernel(k: int, digits: int, exclude_self: bool, max_age_us: int | None, min
     def run(qdf: pd.DataFrame, idf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or idf.empty:
             return empty()
-        dim_i = idf["__iv"].map(len).to_numpy()
-        d = int(np.bincount(dim_i).argmax())
-        idf = idf[dim_i == d]
-        im = _unit(np.stack(idf["__iv"].to_numpy()).astype(np.float64))
+        iparts = _by_length(idf["__iv"])
         iid = idf["__i"].to_numpy(np.int64)
         itie = idf["__t"].to_numpy(np.int64)
         itime = idf["__ts"].to_numpy(np.int64)
-        qlen = qdf["__qv"].map(len).to_numpy()
         step = max(1, max_cells // max(1, len(idf)))
         out = []
         for start in range(0, len(qdf), step):
             part = qdf.iloc[start:start + step]
-            good = qlen[start:start + step] == d
-            qm = np.zeros((len(part), d))
-            if good.any():
-                qm[good] = np.stack(part["__qv"].to_numpy()[good]).astype(np.float64)
-            s = np.round(_unit(qm) @ im.T, digits)
-            s[~good, :] = 0.0  # unequal length -> similarity 0 (V4)
+            # unequal lengths, NULL and empty vectors -> similarity 0 (V4)
+            s = np.zeros((len(part), len(idf)))
+            for d, (qpos, qm) in _by_length(part["__qv"]).items():
+                if d in iparts:
+                    ipos, im = iparts[d]
+                    s[np.ix_(qpos, ipos)] = np.round(qm @ im.T, digits)
             qid = part["__q"].to_numpy(np.int64)
             valid = np.ones(s.shape, dtype=bool)
             if exclude_self:
@@ -177,17 +179,19 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, *, q_id: str, i_id:
                tie: str | None = None, exclude_self: bool = False, q_time: str | None = None,
                i_time: str | None = None, max_age_s: float | None = None, min_score: float | None = None,
                item_block_rows: int = 50_000, query_block_rows: int = 50_000, digits: int = 6,
-               n_queries: int | None = None) -> DataFrame:
+               bounded_keys: bool = False) -> DataFrame:
     """Exact top-k items per query by cosine, computed block by block.
 
-    ``q_key``/``i_key``: optional equi key (e.g. namespace); a query may appear in
+    ``q_key``/``i_key``: the equi key (e.g. namespace); a query may appear in
     several rows with different keys (one per allowed namespace). ``tie`` orders
     equal scores (default the item id; the id always breaks remaining ties).
     ``q_time``/``i_time``/``max_age_s``: keep items with ``0 < q_time - i_time <
     max_age_s`` (cache TTL semantics). ``min_score``: keep only ``score >
     min_score`` (strict). Scores are rounded to ``digits`` before ranking.
-    Block counts per key come from per-key count aggregates on both sides (keyless
-    searches use two count jobs; ``n_queries`` skips one).
+    Block counts per key come from per-key count aggregates on both sides.
+    ``bounded_keys``: the caller knows that the keys are a fixed dimension (at most
+    thousands, e.g. namespaces); the per-key counts are then broadcast, so that no side
+    is shuffled on the key alone. Leave it off for TTL or LSH keys, whose number grows.
     Ids must be integral (the kernel works on int64 arrays); key string ids first.
     Returns (q_id, i_id, score, rank).
     """
@@ -215,7 +219,7 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, *, q_id: str, i_id:
     def nblocks(n, rows):
         return F.greatest(F.lit(1), F.ceil(n / F.lit(rows))).cast("int")
 
-    if q_key or i_key:
+    if q_key and i_key:
         # Block counts per key from per-key counts on both sides (partial aggregates, one
         # row per key): a hot key gets many blocks, a small key one; a query is copied
         # only to the item blocks of its own keys and an item to the query blocks of its
@@ -225,14 +229,12 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, *, q_id: str, i_id:
         qc = q0.groupBy("__k").agg(F.count(F.lit(1)).alias("__n")).select("__k", nblocks(F.col("__n"), query_block_rows)
                                                                           .alias("__nqb"))
         blocks = ic.join(qc, "__k")
+        if bounded_keys:
+            blocks = F.broadcast(blocks)
         q0 = q0.join(blocks, "__k")
         i0 = i0.join(blocks, "__k")
-    else:  # keyless search: one block count per side from two count jobs, no join needed
-        n_q = queries.count() if n_queries is None else n_queries
-        nqb = max(1, math.ceil(n_q / query_block_rows))
-        nb = max(1, math.ceil(items.count() / item_block_rows))
-        q0 = q0.withColumn("__nqb", F.lit(nqb)).withColumn("__nb", F.lit(nb))
-        i0 = i0.withColumn("__nqb", F.lit(nqb)).withColumn("__nb", F.lit(nb))
+    else:
+        raise ValueError("block_topk needs a key on both sides (namespace, time bucket, LSH bucket)")
     # The co-group keys must have identical types on both sides: the shuffle hashes
     # them, and a bigint 0 and an int 0 land in different partitions.
     q = q0.withColumn("__qb", F.pmod(F.xxhash64("__q"), F.col("__nqb")).cast("int")) \
@@ -260,43 +262,55 @@ def hashing_embedder(df: DataFrame, text: str, out: str = "vec", dim: int = 256)
     from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 
-    tok = RegexTokenizer(inputCol=text, outputCol="__tok", pattern=r"\W+", toLowercase=True)
+    tok = RegexTokenizer(inputCol=text, outputCol="__tok", pattern=r"(?U)\W+", toLowercase=True)
     tf = HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=dim)
     nm = Normalizer(inputCol="__tf", outputCol="__nv", p=2.0)
     res = nm.transform(tf.transform(tok.transform(df)))
     return res.withColumn(out, vector_to_array("__nv")).drop("__tok", "__tf", "__nv")
 
 
-def lsh_keys(df: DataFrame, vec: str = "vec", bucket_length: float = 1.0, tables: int = 4, seed: int = 7,
-             out: str = "lsh_key") -> DataFrame:
-    """One row per (row, LSH table) with a string bucket key from random projections.
+def lsh_keys(df: DataFrame, dim: int, vec: str = "vec", bits: int = 8, tables: int = 8, seed: int = 7,
+             out: str = "lsh_key", key: str | None = None) -> DataFrame:
+    """One row per (row, LSH table) with a bucket key: the signs of ``bits`` random projections.
 
-    Uses Spark ML's BucketedRandomProjectionLSH hash functions; rows sharing a key in
-    any table are candidates. Fitting reads only the vector dimension.
+    Rows that share a key in any table are candidates. 2**bits buckets per table: choose ``bits``
+    with the data (about log2(rows / block size)), so that buckets keep their size as data grow.
+    ``key`` (e.g. a namespace) goes into the bucket key, so candidates share it. Vectors that are
+    NULL or not of length ``dim`` have no direction and get no bucket.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    v = df.withColumn("__v", array_to_vector(F.col(vec).cast("array<double>")))
-    model = BucketedRandomProjectionLSH(inputCol="__v", outputCol="__h", bucketLength=bucket_length,
-                                        numHashTables=tables, seed=seed).fit(v.limit(1))
-    h = model.transform(v).select("*", F.posexplode("__h").alias("__tbl", "__hv"))
-    h = h.withColumn(out, F.concat_ws(":", F.col("__tbl").cast("string"),
-                                      F.element_at(vector_to_array("__hv"), 1).cast("long").cast("string")))
-    return h.drop("__v", "__h", "__tbl", "__hv")
-
-
-def approx_topk(queries: DataFrame, items: DataFrame, k: int, *, q_id: str, i_id: str, q_vec: str = "vec",
-                i_vec: str = "vec", bucket_length: float = 1.0, tables: int = 4, seed: int = 7,
-                exclude_self: bool = False, **kw) -> DataFrame:
+    planes = np.random.default_rng(seed).standard_normal((tables * bits, dim))
+
+    @F.pandas_udf("array<string>")
+    def buckets(column: pd.Series) -> pd.Series:
+        good = np.array([v is not None and len(v) == dim for v in column], dtype=bool)
+        found = [None] * len(column)
+        if good.any():
+            signs = np.stack(column.to_numpy()[good]).astype(np.float64) @ planes.T > 0
+            codes = signs.reshape(-1, tables, bits) @ (1 << np.arange(bits))
+            for at, row in zip(np.flatnonzero(good), codes):
+                found[at] = [f"{t}:{c}" for t, c in enumerate(row)]
+        return pd.Series(found)
+
+    keyed = df.withColumn("__b", F.explode(buckets(F.col(vec).cast("array<double>"))))
+    name = F.concat_ws("|", F.col(key).cast("string"), "__b") if key else F.col("__b")
+    return keyed.withColumn(out, name).drop("__b")
+
+
+def approx_topk(queries: DataFrame, items: DataFrame, k: int, *, q_id: str, i_id: str, dim: int, q_key: str | None = None,
+                i_key: str | None = None, q_vec: str = "vec", i_vec: str = "vec", bits: int = 8, tables: int = 8,
+                seed: int = 7, exclude_self: bool = False, **kw) -> DataFrame:
     """V6: approximate top-k — exact scoring only among LSH-bucket mates, block by block.
 
-    Same hash functions on both sides (same seed/dimension). A pair found in
-    several tables is scored several times; the final row_number keeps one.
+    ``q_key``/``i_key`` (both or neither): candidates must also share this key, so access filters
+    hold; a query may come with several keys. A pair found in several tables is kept once. Extra
+    ``q_*``/``i_*`` columns named in ``kw`` (times) are carried. Returned scores are exact.
     """
     other = i_id if i_id != q_id else f"{i_id}_match"
-    qk = lsh_keys(queries.select(q_id, q_vec), q_vec, bucket_length, tables, seed)
-    ik = lsh_keys(items.select(F.col(i_id).alias(other), i_vec), i_vec, bucket_length, tables, seed)
+    carry = [c for c in (kw.get("q_time"),) if c]
+    icarry = [c for c in (kw.get("i_time"), kw.get("tie")) if c]
+    qk = lsh_keys(queries.select(q_id, q_vec, *({q_key} - {None}), *carry), dim, q_vec, bits, tables, seed, key=q_key)
+    ik = lsh_keys(items.select(F.col(i_id).alias(other), i_vec, *({i_key} - {None}), *dict.fromkeys(icarry)), dim, i_vec, bits, tables,
+                  seed, key=i_key)
     cand = block_topk(qk, ik, k * tables, q_id=q_id, i_id=other, q_key="lsh_key", i_key="lsh_key",
                       q_vec=q_vec, i_vec=i_vec, exclude_self=exclude_self, **kw)
     dedup = cand.dropDuplicates([q_id, other])

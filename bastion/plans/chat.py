@@ -4,9 +4,9 @@ guard (G6/G8) -> cache (C1) -> route (T1/T2) -> hypothesis (V7) -> access-filter
 top-k (R2/V5) -> rerank (V8) -> context, prompt, sources (V10-V12) -> answer join
 -> output guard (G7) -> tokens and cost (T3/T4) -> outcome rows (V14).
 
-Every request ends in exactly one outcome — blocked, cached, no_documents or
-completed — and the four branches are unioned by name into one schema. Sinks are
-filters on ``outcome`` (see :func:`sinks`). Answers and hypotheses arrive as
+Every request ends in exactly one outcome — blocked, cached, no_documents, failed (no
+answer came) or completed — and the branches are unioned by name into one schema. Sinks
+are filters on ``outcome`` (see :func:`sinks`). Answers and hypotheses arrive as
 tables; embeddings come from a pluggable function (default: Spark ML hashing).
 """
 
@@ -30,7 +30,7 @@ from ..session import materialize
 
 OUTCOME_COLS = ["query_id", "ts", "username", "role", "query", "response", "sources", "chunk_ids", "model_used",
                 "complexity", "cache_hit", "guardrail_triggered", "guardrail_reason", "block_type", "hyde_used",
-                "rerank_used", "tokens_used", "cost_usd", "outcome", "safe_query", "entry_id"]
+                "rerank_used", "tokens_used", "cost_usd", "latency_ms", "outcome", "safe_query", "entry_id"]
 
 
 @dataclass
@@ -52,7 +52,8 @@ def _typed(df: DataFrame) -> DataFrame:
         F.col("model_used").cast("string"), F.col("complexity").cast("string"), F.col("cache_hit").cast("boolean"),
         F.col("guardrail_triggered").cast("boolean"), F.col("guardrail_reason").cast("string"),
         F.col("block_type").cast("string"), F.col("hyde_used").cast("boolean"), F.col("rerank_used").cast("boolean"),
-        F.col("tokens_used").cast("int"), F.col("cost_usd").cast("double"), F.col("outcome").cast("string"),
+        F.col("tokens_used").cast("int"), F.col("cost_usd").cast("double"),
+        F.col("latency_ms").cast("double"), F.col("outcome").cast("string"),
         F.col("safe_query").cast("string"), F.col("entry_id").cast("long"))
 
 
@@ -60,13 +61,15 @@ def chat(requests: DataFrame, chunks: DataFrame, answers: DataFrame, *, cache_en
          hypotheses: DataFrame | None = None, embed: Callable[[DataFrame, str, str], DataFrame] = hashing_embedder,
          scorer: Callable[[DataFrame], DataFrame] | None = None, cfg: ChatConfig = ChatConfig()) -> DataFrame:
     """Run P1. ``requests``: query_id, ts, username, role, query. ``chunks``: chunk_id,
-    namespace, vec, text, source. ``answers``: query_id, answer. ``cache_entries``:
+    namespace, vec, text, source. ``answers``: query_id, answer, latency_ms (a request without a
+    row, or with a NULL answer, has failed). ``cache_entries``:
     entry_id, vec, created_at, owner_role, response, sources, model_used.
     ``scorer`` adds a ``score`` column to (query_id, safe_query, chunk_id, text)
     candidate rows; the default is token-overlap F1 (E1)."""
-    # fan-out points (guard result, embedded requests, candidates) are checkpointed
-    # once, so the four outcome branches never replay the regex or embedding work
-    g = materialize(check_input(requests, "query", block_on_pii=cfg.block_on_pii))
+    # fan-out points (guard result, embedded requests, candidates) are staged once, with the
+    # columns that are read later, so the outcome branches never replay regex or embedding work
+    g = check_input(requests.select("query_id", "ts", "username", "role", "query"), "query", block_on_pii=cfg.block_on_pii)
+    g = materialize(g.withColumn("guard", F.struct("guard.passed", "guard.blocked_reason", "guard.block_type", "guard.sanitized_input")))
     blocked = g.where(~F.col("guard.passed")).select(
         "query_id", "ts", "username", "role", "query",
         F.concat(F.lit("Warning: "), F.col("guard.blocked_reason")).alias("response"),
@@ -74,7 +77,7 @@ def chat(requests: DataFrame, chunks: DataFrame, answers: DataFrame, *, cache_en
         F.lit("blocked").alias("complexity"), F.lit(False).alias("cache_hit"), F.lit(True).alias("guardrail_triggered"),
         F.col("guard.blocked_reason").alias("guardrail_reason"), F.col("guard.block_type").alias("block_type"),
         F.lit(False).alias("hyde_used"), F.lit(False).alias("rerank_used"), F.lit(0).alias("tokens_used"),
-        F.lit(0.0).alias("cost_usd"), F.lit("blocked").alias("outcome"), F.lit(None).alias("safe_query"),
+        F.lit(0.0).alias("cost_usd"), F.lit(0.0).alias("latency_ms"), F.lit("blocked").alias("outcome"), F.lit(None).alias("safe_query"),
         F.lit(None).alias("entry_id"))
     san = F.col("guard.sanitized_input")
     passed = g.where(F.col("guard.passed")).select(
@@ -96,7 +99,7 @@ def chat(requests: DataFrame, chunks: DataFrame, answers: DataFrame, *, cache_en
             F.lit("cached").alias("complexity"), F.lit(True).alias("cache_hit"),
             F.lit(False).alias("guardrail_triggered"), F.lit("").alias("guardrail_reason"), F.lit("").alias("block_type"),
             F.lit(False).alias("hyde_used"), F.lit(False).alias("rerank_used"), F.lit(0).alias("tokens_used"),
-            F.lit(0.0).alias("cost_usd"), F.lit("cached").alias("outcome"), "safe_query", "entry_id")
+            F.lit(0.0).alias("cost_usd"), F.lit(0.0).alias("latency_ms"), F.lit("cached").alias("outcome"), "safe_query", "entry_id")
         misses = passed.where(~F.coalesce(F.col("hit"), F.lit(False))).drop("hit", "entry_id")
     else:
         cached = None
@@ -120,7 +123,7 @@ def chat(requests: DataFrame, chunks: DataFrame, answers: DataFrame, *, cache_en
         F.col("model_name").alias("model_used"), "complexity", F.lit(False).alias("cache_hit"),
         F.lit(False).alias("guardrail_triggered"), F.lit("").alias("guardrail_reason"), F.lit("").alias("block_type"),
         "hyde_used", F.lit(False).alias("rerank_used"), F.lit(0).alias("tokens_used"), F.lit(0.0).alias("cost_usd"),
-        F.lit("no_documents").alias("outcome"), "safe_query", F.lit(None).alias("entry_id"))
+        F.lit(0.0).alias("latency_ms"), F.lit("no_documents").alias("outcome"), "safe_query", F.lit(None).alias("entry_id"))
 
     # -- rerank, context, prompt ---------------------------------------------------
     cand = cand.join(routed.select("query_id", "safe_query"), "query_id").join(
@@ -136,8 +139,15 @@ def chat(requests: DataFrame, chunks: DataFrame, answers: DataFrame, *, cache_en
     done = R.build_prompt(done)
 
     # -- answer, output guard, cost -----------------------------------------------
-    done = done.join(answers.select("query_id", "answer"), "query_id", "inner")
-    done = check_output(done, "answer")
+    done = done.join(answers.select("query_id", "answer", "latency_ms"), "query_id", "left")
+    broken = done.where(F.col("answer").isNull())
+    failed = broken.select(
+        "query_id", "ts", "username", "role", "query", F.lit("").alias("response"), "sources", "chunk_ids",
+        F.col("model_name").alias("model_used"), "complexity", F.lit(False).alias("cache_hit"),
+        F.lit(False).alias("guardrail_triggered"), F.lit("").alias("guardrail_reason"), F.lit("").alias("block_type"),
+        "hyde_used", "rerank_used", F.lit(0).alias("tokens_used"), F.lit(0.0).alias("cost_usd"), F.lit(0.0).alias("latency_ms"),
+        F.lit("failed").alias("outcome"), "safe_query", F.lit(None).alias("entry_id"))
+    done = check_output(done.where(F.col("answer").isNotNull()), "answer")
     done = done.withColumn("tokens_used", estimate_tokens(F.concat(F.col("prompt"), F.col("answer"))))
     completed = done.select(
         "query_id", "ts", "username", "role", "query", F.col("out_guard.sanitized_input").alias("response"),
@@ -145,9 +155,10 @@ def chat(requests: DataFrame, chunks: DataFrame, answers: DataFrame, *, cache_en
         F.lit(False).alias("cache_hit"), F.lit(False).alias("guardrail_triggered"),
         F.lit("").alias("guardrail_reason"), F.col("out_guard.block_type").alias("block_type"),
         "hyde_used", "rerank_used", "tokens_used", cost_usd("tokens_used", "model_name").alias("cost_usd"),
+        F.coalesce("latency_ms", F.lit(0.0)).alias("latency_ms"),
         F.lit("completed").alias("outcome"), "safe_query", F.lit(None).alias("entry_id"))
 
-    parts = [blocked, no_documents, completed] + ([cached] if cached is not None else [])
+    parts = [blocked, no_documents, failed, completed] + ([cached] if cached is not None else [])
     out = _typed(parts[0])
     for p in parts[1:]:
         out = out.unionByName(_typed(p))
@@ -156,15 +167,14 @@ def chat(requests: DataFrame, chunks: DataFrame, answers: DataFrame, *, cache_en
 
 def sinks(outcomes: DataFrame) -> dict[str, DataFrame]:
     """V14 sink rows: metrics (blocked, cached, completed), chats (completed),
-    guardrail events (blocked), cache puts (completed)."""
+    guardrail events (blocked), cache puts (completed). A failed request is in none."""
     from ..functions.text import sha256_prefix
-    metrics = outcomes.where(F.col("outcome") != "no_documents").select(
+    metrics = outcomes.where(F.col("outcome").isin("blocked", "cached", "completed")).select(
         F.col("query_id").alias("id"), "ts", "username", "role", "model_used", "complexity",
-        F.lit(0.0).alias("latency_ms"), "tokens_used", "cost_usd", "cache_hit", "guardrail_triggered",
-        "guardrail_reason")
+        "latency_ms", "tokens_used", "cost_usd", "cache_hit", "guardrail_triggered", "guardrail_reason")
     chats = outcomes.where(F.col("outcome") == "completed").select(
         F.col("query_id").alias("chat_id"), "ts", "username", "role", "query", F.col("response").alias("answer"),
-        "chunk_ids", "model_used", F.lit(0.0).alias("latency_ms"), "cache_hit")
+        "chunk_ids", "model_used", "latency_ms", "cache_hit")
     events = outcomes.where(F.col("outcome") == "blocked").select(
         "ts", "username", "role", F.col("block_type").alias("event_type"), F.col("guardrail_reason").alias("reason"),
         sha256_prefix("query", L.QUERY_HASH_HEX_CHARS).alias("query_hash"))

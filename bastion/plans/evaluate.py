@@ -10,9 +10,10 @@ from ..sources.sinks import write_report
 
 
 def evaluate(samples: DataFrame, answers: DataFrame | None = None, threshold: float = L.EVAL_THRESHOLD,
-             report_path: str | None = None) -> DataFrame:
+             report_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one-row report, per-question rows); both written below ``report_path`` when given."""
     per_q = per_question(attach_answers(samples, answers))
     rep = report(per_q, threshold, "dry_run" if answers is None else "live")
     if report_path:
-        write_report(rep, report_path)
-    return rep
+        write_report(rep, per_q, report_path)
+    return rep, per_q

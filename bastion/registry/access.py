@@ -32,13 +32,14 @@ def _r1_sql():
 
 def r2_visible_chunks(spark, sf):
     chunks = chunks_from_documents(table(spark, sf, "documents")).select("doc_id", "namespace")
-    principals = _users(spark, sf).select(norm_role("role").alias("role")).distinct()
-    return A.visible_rows(principals, chunks, "role").select("role", "doc_id", "namespace")
+    principals = _users(spark, sf).select(A.role_class("role").alias("role")).distinct()
+    return A.visible_rows(principals, chunks, "role", bounded=True).select("role", "doc_id", "namespace")
 
 
 def _r2_sql():
     return with_sql("chat_queries", "chunks") + f"""
-, p AS (SELECT DISTINCT {D.norm_role('role')} AS role FROM chat_queries),
+, p AS (SELECT DISTINCT CASE WHEN {D.norm_role('role')} IN (SELECT role FROM {D.roles_dim()}) THEN {D.norm_role('role')}
+                        ELSE 'unknown' END AS role FROM chat_queries),
 pairs AS (
   SELECT p.role, rn.namespace FROM p JOIN {D.role_ns_dim()} ON p.role = rn.role WHERE p.role <> 'c-levelexecutives'
   UNION ALL SELECT p.role, 'general' FROM p WHERE p.role NOT IN (SELECT role FROM {D.roles_dim()})

@@ -1,15 +1,17 @@
-"""Registered vector, retrieval and cache queries (V1-V13, C1-C7) over embeddings/documents."""
+"""Registered vector, retrieval and cache queries (V1-V13, C1-C5, C7) over embeddings/documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import libraries as L
+from ..functions.overlap import f1_of_sets
+from ..functions.text import token_set
 from ..operators import cache as C
 from ..operators import retrieval as R
-from ..operators.vectors import approx_topk, cosine
+from ..operators.vectors import cosine
 from ..operators.ingest import fixed_chunks
-from ..sources.driver_tables import chat_answers, chat_queries, table, vectors, with_sql
+from ..sources.driver_tables import chat_answers, chat_queries, pair_id, sql_pair_id, table, vectors, with_sql
 from . import duck as D
 
 THRESHOLD = 0.3  # the synthetic vectors never reach 0.95; 0.3 gives real hits
@@ -60,21 +62,17 @@ FROM vectors a JOIN vectors b ON b.vec_id = a.vec_id + 1"""
 
 
 # -- V5 ----------------------------------------------------------------------
-def _retrieve(spark, sf, k, method="block"):
+def _retrieve(spark, sf, k, method="block", **kw):
     v = _vec(spark, sf)
     q = v.select(F.col("vec_id").alias("query_id"), "role", "vec")
     c = v.select(F.col("vec_id").alias("chunk_id"), "namespace", "vec")
-    return R.retrieve(q, c, k, method=method, exclude_self=True)
+    return R.retrieve(q, c, k, method=method, exclude_self=True, **kw)
 
 
 def v5_topk(spark, sf):
     return _retrieve(spark, sf, L.RERANK_TOP_K)
 
 
-def v5_topk_join(spark, sf):
-    return _retrieve(spark, sf, L.RERANK_TOP_K, method="join")
-
-
 def _pairs_sql():
     return with_sql("vectors") + f"""
 , qn AS (
@@ -94,19 +92,34 @@ def _v5_sql(k):
 
 
 # -- V6 ----------------------------------------------------------------------
+DIM, BITS, TABLES, SEED = 64, 3, 8, 7
+
+
 def v6_approx_topk(spark, sf):
-    v = _vec(spark, sf)
-    return approx_topk(v, v, L.RERANK_TOP_K, q_id="vec_id", i_id="vec_id", exclude_self=True)
+    """Approximate, access-filtered: candidates share a signed-projection bucket and a readable namespace."""
+    return _retrieve(spark, sf, L.RERANK_TOP_K, method="lsh", dim=DIM, bits=BITS, tables=TABLES, seed=SEED)
+
+
+def _v6_sql():
+    import numpy as np
+    planes = np.random.default_rng(SEED).standard_normal((TABLES * BITS, DIM))
+    sign = lambda t, b: f"CASE WHEN list_dot_product(vec, [{', '.join(map(repr, planes[t * BITS + b].tolist()))}]) > 0 THEN {1 << b} ELSE 0 END"
+    tables = ", ".join("'" + f"{t}:' || CAST(" + " + ".join(sign(t, b) for b in range(BITS)) + " AS VARCHAR)" for t in range(TABLES))
+    return _pairs_sql() + f""",
+bk AS (SELECT vec_id, unnest([{tables}]) AS bucket FROM vectors WHERE len(vec) = {DIM}),
+mates AS (SELECT DISTINCT a.vec_id AS query_id, b.vec_id AS chunk_id FROM bk a JOIN bk b ON a.bucket = b.bucket),
+ap AS (SELECT sc.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS retrieval_rank
+  FROM sc JOIN mates USING (query_id, chunk_id))
+SELECT query_id, chunk_id, score, CAST(retrieval_rank AS INTEGER) AS retrieval_rank FROM ap WHERE retrieval_rank <= {L.RERANK_TOP_K}"""
 
 
 # -- V7 ----------------------------------------------------------------------
 def v7_hypothesis(spark, sf):
     conv = table(spark, sf, "conversations")
-    q = chat_queries(conv).withColumn("query_id", F.col("conv_id") * 1000 + F.col("turn"))
-    # generated passages: the assistant reply; short replies stand for a blank/failed generation
-    h = chat_answers(conv).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
-                                  F.when(F.length("answer") > 200, F.col("answer")).otherwise(F.lit("  "))
-                                  .alias("text"))
+    q = chat_queries(conv).withColumn("query_id", pair_id("conv_id", "turn"))
+    # generated passages: the assistant reply; those to a conversation's first turn stand for blank generations
+    h = chat_answers(conv).select(pair_id("conv_id", "turn").alias("query_id"),
+                                  F.when(F.col("turn") > 0, F.col("answer")).otherwise(F.lit("  ")).alias("text"))
     r = R.hypothesis(q, h, "query_id", "query", "text")
     return r.select("query_id", "hyde_used", F.sha2("retrieval_text", 256).alias("retrieval_sha256"),
                     F.length("hyde_prompt").alias("prompt_len"))
@@ -115,22 +128,22 @@ def v7_hypothesis(spark, sf):
 def _v7_sql():
     head, tail = L.HYPOTHESIS_PROMPT.split("{query}")
     return with_sql("chat_queries", "chat_answers") + f"""
-, h AS (SELECT conv_id * 1000 + turn AS query_id,
-               {D.strip("CASE WHEN length(answer) > 200 THEN answer ELSE '  ' END")} AS hyp FROM chat_answers),
-j AS (SELECT q.conv_id * 1000 + q.turn AS query_id, q.query,
-             coalesce(nullif(h.hyp, ''), q.query) AS rt FROM chat_queries q LEFT JOIN h ON h.query_id = q.conv_id * 1000 + q.turn)
+, h AS (SELECT {sql_pair_id('conv_id', 'turn')} AS query_id,
+               {D.strip("CASE WHEN turn > 0 THEN answer ELSE '  ' END")} AS hyp FROM chat_answers),
+j AS (SELECT {sql_pair_id('q.conv_id', 'q.turn')} AS query_id, q.query,
+             coalesce(nullif(h.hyp, ''), q.query) AS rt FROM chat_queries q LEFT JOIN h ON h.query_id = {sql_pair_id('q.conv_id', 'q.turn')})
 SELECT query_id, rt <> query AS hyde_used, sha256(rt) AS retrieval_sha256,
        CAST(length({D.q(head)} || query || {D.q(tail)}) AS INTEGER) AS prompt_len FROM j"""
 
 
 # -- V8/V9 ---------------------------------------------------------------------
 def _second_scorer(spark, sf, cand):
-    """The pair scorer: cosine on the first half of the dimensions (a stand-in model)."""
-    v = _vec(spark, sf)
-    qv = v.select(F.col("vec_id").alias("query_id"), F.slice("vec", 1, 32).alias("qh"))
-    cv = v.select(F.col("vec_id").alias("chunk_id"), F.slice("vec", 1, 32).alias("ch"))
-    return cand.join(qv, "query_id").join(cv, "chunk_id").withColumn(
-        "score", F.round(cosine("qh", "ch"), 6)).drop("qh", "ch")
+    """The default pair scorer, E1, on whole texts: those of the documents with the query's and the chunk's id."""
+    d = table(spark, sf, "documents").select("doc_id", token_set("text").alias("s"))
+    qs = d.select(F.col("doc_id").alias("query_id"), F.col("s").alias("qs"))
+    cs = d.select(F.col("doc_id").alias("chunk_id"), F.col("s").alias("cs"))
+    return cand.join(qs, "query_id", "left").join(cs, "chunk_id", "left").withColumn(
+        "score", F.round(f1_of_sets(F.col("qs"), F.col("cs")), 6)).drop("qs", "cs")
 
 
 def _reranked(spark, sf, keep_scores=False):
@@ -143,11 +156,14 @@ def v8_rerank(spark, sf):
 
 
 def _rerank_sql():
-    half = _cos_sql("list_slice(qv.vec, 1, 32)", "list_slice(cv.vec, 1, 32)")
+    inter = "len(list_intersect(qd.s, cd.s))"
+    f1 = (f"CASE WHEN len(qd.s) = 0 OR len(cd.s) = 0 THEN 0.0::DOUBLE WHEN {inter} = 0 THEN 0.0::DOUBLE ELSE "
+          f"2 * ({inter} / len(qd.s)) * ({inter} / len(cd.s)) / (({inter} / len(qd.s)) + ({inter} / len(cd.s))) END")
     return _pairs_sql() + f""",
+ds AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS s FROM documents),
 cand AS (SELECT query_id, chunk_id, CAST(retrieval_rank AS INTEGER) AS retrieval_rank FROM rk WHERE retrieval_rank <= 8),
-s AS (SELECT cand.*, round({half}, 6) AS score, count(*) OVER (PARTITION BY cand.query_id) > 4 AS rerank_used
-      FROM cand JOIN vectors qv ON qv.vec_id = cand.query_id JOIN vectors cv ON cv.vec_id = cand.chunk_id),
+s AS (SELECT cand.*, round({f1}, 6) AS score, count(*) OVER (PARTITION BY cand.query_id) > 4 AS rerank_used
+      FROM cand LEFT JOIN ds qd ON qd.doc_id = cand.query_id LEFT JOIN ds cd ON cd.doc_id = cand.chunk_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rerank_used THEN score END DESC NULLS LAST,
               retrieval_rank) AS INTEGER) AS rank FROM s)"""
 
@@ -214,15 +230,15 @@ V12_SQL = CTX_SQL + "\nSELECT query_id, sources, chunk_ids, array_to_string(ds,
 def v13_no_documents(spark, sf):
     v = _vec(spark, sf)
     q = v.select(F.col("vec_id").alias("query_id"), "role", "vec")
-    # chunks of the namespaces no restricted role lists by itself
-    c = v.select(F.col("vec_id").alias("chunk_id"), "namespace", "vec")
+    # an index without the namespace that every role may read: roles with no other have nothing
+    c = v.where(F.col("namespace") != "general").select(F.col("vec_id").alias("chunk_id"), "namespace", "vec")
     got = R.retrieve(q, c, 1, exclude_self=True)
     return R.no_documents(q, got).select("query_id", "response")
 
 
 V13_SQL = _pairs_sql() + f"""
 SELECT q.vec_id AS query_id, {D.q(L.MSG_NO_DOCUMENTS)} AS response FROM vectors q
-WHERE q.vec_id NOT IN (SELECT query_id FROM rk)"""
+WHERE q.vec_id NOT IN (SELECT query_id FROM rk JOIN vectors c ON c.vec_id = rk.chunk_id WHERE c.namespace <> 'general')"""
 
 
 # -- cache -------------------------------------------------------------------
@@ -289,12 +305,6 @@ SELECT count(*) AS entries, CAST(coalesce(sum(hits), 0) AS BIGINT) AS total_hits
   {THRESHOLD}::DOUBLE AS threshold FROM live"""
 
 
-def c6_replay(spark, sf):
-    q, _ = _cache_sides(spark, sf)
-    log = q.withColumn("shard", F.lower(F.trim("role")))
-    return C.replay(log, shard="shard", threshold=THRESHOLD)
-
-
 def c7_near_duplicates(spark, sf):
     q, _ = _cache_sides(spark, sf)
     return C.near_duplicates(q, threshold=THRESHOLD)
@@ -311,7 +321,6 @@ QUERIES = {
     "v1_chunks": v1_chunks,
     "v4_cosine": v4_cosine,
     "v5_topk": v5_topk,
-    "v5_topk_join": v5_topk_join,
     "v6_approx_topk": v6_approx_topk,
     "v7_hypothesis": v7_hypothesis,
     "v8_rerank": v8_rerank,
@@ -324,14 +333,13 @@ QUERIES = {
     "c2_live_entries": c2_live_entries,
     "c3_capacity": c3_capacity,
     "c4_stats": c4_stats,
-    "c6_replay": c6_replay,
     "c7_near_duplicates": c7_near_duplicates,
 }
 ORACLE = {
     "v1_chunks": V1_SQL,
     "v4_cosine": V4_SQL,
     "v5_topk": _v5_sql(L.RERANK_TOP_K),
-    "v5_topk_join": _v5_sql(L.RERANK_TOP_K),
+    "v6_approx_topk": _v6_sql(),
     "v7_hypothesis": _v7_sql(),
     "v8_rerank": V8_SQL,
     "v9_rerank_scores": V9_SQL,

@@ -39,29 +39,45 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used as is.
-    Only when it is unset (local tests) do we pick a scratch folder of our own.
+    On a cluster ``spark.checkpoint.dir`` must point at shared storage and is used as is.
+    Only a ``local[...]`` session without it (tests) gets a scratch folder of its own.
     """
     current = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if current:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
         return current
-    path = tempfile.mkdtemp(prefix="bastion-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
+    path = tempfile.mkdtemp(prefix="bastion-ckpt-")
     spark.conf.set(CHECKPOINT_KEY, path)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def materialize(df):
-    """Cut lineage at a fan-out point with a reliable checkpoint.
+    """Cut lineage at a fan-out point: write ``df`` as Parquet below the shared checkpoint folder, read it back.
 
-    Data goes to the shared ``spark.checkpoint.dir`` (never a machine-local folder
-    or a local checkpoint), so a lost executor does not force recomputation of the
-    upstream plan, and branches that read the result do not each replay it.
+    The input is computed once (a reliable ``checkpoint()`` computes it twice: once for the action and once
+    for the files), stays columnar and compressed, and survives a lost executor. The files live below
+    ``bastion/<application id>``; :func:`drop_materialized` deletes them when the results are written.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{_stage_root(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _stage_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/bastion/{spark.sparkContext.applicationId}"
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete all that :func:`materialize` wrote in this application."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stage_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _SHIPPED: set[str] = set()

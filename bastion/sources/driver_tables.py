@@ -21,7 +21,7 @@ NAMESPACES = ["finance", "hr", "engineering", "marketing", "general", "c-levelex
 # User roles: the six known roles plus 'general', which is not a role (unknown-role case).
 USER_ROLES = ["c-levelexecutives", "finance", "hr", "engineering", "marketing", "employee", "general"]
 OWNER_ROLES = [r for r, _ in L.ROLE_LEVELS]
-MODELS = ["llama-3.1-8b-instant", "llama-3.3-70b-versatile", "mixtral-8x7b-32768"]
+MODELS = [m for m, _ in L.MODEL_RATES_E8][:3]
 COMPLEXITIES = ["simple", "moderate", "complex"]
 CACHE_BASE = "2024-01-01 00:00:00"
 CACHE_SPACING_S = 60
@@ -33,25 +33,29 @@ def pick(values: list[str], idx: Column) -> Column:
 
 
 TEXT_TABLES = {"documents", "conversations", "pages", "benchmark"}
+#: Session setting of bench and test runs: deal a text table's rows over so many partitions. A file
+#: of one row group scans as one task, however costly the regexes on it are. Unset (the default, and
+#: right for tables of many files) the scan is taken as it is.
+DEAL_KEY = "spark.bastion.dealTextTables"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    parts = spark.conf.get(DEAL_KEY, None)
+    return df.repartition(int(parts)) if parts and name in TEXT_TABLES else df
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Make a CPU-heavy scan use the whole cluster.
+def pair_id(a: str, b: str) -> Column:
+    """One number for a pair of non-negative integers, never the same for two pairs (Cantor pairing).
 
-    Regex guards and chunking cost far more per byte than the read. A file written
-    as one row group scans as one task; then the rows are dealt round-robin over
-    ``defaultParallelism`` partitions. Large inputs already have at least that many
-    splits, and are returned untouched (no extra shuffle).
+    Overflow (a + b beyond 4e9) fails under ANSI mode rather than colliding.
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)
+    s = F.col(a).cast("long") + F.col(b).cast("long")
+    return F.shiftright(s * (s + 1), 1) + F.col(b).cast("long")
+
+
+def sql_pair_id(a: str, b: str) -> str:
+    return f"((({a}) + ({b})) * (({a}) + ({b}) + 1) // 2 + ({b}))"
 
 
 def doc_namespace(source: Column) -> Column:
@@ -119,7 +123,7 @@ def feedback_requests(events: DataFrame) -> DataFrame:
     rating = (F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1)
               .when(F.col("event_type") == "signup", 0))
     return events.where(F.col("event_type").isin("purchase", "error", "signup")).select(
-        F.concat(F.lit("c"), (F.col("event_id") % 5000).cast("string")).alias("chat_id"),
+        F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("chat_id"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"),
         pick(USER_ROLES, F.col("user_id")).alias("role"),
         rating.cast("int").alias("rating"),
@@ -193,7 +197,7 @@ query_metrics AS (
          CASE WHEN blocked THEN 'INJECTION' ELSE '' END AS guardrail_reason
   FROM qm1)""",
     "feedback_requests": f"""feedback_requests AS (
-  SELECT 'c' || CAST(event_id % 5000 AS VARCHAR) AS chat_id, 'u' || CAST(user_id AS VARCHAR) AS username,
+  SELECT 'c' || CAST(event_id AS VARCHAR) AS chat_id, 'u' || CAST(user_id AS VARCHAR) AS username,
          {sql_pick(USER_ROLES, "user_id")} AS role,
          CAST(CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 WHEN 'signup' THEN 0 END AS INTEGER) AS rating,
          repeat(props, 60) AS comment, ts, event_id AS id

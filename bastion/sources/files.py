@@ -21,13 +21,23 @@ CSV_SUFFIXES = (".csv",)
 EXTRACTED_ONLY = (".pdf",)  # page extraction is a per-file codec we do not ship
 
 
+def _segments(path: str) -> int:
+    return len([x for x in path.split("/") if x])
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """Files exactly two levels below ``root`` with path, department, file_name, suffix, content."""
-    root = root.rstrip("/")
-    files = spark.read.format("binaryFile").load(f"{root}/*/*")
-    depth = len(root.split("/")) + 2
-    parts = F.split(F.regexp_replace("path", "^file:", ""), "/")
-    return (files.where(F.size(parts) == depth)
+    """Files exactly two levels below ``root`` with path, department, file_name, suffix, content.
+
+    ``root`` may be relative, a URI, or hold doubled slashes: its depth is that of the path as the file
+    system resolves it. Files of other suffixes are not read at all.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
+    resolved = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri().getPath()
+    known = ",".join(s[1:] for s in (*TEXT_SUFFIXES, *CSV_SUFFIXES, *EXTRACTED_ONLY))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{known}}}").load(f"{root.rstrip('/')}/*/*")
+    bare = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    parts = F.filter(F.split(bare, "/"), lambda x: x != "")
+    return (files.where(F.size(parts) == _segments(resolved) + 2)
             .select("path", F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("file_name"),
                     "content")
             .withColumn("suffix", F.regexp_extract("file_name", r"(\.[^.]+)$", 1)))
@@ -40,42 +50,66 @@ def tag(df: DataFrame) -> DataFrame:
 
 
 def text_documents(files: DataFrame) -> DataFrame:
-    """A .md/.txt file is one document (whole file, UTF-8)."""
+    """A .md/.txt file is one document (whole file, UTF-8); ``error`` is set, and text null, where it is not UTF-8."""
     t = files.where(F.col("suffix").isin(*TEXT_SUFFIXES))
-    return t.select("path", "folder", "file_name", F.decode("content", "UTF-8").alias("text"))
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    return t.select("path", "folder", "file_name", text.alias("text"),
+                    F.when(text.isNull(), F.lit("not valid UTF-8")).alias("error"))
+
+
+#: CSV rows handed on at a time.
+CSV_BATCH = 2000
 
 
 def _csv_rows(batches):
+    def rows(rec):
+        try:
+            reader = csv.DictReader(io.TextIOWrapper(io.BytesIO(rec.content), "utf-8", newline=""))
+            for i, row in enumerate(reader):
+                text = "\n".join(f"{(k or '').strip()}: {(v or '').strip() if isinstance(v, str) else v}"
+                                 for k, v in row.items())
+                yield (rec.path, rec.folder, rec.file_name, i, text, None)
+        except Exception as exc:  # noqa: BLE001 — a bad file is reported, the job goes on
+            yield (rec.path, rec.folder, rec.file_name, -1, None, f"{type(exc).__name__}: {exc}")
+
+    def frame(out):
+        return pd.DataFrame(out, columns=["path", "folder", "file_name", "row", "text", "error"])
+
+    out = []
     for pdf in batches:
-        out = []
         for rec in pdf.itertuples(index=False):
-            try:
-                body = bytes(rec.content).decode("utf-8")
-                reader = csv.DictReader(io.StringIO(body))
-                for i, row in enumerate(reader):
-                    text = "\n".join(f"{(k or '').strip()}: {(v or '').strip() if isinstance(v, str) else v}"
-                                     for k, v in row.items())
-                    out.append((rec.path, rec.folder, rec.file_name, i, text, None))
-            except Exception as exc:  # noqa: BLE001 — a bad file is reported, the job goes on
-                out.append((rec.path, rec.folder, rec.file_name, -1, None, f"{type(exc).__name__}: {exc}"))
-        yield pd.DataFrame(out, columns=["path", "folder", "file_name", "row", "text", "error"])
+            for row in rows(rec):
+                out.append(row)
+                if len(out) >= CSV_BATCH:
+                    yield frame(out)
+                    out = []
+    if out:
+        yield frame(out)
 
 
 def csv_documents(files: DataFrame) -> DataFrame:
     """S3: one document per CSV row, text = 'column: value' lines; parse errors kept in ``error``.
 
     Each file is parsed inside a task with Python's csv module (quotes, embedded
-    commas and newlines handled); files are spread over tasks by the scan.
+    commas and newlines handled), its rows handed on in small batches; files are spread over
+    tasks by the scan. A file above the binary source's 2 GB needs :func:`large_csv_documents`.
     """
     c = files.where(F.col("suffix").isin(*CSV_SUFFIXES)).select("path", "folder", "file_name", "content")
     return c.mapInPandas(_csv_rows, "path string, folder string, file_name string, row int, text string, "
                                     "error string")
 
 
+def large_csv_documents(spark: SparkSession, path: str) -> DataFrame:
+    """S3 for one big file: Spark's own reader, which splits it (no line breaks inside quotes)."""
+    rows = spark.read.csv(path, header=True, escape='"')
+    lines = [F.concat(F.lit(f"{c.strip()}: "), F.coalesce(F.trim(F.col(f"`{c}`")), F.lit(""))) for c in rows.columns]
+    return rows.select(F.lit(path).alias("path"), F.concat_ws("\n", *lines).alias("text"))
+
+
 def load_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(documents, rejects). documents: path, file_name, source, role, department, row, text."""
     files = scan(spark, root)
-    txt = text_documents(files).withColumn("row", F.lit(0)).withColumn("error", F.lit(None).cast("string"))
+    txt = text_documents(files).withColumn("row", F.lit(0))
     csvd = csv_documents(files)
     docs = txt.unionByName(csvd)
     good = tag(docs.where(F.col("error").isNull()).drop("error"))

@@ -17,11 +17,15 @@ def upsert_latest(current: DataFrame | None, incoming: DataFrame, key: str = "ch
                   ts: str = "indexed_at") -> DataFrame:
     """Last write wins per key (INSERT OR REPLACE semantics), batched.
 
-    A shuffle on the key and a row_number per key — partitioned, never global.
+    At equal timestamps an incoming row replaces a current one; among incoming rows the one that
+    sorts last by all its columns wins, so a rerun keeps the same row. A shuffle on the key and a
+    row_number per key — partitioned, never global.
     """
-    allrows = incoming if current is None else current.unionByName(incoming, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.col(ts).desc_nulls_last())
-    return allrows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+    new = incoming.withColumn("__new", F.lit(1))
+    allrows = new if current is None else current.withColumn("__new", F.lit(0)).unionByName(new, allowMissingColumns=True)
+    plain = [c for c, kind in allrows.dtypes if "map<" not in kind]
+    w = Window.partitionBy(key).orderBy(F.col(ts).desc_nulls_last(), F.col("__new").desc(), F.struct(*plain).desc())
+    return allrows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn", "__new")
 
 
 def rebuild_index(chunks: DataFrame, doc_chunks: DataFrame, index_path: str, meta_path: str) -> None:
@@ -58,6 +62,7 @@ def append_guardrail_events(df: DataFrame, path: str, query: str = "query") -> N
     guardrail_event_rows(df, query).write.mode("append").parquet(path)
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """The evaluation report (one row, ``per_question`` as array<struct>) as JSON."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+def write_report(report: DataFrame, per_question: DataFrame, path: str) -> None:
+    """The evaluation report as JSON: ``path/summary`` (one row) and ``path/per_question`` (a row each)."""
+    report.write.mode("overwrite").json(f"{path}/summary")
+    per_question.write.mode("overwrite").json(f"{path}/per_question")

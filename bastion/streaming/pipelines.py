@@ -1,47 +1,49 @@
-"""Structured Streaming versions of the guard, the monitor and the cache replay.
+"""Structured Streaming versions of the guard and the monitor.
 
 * P4 ``guard_stream``: stateless — G6 on each micro-batch, passed and blocked rows
   written by ``foreachBatch`` (one projected batch, two filtered writes).
 * P5 ``monitor_stream``: event-time 5-minute windows with a watermark, append mode;
   gap filling is done at read time (append mode emits only non-empty buckets).
-* P6 ``cache_replay_stream``: ``applyInPandasWithState`` per shard; the state is
-  the shard's live cache entries, bounded by capacity and TTL, and an event-time
-  timeout drops a shard's state once the watermark passes its TTL.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import libraries as L
-from ..functions.text import epoch_us
-from ..operators.cache import REPLAY_SCHEMA, replay_shard
 from ..operators.guardrails import check_input, guard_split
 
 
 def guard_stream(messages: DataFrame, passed_path: str, events_path: str, checkpoint: str,
                  text: str = "query", block_on_pii: bool = True, trigger: dict | None = None):
-    """Start the guard query; returns the StreamingQuery."""
+    """Start the guard query; returns the StreamingQuery.
+
+    Each micro-batch overwrites its own folder ``epoch=<n>`` below both paths, so a batch that is
+    retried after a failure replaces what it wrote. Readers of the paths see a partition column ``epoch``.
+    """
     guarded = check_input(messages, text, block_on_pii=block_on_pii)
 
+    write = guard_batch(passed_path, events_path, text)
+    w = guarded.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = w.trigger(**(trigger or {"availableNow": True}))
+    return w.start()
+
+
+def guard_batch(passed_path: str, events_path: str, text: str = "query"):
+    """The function that writes one guarded micro-batch."""
     def write(batch: DataFrame, epoch: int) -> None:
         # the micro-batch feeds two sinks: compute the guard once, then filter
         batch = batch.persist()
         try:
             fwd, events, _ = guard_split(batch, text, ts="ts" if "ts" in batch.columns else None,
                                          materialized=True)
-            fwd.drop("guard").write.mode("append").parquet(passed_path)
-            events.write.mode("append").parquet(events_path)
+            fwd.drop("guard").write.mode("overwrite").parquet(f"{passed_path}/epoch={epoch}")
+            events.write.mode("overwrite").parquet(f"{events_path}/epoch={epoch}")
         finally:
             batch.unpersist()
 
-    w = guarded.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    w = w.trigger(**(trigger or {"availableNow": True}))
-    return w.start()
+    return write
 
 
 def monitor_frames(metrics: DataFrame, watermark: str = "10 minutes", bucket: str = L.TREND_BUCKET):
@@ -69,48 +71,6 @@ def monitor_stream(metrics: DataFrame, trend_path: str, model_path: str, checkpo
     return q1, q2
 
 
-STATE_SCHEMA = "entries string"
-
-
-def _encode(state: list) -> str:
-    import json
-    return json.dumps([[e[0], e[1], e[2].tolist(), e[3], e[4]] for e in state])
-
-
-def _decode(s: str) -> list:
-    import json
-    return [[e[0], e[1], np.asarray(e[2]), e[3], e[4]] for e in json.loads(s)]
-
-
-def cache_replay_stream(log: DataFrame, watermark: str = "1 hour", shard: str = "shard",
-                        ttl_s: float = L.CACHE_TTL_SECONDS, threshold: float = L.CACHE_THRESHOLD,
-                        max_size: int = L.CACHE_MAX_SIZE) -> DataFrame:
-    """The C6 replay on a stream; returns the streaming DataFrame of lookups.
-
-    Within a micro-batch a shard's rows are replayed in event-time order, then the
-    bounded cache state is stored for the next batch.
-    """
-    src = log.withColumn("ts_us", epoch_us(log, "ts")).withColumn("ts", F.col("ts").cast("timestamp")) \
-        .withWatermark("ts", watermark).select(
-            "query_id", "role", F.col("vec").cast("array<double>").alias("vec"), "ts_us",
-            F.col(shard).cast("string").alias("shard"), "ts")
-
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        cur = _decode(state.get[0]) if state.exists else []
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        out, cur = replay_shard(batch, ttl_s, threshold, max_size, cur)
-        state.update((_encode(cur),))
-        if len(batch):
-            state.setTimeoutTimestamp(int(batch["ts_us"].max() // 1000 + ttl_s * 1000))
-        yield out
-
-    return src.groupBy("shard").applyInPandasWithState(fn, REPLAY_SCHEMA, STATE_SCHEMA, "append",
-                                                       GroupStateTimeout.EventTimeTimeout)
-
-
 def fill_trend(trend: DataFrame, bucket_minutes: int = 5) -> DataFrame:
     """P5 read side: gap-fill the appended buckets (A10 NULL latency, A11 0.0 cost).
 

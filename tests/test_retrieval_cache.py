@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from bastion.operators import cache as C
 from bastion.operators import retrieval as R
-from bastion.operators.vectors import approx_topk, block_topk, cosine, topk_join
+from bastion.operators import access as A
+from bastion.operators.vectors import approx_topk, block_topk, cosine, lsh_keys, topk_join
 from bastion.sources.driver_tables import table, vectors
 from conftest import SF_CHECK
 
@@ -41,13 +42,51 @@ def test_block_topk_equals_join_and_numpy(spark):
     assert sorted(brute) == ra
 
 
-def test_lsh_recall(spark):
-    v = vectors(table(spark, SF_CHECK, "embeddings")).select("vec_id", "vec")
-    exact = block_topk(v, v.withColumnRenamed("vec_id", "other"), 1, q_id="vec_id", i_id="other", exclude_self=True)
-    approx = approx_topk(v, v, 1, q_id="vec_id", i_id="vec_id", exclude_self=True)
-    e = {(r[0], r[1]) for r in exact.collect()}
-    a = {(r[0], r[1]) for r in approx.select("vec_id", "vec_id_match").collect()}
-    assert len(e & a) / len(e) >= 0.9  # SURVEY §5 (c)
+def _near_vectors(spark, n, dim=16, seed=0):
+    """n items in two namespaces; every query is an item with a little noise."""
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal((n, dim))
+    near = base + 0.05 * rng.standard_normal((n, dim))
+    items = spark.createDataFrame([(i, base[i].tolist(), "ab"[i % 2]) for i in range(n)], "iid long, vec array<double>, ns string")
+    queries = spark.createDataFrame([(i, near[i].tolist(), "ab"[i % 2]) for i in range(n)], "qid long, vec array<double>, ns string")
+    return queries, items
+
+
+def test_lsh_recall_and_pruning(spark):
+    shares = []
+    for n, bits in ((400, 3), (3200, 6)):
+        q, i = _near_vectors(spark, n)
+        a = approx_topk(q, i, 1, q_id="qid", i_id="iid", dim=16, q_key="ns", i_key="ns", bits=bits, tables=8).collect()
+        assert sum(r.qid == r.iid for r in a) / n >= 0.9
+        qk, ik = (lsh_keys(f, 16, bits=bits, tables=8, key="ns").select(c, "lsh_key") for f, c in ((q, "qid"), (i, "iid")))
+        pairs = qk.join(ik, "lsh_key").count()
+        shares.append(pairs / (n * n / 2))
+        exact = {(r.qid, r.iid): r.score for r in block_topk(q, i, 50, q_id="qid", i_id="iid", q_key="ns", i_key="ns").collect()}
+        assert all(exact.get((r.qid, r.iid), r.score) == r.score and r.qid % 2 == r.iid % 2 for r in a)
+    assert shares[1] < 0.4 and shares[1] < shares[0] / 2  # pairs scored, against all pairs of a namespace
+
+
+def test_retrieve_by_lsh_respects_roles(spark):
+    v = vectors(table(spark, SF_CHECK, "embeddings"))
+    q = v.select(F.col("vec_id").alias("query_id"), "role", "vec")
+    c = v.select(F.col("vec_id").alias("chunk_id"), "namespace", "vec")
+    got = R.retrieve(q, c, 4, method="lsh", dim=64, bits=3, exclude_self=True)
+    allowed = A.principal_namespaces(q.select("query_id", "role"), c).select("query_id", "namespace").distinct()
+    named = got.join(c.select("chunk_id", "namespace"), "chunk_id")
+    assert named.count() == got.count() > 0 and named.join(allowed, ["query_id", "namespace"], "left_anti").count() == 0
+    exact = {(r[0], r[1]): r[2] for r in R.retrieve(q, c, 4, exclude_self=True).collect()}
+    assert all(exact[r[0], r[1]] == r[2] for r in got.collect() if (r[0], r[1]) in exact)
+
+
+def test_kernel_with_mixed_null_and_empty_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 1.0, 0.0]), (5, None), (6, []), (7, [0.0, 0.0]), (8, [2.0, 0.0])]
+    q = spark.createDataFrame([(i, v, "n") for i, v in rows], "qid long, vec array<double>, k string")
+    i = spark.createDataFrame([(10 + i, v, "n") for i, v in rows], "iid long, vec array<double>, k string")
+    want = sorted(tuple(r) for r in topk_join(q, i, 5, q_id="qid", i_id="iid", key="k").collect())
+    assert len(want) == 40
+    for size in (1, 2, 3, 100):
+        got = block_topk(q, i, 5, q_id="qid", i_id="iid", q_key="k", i_key="k", item_block_rows=size, query_block_rows=size)
+        assert sorted(tuple(r) for r in got.collect()) == want, size
 
 
 def test_rerank_fixtures(spark):
@@ -128,26 +167,21 @@ def test_capacity_stats_invalidate(spark):
     assert C.invalidate(e, 2).count() == 3
 
 
-def test_replay_equals_sequential(spark):
-    rows = [(i, "employee", [1.0, 0.0] if i % 2 else [0.0, 1.0], T0 + dt.timedelta(seconds=i), "s") for i in range(6)]
-    log = spark.createDataFrame(rows, "query_id long, role string, vec array<double>, ts timestamp_ntz, shard string")
-    r = {x.query_id: x.hit for x in C.replay(log, threshold=0.95).collect()}
-    assert r == {0: False, 1: False, 2: True, 3: True, 4: True, 5: True}
-
-
-def test_replay_streams_across_batches(spark):
-    """A shard longer than one Arrow batch keeps its state across batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
-    try:
-        rows = [(i, "employee", [1.0, 0.0] if i < 5 else [0.0, 1.0], T0 + dt.timedelta(seconds=i), "s" + str(i % 2))
-                for i in range(12)]
-        log = spark.createDataFrame(rows, "query_id long, role string, vec array<double>, ts timestamp_ntz, "
-                                          "shard string")
-        r = {x.query_id: x.hit for x in C.replay(log, threshold=0.95).collect()}
-        # per shard: the first query of each vector direction misses, later ones hit
-        assert [q for q, h in sorted(r.items()) if not h] == [0, 1, 5, 6]
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+def test_strict_namespaces(spark):
+    s = dt.timedelta(seconds=1)
+    e = spark.createDataFrame([(1, [1.0, 0.0], T0, "employee"), (2, [0.0, 1.0], T0, "hr")],
+                              "entry_id long, vec array<double>, created_at timestamp_ntz, owner_role string")
+    q = spark.createDataFrame([(10, [1.0, 0.0], T0 + s, "employee"), (11, [1.0, 0.0], T0 + s, "hr"), (12, [0.0, 1.0], T0 + s, "finance"),
+                               (13, [0.0, 1.0], T0 + s, "C-LevelExecutives")], "query_id long, vec array<double>, ts timestamp_ntz, role string")
+    hit = {r.query_id: r.hit for r in C.lookup(q, e, threshold=0.95, strict_namespaces=True).collect()}
+    assert hit == {10: True, 11: True, 12: False, 13: True}
+
+
+def test_near_duplicates_by_lsh(spark):
+    rows = [(k, [1.0, 0.0, 0.1 * (k % 2)], T0 + dt.timedelta(seconds=k)) for k in range(6)]
+    log = spark.createDataFrame(rows, "query_id long, vec array<double>, ts timestamp_ntz")
+    exact, lsh = C.near_duplicates(log).first(), C.near_duplicates(log, method="lsh", dim=3, bits=2).first()
+    assert exact.near_duplicates == 5 and lsh.near_duplicates == 5
 
 
 def test_plugins(spark):
