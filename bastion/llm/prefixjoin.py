@@ -4,10 +4,11 @@ A text's set holds the hashes of its distinct 5-word shingles. Two texts link wh
 100 * |intersection| >= 75 * |union|; the result is each text's connected component. The steps:
 
 1. Equal sets fall into one class (a 64-bit sum over the set and its size).
-2. Survivors. A class can have a partner only if 75 % of its shingles occur in other texts. Shingles are
-   exchanged as packed arrays (32 hash bits and a 16-bit place in their chunk), at most one entry per
-   shingle and chunk, so a shingle of very many texts costs one entry per chunk; every chunk gets back
-   which of its entries were met elsewhere. Most texts end here.
+2. Survivors. Of two partners' shingles in hash order, the first n - ceil(0.75 n) + n // 4 of each hold at
+   least a quarter of the smaller set in common. Only these are exchanged, as packed arrays (32 hash bits
+   and a 16-bit place in their chunk), at most one entry per shingle and chunk, so a shingle of very many
+   texts costs one entry per chunk; every chunk gets back which of its entries were met elsewhere. A text
+   that shares fewer than so many with others has no partner. Most texts end here.
 3. Grouped prefix join. The survivors' shingles are ordered by frequency, rarest first. Partners share a
    shingle in the first n - ceil(0.75 n) + 1 of each. Shingles of one class only match nothing and are left
    out. Classes with equal prefixes and sizes collapse into one group. Groups that share a prefix shingle
@@ -56,6 +57,16 @@ def need(n):
     return (PERCENT * n + 99) // 100
 
 
+def spare(n):
+    """Common shingles that step 2 asks of a set of n, and sends beyond the part that may differ."""
+    return np.maximum(1, n // 4)
+
+
+def sent(n):
+    """How many of a set's n shingles, in hash order, step 2 sends: two linked sets share the ``spare`` smallest common ones there."""
+    return n - need(n) + spare(n)
+
+
 def node_of(tokens: np.ndarray) -> int:
     """Order-free 64-bit name of a set."""
     with np.errstate(over="ignore"):
@@ -88,6 +99,7 @@ def _entries(texts: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seq = TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
+        known: list[tuple[int, int]] = []  # (node, n) of each text
         size = 0
 
         def flush() -> pa.RecordBatch:
@@ -104,16 +116,18 @@ def _entries(texts: DataFrame, parts: int) -> DataFrame:
             start = np.flatnonzero(first)
             shared = np.repeat(np.diff(np.append(start, len(tokens))) > 1, np.diff(np.append(start, len(tokens))))
             local = np.bincount(owner[shared], minlength=len(held)).astype(np.int32)
-            sent, reply = tokens[start], np.where(shared[start], NO_REPLY, owner[start]).astype(np.uint16)
-            part = ((sent >> C.U64(48)) * C.U64(parts)) >> C.U64(16)
-            cuts = np.searchsorted(part, np.arange(parts + 1, dtype=C.U64))
-            low = ((sent >> C.U64(16)) & C.U64(0xFFFFFFFF)).astype(np.uint32)
+            entry, reply = tokens[start], np.where(shared[start], NO_REPLY, owner[start]).astype(np.uint16)
+            # the low bits deal entries evenly: the high ones are small by choice of the sent part
+            part = ((entry & C.U64(0xFFFF)) * C.U64(parts)) >> C.U64(16)
+            order = np.argsort(part, kind="stable")
+            entry, reply = entry[order], reply[order]
+            cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=C.U64))
+            low = ((entry >> C.U64(16)) & C.U64(0xFFFFFFFF)).astype(np.uint32)
             some = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
             home = int(C.mix(np.array([chunk], C.U64))[0] % C.U64(parts))
-            nodes = np.array([node_of(s) for s in held], dtype=np.int64)
             return pa.RecordBatch.from_arrays([
                 pa.array([*some, home], pa.int32()), pa.array([chunk] * (len(some) + 1), pa.int64()),
-                pa.array([*(low[cuts[p]:cuts[p + 1]].tobytes() for p in some), np.stack([nodes, sizes]).tobytes()], pa.binary()),
+                pa.array([*(low[cuts[p]:cuts[p + 1]].tobytes() for p in some), np.array(known, dtype=np.int64).T.tobytes()], pa.binary()),
                 pa.array([*(reply[cuts[p]:cuts[p + 1]].tobytes() for p in some), local.tobytes()], pa.binary()),
                 pa.array([*[False] * len(some), True])], ["part", "chunk", "a", "b", "about"])
 
@@ -121,11 +135,12 @@ def _entries(texts: DataFrame, parts: int) -> DataFrame:
             for _, _, data, offs in C.text_groups(batch.column(0)):
                 for s in C.sets_of(data, offs):
                     if len(s):
-                        held.append(s)
-                        size += len(s)
+                        held.append(s[:sent(len(s))])
+                        known.append((node_of(s), len(s)))
+                        size += len(held[-1])
                     if size >= CHUNK_SHINGLES or len(held) >= CHUNK_TEXTS:
                         yield flush()
-                        held, size = [], 0
+                        held, known, size = [], [], 0
         if held:
             yield flush()
 
@@ -157,7 +172,7 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _survive(frame: pd.DataFrame) -> pd.DataFrame:
-    """Texts of one chunk that share enough of their shingles: (node, n)."""
+    """Texts of one chunk that share enough of the shingles they sent: (node, n)."""
     about = frame[frame["about"]]
     if not len(about):
         return pd.DataFrame({"node": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
@@ -165,7 +180,7 @@ def _survive(frame: pd.DataFrame) -> pd.DataFrame:
     shared = np.frombuffer(about["b"].iloc[0], np.int32).astype(np.int64)
     for reply in frame[~frame["about"]]["a"]:
         shared = shared + np.bincount(np.frombuffer(reply, np.uint16), minlength=len(shared))
-    keep = shared >= need(sizes)
+    keep = shared >= spare(need(sizes))
     return pd.DataFrame({"node": nodes[keep], "n": sizes[keep]})
 
 
@@ -373,12 +388,15 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row of each component; rows without words stay as they are. Texts cross the network once."""
-    first = near_components(df, id_col, text_col).where("first").select(F.col("id").alias("__llm_id"), F.col("mark").alias("__llm_mark"), "n_shingles").distinct()
-    rows = df.withColumn("__llm_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    met = rows.join(first, F.col(id_col).eqNullSafe(F.col("__llm_id")) & (F.col("__llm_text") == F.col("__llm_mark")))
-    # repeated rows of the first text: one stays
-    rank = Window.partitionBy("__llm_id", "__llm_mark").orderBy(F.lit(0))
-    return met.withColumn("__llm_k", F.row_number().over(rank)).where("__llm_k = 1 or n_shingles = 0").select(*df.columns)
+    first = near_components(df, id_col, text_col).where("first").select(
+        F.xxhash64("id", "mark").alias("__llm_key"), F.col("id").alias("__llm_id"), F.col("mark").alias("__llm_mark"),
+        (F.col("n_shingles") == 0).alias("__llm_none")).distinct()
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = df.withColumn("__llm_text", mark).withColumn("__llm_key", F.xxhash64(F.col(id_col), F.col("__llm_text")))
+    met = rows.join(first, "__llm_key").where(F.col(id_col).eqNullSafe(F.col("__llm_id")) & (F.col("__llm_text") == F.col("__llm_mark")))
+    # repeated rows of the first text: one stays; the join has dealt the rows by the key already
+    rank = Window.partitionBy("__llm_key", "__llm_id", "__llm_mark").orderBy(F.lit(0))
+    return met.withColumn("__llm_k", F.row_number().over(rank)).where("__llm_k = 1 or __llm_none").select(*df.columns)
 
 
 def op3_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
