@@ -63,6 +63,12 @@ def featurise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate([bag, 3 * shapes], axis=1), tokens
 
 
+def _sparse(row: np.ndarray) -> bytes:
+    """Places (16 bits) and then values (half floats) of a row's non-zero features."""
+    at = np.flatnonzero(row)
+    return at.astype("<u2").tobytes() + row[at].astype("<f2").tobytes()
+
+
 @dataclass
 class Model:
     domains: list[str]
@@ -111,13 +117,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 found, _ = featurise(data, offs)
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(1), pa.array(
-                    [r.astype(np.float16).tobytes() for r in found], pa.binary())], ["id", "domain", "x"])
+                    [_sparse(r) for r in found], pa.binary())], ["id", "domain", "x"])
 
-    # per_domain rows of (SLOTS + SHAPES) half floats per domain
+    # per_domain rows of at most SLOTS + SHAPES numbers per domain
     got = rows.mapInArrow(run, "id string, domain string, x binary").toPandas().sort_values(["domain", "id", "x"])
     if got.empty:
         return Model(["all"], np.zeros((SLOTS + SHAPES, 1), np.float32), np.zeros(1, np.float32))
-    x = np.frombuffer(b"".join(bytes(b) for b in got["x"]), np.float16).reshape(len(got), -1).astype(np.float32)
+    x = np.zeros((len(got), SLOTS + SHAPES), np.float32)
+    for row, packed in zip(x, got["x"]):
+        half = len(packed) // 2
+        row[np.frombuffer(packed[:half], "<u2")] = np.frombuffer(packed[half:], "<f2")
     total = sum(counts.values())
     return fit_softmax(x, got["domain"].tolist(), {k: n / total for k, n in counts.items()})
 
