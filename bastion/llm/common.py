@@ -265,14 +265,17 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 # ---------------------------------------------------------------- samples
 
-def hash_sample(rows: DataFrame, class_col: str, id_col: str, most: Column, salts: int = 32) -> DataFrame:
-    """The ``most`` rows of each class with the smallest id hashes, exact; ``most`` may depend on the class.
+def hash_sample(rows: DataFrame, class_col: str, id_col: str, most: Column) -> DataFrame:
+    """The ``most`` rows of each class with the smallest id hashes; ``most`` may depend on the class.
 
-    A first top-k per class and salt keeps a class of any size from meeting in one task.
+    Classes are few (languages, labels, domains): their counts are broadcast. A row whose hash lies above what
+    ``most`` and a margin of six standard deviations of its class's rows need is dropped before the ranking,
+    so a class of any size brings about ``most`` rows to one task.
     """
-    draw, cols = F.xxhash64(F.col(id_col)), rows.columns
-    salted = rows.withColumn("__llm_draw", draw).withColumn("__llm_salt", F.pmod("__llm_draw", F.lit(salts)))
-    part = Window.partitionBy(class_col, "__llm_salt").orderBy("__llm_draw", id_col)
-    few = salted.withColumn("__llm_k", F.row_number().over(part)).where(F.col("__llm_k") <= most)
-    rank = Window.partitionBy(class_col).orderBy("__llm_draw", id_col)
-    return few.withColumn("__llm_k", F.row_number().over(rank)).where(F.col("__llm_k") <= most).select(*cols)
+    counts = rows.groupBy(class_col).agg(F.count("*").alias("__llm_n"))
+    few = F.coalesce(most, F.lit(0)).cast("double")
+    share = (few + 6 * F.sqrt(few) + 20) / F.col("__llm_n")
+    draw = F.shiftrightunsigned("__llm_draw", 11) / F.lit(2.0 ** 53)
+    rank = Window.partitionBy(class_col).orderBy(draw, "__llm_draw", id_col)
+    return (rows.withColumn("__llm_draw", F.xxhash64(F.col(id_col))).join(F.broadcast(counts), class_col).where(draw <= share)
+            .withColumn("__llm_k", F.row_number().over(rank)).where(F.col("__llm_k") <= most).select(*rows.columns))
