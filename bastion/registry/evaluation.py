@@ -32,10 +32,11 @@ def samples(spark, sf):
 
 
 def answers(spark, sf):
-    """Retrieved answers: a labelled good document answers every question of the conversation
-    with its id — the whole text, with every 500-character window as a context."""
-    d = table(spark, sf, "documents").join(
-        table(spark, sf, "labels").where(F.col("quality") == 1).select("doc_id"), "doc_id", "left_semi")
+    """Retrieved answers: every document is the answer to the questions of the conversation with its id — the
+    whole text, with every 500-character window as a context. Where it is not labelled good, retrieval has
+    failed: a row without an answer."""
+    good = table(spark, sf, "labels").where(F.col("quality") == 1).select("doc_id").distinct().withColumn("good", F.lit(True))
+    d = table(spark, sf, "documents").join(good, "doc_id", "left").withColumn("text", F.when(F.col("good"), F.col("text")))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - 50), F.lit(450))
     windows = F.transform(starts, lambda i: F.substring(F.col("text"), i, 500))
     return d.select(F.col("doc_id").alias("conv_id"), F.col("text").alias("answer"), windows.alias("contexts"))
@@ -52,7 +53,7 @@ samples AS (
 ANSWERS_SQL = """answers AS (
   SELECT doc_id AS conv_id, text AS answer,
          list_transform(generate_series(1, greatest(1, length(text) - 50), 450), lambda i: substr(text, i, 500)) AS contexts
-  FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))"""
+  FROM (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN text END AS text FROM documents))"""
 
 
 def _toks(t):

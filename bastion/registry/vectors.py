@@ -227,18 +227,23 @@ def v12_sources(spark, sf):
 V12_SQL = CTX_SQL + "\nSELECT query_id, sources, chunk_ids, array_to_string(ds, ',') AS display_sources FROM a"
 
 
+def closed(namespace: str):
+    return F.when(F.col(namespace) == "general", F.lit("legal")).otherwise(F.col(namespace))
+
+
 def v13_no_documents(spark, sf):
     v = _vec(spark, sf)
     q = v.select(F.col("vec_id").alias("query_id"), "role", "vec")
-    # an index without the namespace that every role may read: roles with no other have nothing
-    c = v.where(F.col("namespace") != "general").select(F.col("vec_id").alias("chunk_id"), "namespace", "vec")
+    # what every role may read is filed under a namespace that none lists: roles with no other have nothing
+    c = v.select(F.col("vec_id").alias("chunk_id"), closed("namespace").alias("namespace"), "vec")
     got = R.retrieve(q, c, 1, exclude_self=True)
     return R.no_documents(q, got).select("query_id", "response")
 
 
 V13_SQL = _pairs_sql() + f"""
 SELECT q.vec_id AS query_id, {D.q(L.MSG_NO_DOCUMENTS)} AS response FROM vectors q
-WHERE q.vec_id NOT IN (SELECT query_id FROM rk JOIN vectors c ON c.vec_id = rk.chunk_id WHERE c.namespace <> 'general')"""
+WHERE q.vec_id NOT IN (SELECT query_id FROM rk JOIN vectors c ON c.vec_id = rk.chunk_id
+  JOIN vectors a ON a.vec_id = rk.query_id WHERE c.namespace <> 'general' OR {D.norm_role('a.role')} = 'c-levelexecutives')"""
 
 
 # -- cache -------------------------------------------------------------------
