@@ -43,6 +43,7 @@ class ChatConfig:
     block_on_pii: bool = True
     ttl_s: float = L.CACHE_TTL_SECONDS
     threshold: float = L.CACHE_THRESHOLD
+    search: dict | None = None  # arguments of R.retrieve, e.g. {"method": "lsh", "dim": 384, "bits": 12}
 
 
 def _typed(df: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def chat(requests: DataFrame, chunks: DataFrame, answers: DataFrame, *, cache_en
     k = cfg.k_candidates if cfg.rerank else cfg.top_k
     routed = materialize(routed)
     cand = materialize(R.retrieve(routed.select("query_id", "role", "vec"),
-                                  chunks.select("chunk_id", "namespace", "vec"), k))
+                                  chunks.select("chunk_id", "namespace", "vec"), k, **(cfg.search or {})))
     nodoc = R.no_documents(routed, cand)
     no_documents = nodoc.select(
         "query_id", "ts", "username", "role", "query", "response", "sources", F.array().alias("chunk_ids"),

@@ -224,3 +224,15 @@ def test_rebuilt_index_prunes_partitions(spark):
     assert re.search(r"PartitionFilters: \[.*department#\d+ IN \(hr,general\)", plan), plan
     assert {r.department for r in hr.select("department").distinct().collect()} == {"hr"}
     assert spark.read.parquet(f"{out}/meta").count() == chunks.count()
+
+
+def test_chat_with_approximate_search(spark):
+    from bastion.plans.chat import ChatConfig, chat
+    from bastion.registry.pipelines import SLOT, _answers, _chunks, _pick_vector, _requests
+    sf = "/root/testdata/sf0.001"
+    got = {}
+    for name, search in (("block", None), ("lsh", {"method": "lsh", "dim": 64, "bits": 1, "tables": 12})):
+        out = chat(_requests(spark, sf).drop("conv_id"), _chunks(spark, sf), _answers(spark, sf),
+                   embed=_pick_vector(spark, sf, SLOT), cfg=ChatConfig(search=search))
+        got[name] = {r.query_id: (r.outcome, r.chunk_ids) for r in out.select("query_id", "outcome", "chunk_ids").collect()}
+    assert {k: v[0] for k, v in got["block"].items()} == {k: v[0] for k, v in got["lsh"].items()}
