@@ -62,8 +62,9 @@ def drop_boilerplate(df: DataFrame, id_col: str = "page_id", url_col: str = "url
     page = df.select(F.col(id_col).alias("__llm_id"), host_of(F.col(url_col)).alias("host"),
                      visible_lines(F.col(html_col)).alias("lines"))
     # the lines are read by three branches: one written table instead of three runs of the markup patterns
-    page = C.stage(page.withColumn("digests", F.transform("lines", lambda x: F.unhex(F.md5(x.cast("binary")))))
-                   .withColumn("__llm_row", F.monotonically_increasing_id()), "lines")
+    page = C.stage(page.withColumn("__llm_row", F.monotonically_increasing_id()), "lines")
+    # digests are cheaper to compute again than to store: 16 bytes a line that nothing compresses
+    page = page.withColumn("digests", F.transform("lines", lambda x: F.unhex(F.md5(x.cast("binary")))))
     bad = site_boilerplate(page.select("host", "digests"), most, least_pages)
     hits = (page.select("__llm_row", "host", F.explode(F.array_distinct("digests")).alias("digest"))
             .join(bad.select("host", "digest"), ["host", "digest"])
