@@ -15,11 +15,12 @@ A text's set holds the hashes of its distinct 5-word shingles. Two texts link wh
    and whose sizes may reach 0.75 (size bands of ratio 4/3, neighbours included) lie in one cluster; edges
    lead to one hub per shingle and band, never between all pairs.
 4. Expand and verify. Within a cluster the members' whole sets are compared exactly. Clusters of over
-   BLOCK members first meet a few hub members each; members already linked by these need no comparison with
-   one another, all other blocks of members are compared pairwise, a task each.
+   BLOCK members are cut into blocks that are compared pairwise, a task each. When only components are asked
+   for, members of large clusters first meet a few hub members each, and members already linked by these are not
+   compared with one another; when links are counted, all pairs of a cluster are compared.
 
-Links are found by 64-bit hashes of shingles; but for hash collisions the components are exact. Only
-spanning links leave a task; nothing is collected to the driver.
+Links are found by 64-bit hashes of shingles; but for hash collisions the components and the numbers of links
+are exact. Spanning links and one sum per member leave a task; nothing is collected to the driver.
 
 Defined cases: null text, empty text and text without words have the empty set, n_shingles 0 and their
 own id as component; fewer than 5 words make one shingle, the whole sequence; rows with null ids take
@@ -259,6 +260,8 @@ def _forest(a: np.ndarray, b: np.ndarray, count: int) -> tuple[np.ndarray, np.nd
         if x != y:
             parent[max(x, y)] = min(x, y)
             keep.append(k)
+            if len(keep) == count - 1:
+                break
     return a[keep], b[keep]
 
 
@@ -294,20 +297,25 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> tupl
 
 
 def _verify(frame: pd.DataFrame) -> pd.DataFrame:
-    """Spanning links between the members of one task: all of side 0 with one another, or sides 0 and 1."""
+    """Between the members of one task, all of side 0 with one another or sides 0 and 1: spanning links (a, b, null) and,
+    of each linked member, how many rows its partners here stand for (a, null, links)."""
     left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
+    alone = bool(frame["self"].iloc[0])
+    if not alone and not (len(left) and len(right)):
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": pd.array([], "Int64"), "links": pd.array([], "Int64")})
     sets = lambda f: [np.asarray(x) for x in f["tokens"]]
-    if bool(frame["self"].iloc[0]):
-        a, b = links(sets(left))
-        a, b = _forest(a, b, len(left))
-        nodes = left["node"].to_numpy()
-        return pd.DataFrame({"a": nodes[a], "b": nodes[b]})
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    a, b = links(sets(left), sets(right))
-    a, b = _forest(a, b + len(left), len(frame))
-    nodes = np.concatenate([left["node"].to_numpy(), right["node"].to_numpy()])
-    return pd.DataFrame({"a": nodes[a], "b": nodes[b]})
+    a, b = links(sets(left), None if alone else sets(right))
+    both = left if alone else pd.concat([left, right])
+    b = b if alone else b + len(left)
+    nodes, copies = both["node"].to_numpy(), both["copies"].to_numpy()
+    degree = np.zeros(len(both), np.int64)
+    np.add.at(degree, a, copies[b])
+    np.add.at(degree, b, copies[a])
+    some = np.flatnonzero(degree)
+    a, b = _forest(a, b, len(both))
+    return pd.DataFrame({"a": np.concatenate([nodes[a], nodes[some]]),
+                         "b": pd.array([*nodes[b].tolist(), *[None] * len(some)], "Int64"),
+                         "links": pd.array([*[None] * len(a), *degree[some].tolist()], "Int64")})
 
 
 def _hub_links(big: DataFrame) -> DataFrame:
@@ -325,21 +333,31 @@ def _hub_links(big: DataFrame) -> DataFrame:
         F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
-def verified_links(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """Links (a, b) between classes whose closure is that of all links within clusters."""
+def verified_links(sets: DataFrame, members: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """Links (a, b, null) between classes whose closure is that of all links within clusters.
+
+    With ``classes`` (node, n, copies) all pairs of a cluster are compared, and rows (a, null, links) hold parts of the
+    number of rows that a class is linked with, its own not counted.
+    """
     load = F.ceil(F.sum(F.greatest(F.lit(1.0), F.col("n") / LARGE))).alias("m")
     sized = members.groupBy("cluster").agg(F.count("*").alias("count"), load).where("count > 1").drop("count")
-    whole = C.stage(sets.join(members, ["node", "n"]).join(sized, "cluster"), "members")
+    whole = sets.join(members, ["node", "n"]).join(sized, "cluster")
+    whole = C.stage(whole.withColumn("copies", F.lit(1).cast("long")) if classes is None
+                    else whole.join(classes.select("node", "n", "copies"), ["node", "n"]), "members")
     big = whole.where(F.col("m") > BLOCK)
-    early = C.stage(_hub_links(big), "hub_links")
-    label = C.connected_components(early)
-    # blocks: members whom the hubs linked lie together by component, all others in mixed blocks (component null)
-    placed = big.join(label.select("node", "component"), "node", "left")
+    early = label = None
+    if classes is None:
+        early = C.stage(_hub_links(big), "hub_links")
+        label = C.connected_components(early)
+        # blocks: members whom the hubs linked lie together by component, all others in mixed blocks (component null)
+        placed = big.join(label.select("node", "component"), "node", "left")
+    else:  # a member's links with members of its own component count as well
+        placed = big.withColumn("component", F.lit(None).cast("long"))
     blocks = placed.groupBy("cluster", "component").agg(load).select(
         "cluster", "component", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     of = blocks.select(F.col("cluster").alias("__c"), F.col("component").alias("__k"), "blocks")
     placed = C.stage(placed.join(of, (F.col("cluster") == F.col("__c")) & F.col("component").eqNullSafe(F.col("__k")))
-                     .select("cluster", "node", "n", "tokens", F.xxhash64(
+                     .select("cluster", "node", "n", "copies", "tokens", F.xxhash64(
                          "cluster", "component", F.pmod(F.xxhash64("node", F.lit("block")), "blocks")).alias("block")), "placed")
     listed = blocks.select("cluster", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).select(
         "cluster", "component", F.xxhash64("cluster", "component", F.col("k").cast("long")).alias("block"))
@@ -349,18 +367,21 @@ def verified_links(sets: DataFrame, members: DataFrame) -> DataFrame:
              .select("cluster", "block", "block2", F.xxhash64("cluster", "block", "block2").alias("task"), (F.col("block") == F.col("block2")).alias("self")))
     sides = pairs.select("task", "self", "cluster", "block", F.lit(0).alias("side")).union(
         pairs.where(~F.col("self")).select("task", "self", "cluster", F.col("block2").alias("block"), F.lit(1).alias("side")))
-    tasks = placed.join(sides, ["cluster", "block"]).select("task", "self", "side", "node", "tokens").union(
-        whole.where(F.col("m") <= BLOCK).select(F.col("cluster").alias("task"), F.lit(True).alias("self"), F.lit(0).alias("side"), "node", "tokens"))
-    late = tasks.groupBy("task").applyInPandas(_verify, "a long, b long")
-    out = C.stage(early.select("a", "b").union(late), "links")
+    tasks = placed.join(sides, ["cluster", "block"]).select("task", "self", "side", "node", "copies", "tokens").union(
+        whole.where(F.col("m") <= BLOCK).select(F.col("cluster").alias("task"), F.lit(True).alias("self"), F.lit(0).alias("side"), "node", "copies", "tokens"))
+    found = tasks.groupBy("task").applyInPandas(_verify, "a long, b long, links long")
+    out = C.stage(found if early is None else early.select("a", "b", F.lit(None).cast("long").alias("links")).union(found), "links")
     for used in (whole, early, label, placed):
         C.unstage(used)
     return out
 
 
-def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
     """(id, mark, n_shingles, component_id, first) of every row; component_id is the smallest id reachable by links.
 
+    ``count_links`` adds ``n_links``: how many other rows the row is linked with, rows of equal sets included; rows
+    without words have none. It takes a comparison of all pairs of a cluster.
+
     ``mark`` is the text's 64-bit hash. ``first`` is true for the rows of the component's first text: smallest
     id, nulls last, then smallest mark. Only repeated rows, equal in both, are first together.
     """
@@ -369,21 +390,27 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     profile = C.stage(profiles(rows), "profiles")
     lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("lead")
-    classes = C.stage(profile.where("n > 0").groupBy("node", "n").agg(lead), "classes")
+    classes = C.stage(profile.where("n > 0").groupBy("node", "n").agg(lead, F.count("*").alias("copies")), "classes")
     alive = survivors(rows.select("text"))
     sets = C.stage(survivor_sets(rows, classes.join(alive, ["node", "n"]).select("lead.id", "lead.mark")), "sets")
     found = clusters(sets)
-    edges = verified_links(sets, found)
-    label = C.connected_components(edges)
+    edges = verified_links(sets, found, classes if count_links else None)
+    label = C.connected_components(edges)  # rows without b are no links
+    if count_links:
+        degree = edges.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+        label = C.stage(label.join(degree, "node", "left"), "labels")
     for used in (sets, found, edges):
         C.unstage(used)
     named = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = named.groupBy("component").agg(F.min("lead").alias("head"))
-    named = named.join(heads, "component").select("node", "n", "head")
+    links_of = [(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")] if count_links else []
+    named = named.join(heads, "component").select("node", "n", "head", *links_of)
     linked = (profile.where("n > 0").join(named, ["node", "n"])
               .select("id", "mark", F.col("n").alias("n_shingles"), F.col("head.id").alias("component_id"),
-                      (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("mark") == F.col("head.mark"))).alias("first")))
-    return linked.union(profile.where("n = 0").select("id", "mark", "n", F.col("id").alias("component_id"), F.lit(True)))
+                      (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("mark") == F.col("head.mark"))).alias("first"),
+                      *["n_links"] * count_links))
+    return linked.union(profile.where("n = 0").select("id", "mark", "n", F.col("id").alias("component_id"), F.lit(True),
+                                                      *[F.lit(0).cast("long")] * count_links))
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -400,7 +427,8 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op3_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_components(C.read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+    found = near_components(C.read(spark, sf_dir, "documents"), count_links=True)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
 
 
 QUERIES = {"op3_grouped_prefix_join": op3_grouped_prefix_join}

@@ -75,3 +75,25 @@ def test_keep_first(make_docs):
     assert got.count() == 4  # rows without words stay
     again = make_docs([a, a, a], ids=[5, 5, 5])
     assert P.keep_first(again).count() == 1
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_number_of_links_against_all_pairs(make_docs, monkeypatch, block):
+    monkeypatch.setattr(P, "BLOCK", block)
+    texts = near_texts(1, 60, 30, 4) + near_texts(2, 40, 12, 3) + ["one two", "one two", "three", None, ""]
+    texts += [texts[0], texts[0].upper(), texts[31]]  # equal sets are links as well
+    random.Random(4).shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    linked = lambda a, b: a and b and 100 * len(a & b) >= 75 * len(a | b)
+    want = {i: sum(bool(linked(a, b)) for k, b in enumerate(sets) if k != i) for i, a in enumerate(sets)}
+    got = P.near_components(make_docs(texts), count_links=True).collect()
+    assert {r["id"]: r["n_links"] for r in got} == want and max(want.values()) > 5
+    named = components(texts, list(range(len(texts))))
+    assert [r["component_id"] for r in sorted(got, key=lambda r: r["id"])] == named
+
+
+def test_query_gives_number_of_links(spark):
+    docs = table("documents")
+    sets = {r["doc_id"]: shingles(r["text"]) for r in docs}
+    want = {i: sum(1 for j, b in sets.items() if i != j and a and b and 100 * len(a & b) >= 75 * len(a | b)) for i, a in sets.items()}
+    assert {r["doc_id"]: r["n_links"] for r in P.op3_grouped_prefix_join(spark, SF).collect()} == want
