@@ -9,6 +9,10 @@ and no rate is ever kept or shuffled.
 
 A document's copies are floor(r) or one more, by a hash of its id, so that their expectation is the rate.
 
+With ``thin`` only documents judged to be of that domain may lose copies: the rates of all others, those whose
+posterior gives it at most one half, are clipped at one copy instead of zero (still a projection, so the rounds
+go to the least-squares rates under that bound). ``Fit.gap`` tells what is left to the targets.
+
 Training takes at most ``per_domain`` labelled documents of each domain (the smallest id hashes): the
 documented bound; their fixed-width features come to the driver. Totals and rates cover all documents.
 
@@ -161,36 +165,55 @@ class Fit:
     steps: list[list[float]]
     totals: list[float]
     wanted: list[float]
+    #: Place of the domain whose documents alone may have less than one copy; None: all may.
+    thin: int | None = None
+
+    def gap(self) -> list[float]:
+        """Expected tokens over (or under) the target of each domain."""
+        return [a - b for a, b in zip(self.totals, self.wanted)]
 
     def rate(self, posterior: Column) -> Column:
         """The rate as a column: start, then one clipped step per vector."""
+        least = F.lit(0.0) if self.thin is None else F.when(F.get(posterior, F.lit(self.thin)) > 0.5, 0.0).otherwise(1.0)
         steps = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in self.steps]) if self.steps else F.array().cast("array<array<double>>")
-        return F.aggregate(steps, F.lit(float(self.start)), lambda r, s: F.greatest(F.lit(0.0), r - F.aggregate(
+        return F.aggregate(steps, F.greatest(least, F.lit(float(self.start))), lambda r, s: F.greatest(least, r - F.aggregate(
             F.zip_with(posterior, s, lambda p, g: p * g), F.lit(0.0), lambda a, x: a + x)))
 
 
-def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None, rounds: int = ROUNDS, close: float = CLOSE) -> Fit:
-    """Rates for rows (tokens, posterior). ``targets``: weight per domain; ``budget``: expected tokens in all (default: as many as there are)."""
+def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None, rounds: int = ROUNDS, close: float = CLOSE,
+              thin: str | None = None) -> Fit:
+    """Rates for rows (tokens, posterior). ``targets``: weight per domain; ``budget``: expected tokens in all (default: as many as there are).
+
+    ``thin``: the domain whose documents alone may get less than one copy. The default budget is then the smallest
+    at which no other domain's target lies below the tokens it has.
+    """
     k = len(domains)
     p = lambda i: F.col("posterior")[i]
     first = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), *[
         F.coalesce(F.sum(F.col("tokens") * p(i) * p(j)), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
     tokens = float(first["n"])
+    held = None if thin is None else domains.index(thin) if thin in domains else k  # k: no document is of that domain
     if not tokens:
-        return Fit(1.0, [], [0.0] * k, [0.0] * k)
+        return Fit(1.0, [], [0.0] * k, [0.0] * k, held)
     gram = np.array([[first[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-    budget = tokens if budget is None else float(budget)
     weight = np.array([max(targets.get(d, 0.0), 0.0) for d in domains])
     weight = weight / weight.sum() if weight.sum() > 0 else np.full(k, 1.0 / k)
+    if budget is None:
+        budget = tokens
+        if thin is not None:
+            budget = max([tokens, *[t / w for t, w, d in zip(gram.sum(axis=1), weight, domains) if w > 0 and d != thin]])
+    budget = float(budget)
     wanted = budget * weight
     inverse = np.linalg.pinv(gram / tokens, rcond=1e-10) / tokens
-    out = Fit(budget / tokens, [], [], wanted.tolist())
+    out = Fit(budget / tokens, [], [], wanted.tolist(), held)
     for _ in range(rounds + 1):
         got = rows.withColumn("rate", out.rate(F.col("posterior"))).agg(*[F.sum(F.col("rate") * F.col("tokens") * p(i)).alias(f"t{i}") for i in range(k)]).first()
-        out.totals = [float(got[f"t{i}"]) for i in range(k)]
+        before, out.totals = out.totals, [float(got[f"t{i}"]) for i in range(k)]
         gap = np.array(out.totals) - wanted
         if np.abs(gap).max() <= close * budget or len(out.steps) == rounds:
             break
+        if held is not None and before and max(abs(a - b) for a, b in zip(before, out.totals)) <= close * budget:
+            break  # the bound leaves a gap that further rounds do not change
         out.steps.append((inverse @ gap).tolist())
     return out
 
@@ -215,18 +238,19 @@ def natural_totals(rows: DataFrame, domains: list[str]) -> dict[str, float]:
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None,
-        factors: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model, Fit]:
+        factors: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text",
+        thin: str | None = None) -> tuple[DataFrame, Model, Fit]:
     """Documents with their copies, classifier and fit. The rates are fitted on a staged table without texts.
 
     Either ``targets`` (weights) with ``budget`` (expected tokens), or ``factors``: each domain's target is its
-    present expected total times its factor (``""``: of domains not named).
+    present expected total times its factor (``""``: of domains not named). ``thin`` as in :func:`fit_rates`.
     """
     model = fit(docs, labels, id_col, text_col)
     narrow = C.stage(with_posterior(docs.select(text_col), model, text_col).select("tokens", "posterior"), "posterior")
     if factors is not None:
         targets = {d: n * factors.get(d, factors.get("", 1.0)) for d, n in natural_totals(narrow, model.domains).items()}
         budget = sum(targets.values())
-    fitted = fit_rates(narrow, model.domains, targets or TARGETS, budget)
+    fitted = fit_rates(narrow, model.domains, targets or TARGETS, budget, thin=thin)
     C.unstage(narrow)
     return with_copies(docs, model, fitted, id_col, text_col), model, fitted
 

@@ -7,20 +7,23 @@ costs a part of one stage. All but the last return the columns of documents.
 1. language_id: documents without a language (null text, no letters) go.
 2. jaccard_join: one document of each near-duplicate component stays.
 3. decontamination: documents that hold benchmark items go.
-4. mixing: documents get copies by their fitted rates: low quality is thinned out, every clean domain grows a little,
-   so that its documents' rates lie above 1 and they stay. A document with two copies is two rows.
+4. mixing: documents get copies by rates fitted to the target weights of the domains: low quality is thinned out,
+   documents not judged poor have one copy at least. A document with two copies is two rows.
 5. sharding: the rest is shuffled uniformly into 24 shards of equal size (columns shard, slot).
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bastion.llm import common, langid, mixing, prefixjoin, shard, tiling
 
-#: Target totals of the mixing stage as multiples of the present ones.
-FACTORS = {"poor": 0.3, "": 1.1}
+#: The domain that the mixing stage thins out; all others keep every document.
+THIN = "poor"
+log = logging.getLogger(__name__)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +42,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = mixing.label_domains(common.read(spark, sf_dir, "labels"), docs)
-    mixed, _, _ = mixing.mix(docs, labels, factors=FACTORS)
+    mixed, model, fitted = mixing.mix(docs, labels, targets=mixing.TARGETS, thin=THIN)
+    for domain, wanted, gap in zip(model.domains, fitted.wanted, fitted.gap()):
+        log.info("mixing: %s wants %.0f expected tokens, gap %+.0f", domain, wanted, gap)
     return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 

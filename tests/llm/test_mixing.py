@@ -73,3 +73,23 @@ def test_factors_keep_clean_documents(spark):
     docs = C.read(spark, SF, "documents")
     out, model, fit = M.mix(docs, M.label_domains(C.read(spark, SF, "labels"), docs), factors={"poor": 0.3, "": 1.1})
     assert abs(sum(fit.totals) / sum(fit.wanted) - 1) < 1e-3
+
+
+def test_only_the_thinned_domain_loses_copies(spark):
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.6, 0.3, 0.2], 300)  # soft: many clean rows with a share of poor
+    tokens = rng.integers(1, 500, 300)
+    rows = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p)], "tokens long, posterior array<double>")
+    targets = {"a": 0.3, "b": 0.67, "poor": 0.03}
+    fit = M.fit_rates(rows, ["a", "b", "poor"], targets, thin="poor", rounds=30)
+    free = M.fit_rates(rows, ["a", "b", "poor"], targets, rounds=30)
+    rate = lambda f: np.array([r[0] for r in rows.select(f.rate(F.col("posterior"))).collect()])
+    judged = p[:, 2] > 0.5
+    assert rate(free)[~judged].min() < 1 <= rate(fit)[~judged].min() and rate(fit)[judged].min() < 1
+    natural, wanted = tokens @ p, np.array(fit.wanted)
+    assert np.all(wanted[:2] >= natural[:2] - 1e-6) and np.allclose(wanted / wanted.sum(), [0.3, 0.67, 0.03])
+    gram, least = (p * tokens[:, None]).T @ p, np.where(judged, 0.0, 1.0)
+    r = np.maximum(least, wanted.sum() / tokens.sum())
+    for _ in range(30):
+        r = np.maximum(least, r - p @ np.linalg.solve(gram, (r * tokens) @ p - wanted))
+    assert np.allclose(fit.gap(), (r * tokens) @ p - wanted, atol=1e-3 * wanted.sum())

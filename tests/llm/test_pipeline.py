@@ -45,3 +45,20 @@ def test_registered():
     names = set(E.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(E.oracle_sql()) <= names
+
+
+def test_mixing_goes_to_target_weights_and_keeps_clean_documents(spark):
+    from bastion.llm import mixing as M
+    sf = "/root/testdata/sf0.01"
+    docs = C.read(spark, sf, "documents")
+    left = {r["doc_id"] for r in P.source_mixing(spark, docs, sf).select("doc_id").distinct().collect()}
+    clean = {r["doc_id"] for r in table("labels", sf) if r["quality"] == 1}
+    lost = clean & {r["doc_id"] for r in table("documents", sf)} - left
+    assert clean and not lost
+    mixed, model, fit = M.mix(docs, M.label_domains(C.read(spark, sf, "labels"), docs), thin=P.THIN)
+    rows = mixed.select("posterior", "rate", "copies").collect()
+    poor = model.domains.index("poor")
+    assert all(r["rate"] >= 1 and r["copies"] >= 1 for r in rows if r["posterior"][poor] <= 0.5)
+    weights = [M.TARGETS[d] for d in model.domains]
+    print({d: (round(t), round(w), round(g)) for d, t, w, g in zip(model.domains, fit.totals, fit.wanted, fit.gap())}, sum(fit.totals))
+    assert all(abs(t / sum(fit.totals) - w) < 0.03 for t, w in zip(fit.totals, weights))
