@@ -1,7 +1,9 @@
 """Operator 4: a uniform shuffle into shards of exact size.
 
 The rows lie in P source partitions (by a hash of the row's key, so a rerun finds them there
-again). A communication matrix with the partitions' exact counts as row sums and the shards' exact
+again). Rows of one key are numbered, and the number is part of every draw, so that copies are dealt
+apart like any other rows; the numbers come from counts by key and salt, so that no task holds all
+rows of a key. A communication matrix with the partitions' exact counts as row sums and the shards' exact
 sizes as column sums is drawn from the multivariate hypergeometric law, which is the law of those
 counts under a uniform shuffle. Each partition is permuted locally and cut by its matrix row, the
 pieces are exchanged, and every shard is permuted again. The driver sees P counts and P x shards
@@ -9,7 +11,7 @@ numbers only.
 
 Law ``rows``: shard row counts are at most one apart. Equal texts are not kept together; a uniform
 shuffle cannot. Defined cases: rows with null keys hash like any other; rows equal in all key
-columns may swap places with each other only; an empty table gives an empty result; a column
+columns take places of their own and may swap these with each other only; an empty table gives an empty result; a column
 named ``shard`` or ``slot`` is replaced.
 """
 
@@ -64,13 +66,27 @@ def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> list
     return matrix
 
 
+def numbered(df: DataFrame, key_cols: list[str], salts: int) -> DataFrame:
+    """``df`` with ``__llm_no``: from 0 without gaps within the rows of a key. The rows are staged."""
+    # consecutive rows get different salts; staged, because they must be the same for the counts and the rows
+    rows = C.stage(df.withColumn("__llm_hash", F.xxhash64(*key_cols)).withColumn(
+        "__llm_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")), "salted")
+    counts = rows.groupBy("__llm_hash", "__llm_salt").agg(F.count("*").alias("__llm_n"))
+    before = Window.partitionBy("__llm_hash").orderBy("__llm_salt").rowsBetween(Window.unboundedPreceding, -1)  # at most a row per salt
+    start = counts.select("__llm_hash", "__llm_salt", F.sum("__llm_n").over(before).alias("__llm_start")).where("__llm_start > 0")
+    within = Window.partitionBy("__llm_hash", "__llm_salt").orderBy(*key_cols)
+    return (rows.withColumn("__llm_k", F.row_number().over(within) - 1).join(start, ["__llm_hash", "__llm_salt"], "left")
+            .withColumn("__llm_no", F.col("__llm_k") + F.coalesce("__llm_start", F.lit(0)))
+            .drop("__llm_hash", "__llm_salt", "__llm_k", "__llm_start"))
+
+
 def shuffle_into_shards(df: DataFrame, key_cols: list[str], n_shards: int = SHARDS, seed: int = 7) -> DataFrame:
     """``df`` with ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 within the shard, the shuffled order)."""
     spark = df.sparkSession
     base = df.drop("shard", "slot")
     parts = max(n_shards, C.partitions(spark))
-    draw = lambda k: F.xxhash64(*key_cols, F.lit(seed), F.lit(k))
-    rows = base.withColumn("__llm_part", F.pmod(draw(1), F.lit(parts)).cast("int"))
+    draw = lambda k: F.xxhash64(*key_cols, "__llm_no", F.lit(seed), F.lit(k))
+    rows = numbered(base, key_cols, parts).withColumn("__llm_part", F.pmod(draw(1), F.lit(parts)).cast("int"))
     found = {r[0]: r[1] for r in rows.groupBy("__llm_part").count().collect()}  # at most `parts` rows
     total = sum(found.values())
     extra = set(np.random.default_rng(seed + 1).permutation(n_shards)[:total % n_shards].tolist())
@@ -80,7 +96,7 @@ def shuffle_into_shards(df: DataFrame, key_cols: list[str], n_shards: int = SHAR
     table = spark.createDataFrame([(p, np.cumsum(r).tolist()) for p, r in zip(order, matrix)],
                                   "__llm_part int, __llm_ends array<long>")
     # local permutation, cut by the matrix row; the table has a row per source partition
-    local = Window.partitionBy("__llm_part").orderBy(draw(2), *key_cols)
+    local = Window.partitionBy("__llm_part").orderBy(draw(2), *key_cols, "__llm_no")
     dealt = (rows.withColumn("__llm_pos", F.row_number().over(local))
              .join(F.broadcast(table), "__llm_part")
              .withColumn("shard", F.size(F.filter("__llm_ends", lambda e: e < F.col("__llm_pos"))).cast("int"))
@@ -97,7 +113,7 @@ def shuffle_into_shards(df: DataFrame, key_cols: list[str], n_shards: int = SHAR
         offsets.append((s, c, at.get(s, 0)))
         at[s] = at.get(s, 0) + n
     begin = spark.createDataFrame(offsets, "shard int, __llm_cell int, __llm_begin long")
-    again = Window.partitionBy("shard", "__llm_cell").orderBy("__llm_key", *key_cols)
+    again = Window.partitionBy("shard", "__llm_cell").orderBy("__llm_key", *key_cols, "__llm_no")
     return (dealt.withColumn("__llm_rank", F.row_number().over(again))
             .join(F.broadcast(begin), ["shard", "__llm_cell"])
             .select(*base.columns, "shard", (F.col("__llm_begin") + F.col("__llm_rank") - 1).alias("slot")))

@@ -60,3 +60,25 @@ def test_edge_cases(spark, make_docs):
     got = S.shuffle_into_shards(same, ["id"], 7).collect()
     sizes = sorted(sum(r["shard"] == s for r in got) for s in range(7))
     assert sizes == [7, 7, 7, 7, 7, 7, 8] and {r["id"] for r in got} == {1}
+
+
+def test_rows_of_one_key_are_dealt_apart(spark):
+    rows = [(i, k) for i in range(600) for k in range(2)]  # two copies of each key
+    got = S.shuffle_into_shards(spark.createDataFrame(rows, "id int, k int").repartition(5), ["id"], 6).collect()
+    assert sorted((r["id"], r["k"]) for r in got) == rows
+    at = {}
+    for r in got:
+        at.setdefault(r["id"], []).append((r["shard"], r["slot"]))
+    together = sum(a[0] == b[0] for a, b in at.values())
+    next_to = sum(a[0] == b[0] and abs(a[1] - b[1]) == 1 for a, b in at.values())
+    assert 60 <= together <= 145 and next_to <= 10  # 100 and 1 expected; sd about 9
+
+
+def test_a_hot_key_has_many_source_partitions(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(0, 900, 1, 4).withColumn("key", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")))
+    nos = [r["__llm_no"] for r in S.numbered(df, ["key"], 8).where("key = -1").collect()]
+    assert sorted(nos) == list(range(300))
+    got = S.shuffle_into_shards(df, ["key"], 6).where("key = -1").collect()
+    counts = [sum(r["shard"] == s for r in got) for s in range(6)]
+    assert sum(counts) == 300 and min(counts) >= 25
