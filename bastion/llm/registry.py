@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, langid, lines, minhash, mixing, prefixjoin, shard, tiling, tokens, toxicity
+from . import chat, langid, lines, minhash, mixing, prefixjoin, shard, simhash, tiling, tokens, toxicity
 
-MODULES = [minhash, lines, prefixjoin, shard, chat, langid, mixing, toxicity, tokens, tiling]
+MODULES = [minhash, lines, prefixjoin, shard, chat, langid, mixing, toxicity, tokens, tiling, simhash]
 
 
 def queries():
