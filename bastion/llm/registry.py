@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, langid, lines, lloyd, minhash, mixing, prefixjoin, shard, simhash, tiling, tokens, toxicity
+from . import chat, langid, lines, lloyd, minhash, mixing, prefixjoin, shard, simhash, tiling, tokens, toxicity, trie
 
-MODULES = [minhash, lines, prefixjoin, shard, chat, langid, mixing, toxicity, tokens, tiling, simhash, lloyd]
+MODULES = [minhash, lines, prefixjoin, shard, chat, langid, mixing, toxicity, tokens, tiling, simhash, trie, lloyd]
 
 
 def queries():
