@@ -9,7 +9,7 @@ from ..plans.chat import chat, sinks
 from ..sources.driver_tables import (chat_answers, chat_queries, chunks_from_documents, pair_id, sql_cost, sql_pair_id, table,
                                      vectors, with_sql)
 from . import duck as D
-from .vectors import _cos_sql, closed
+from .vectors import closed
 
 BASE = "2024-01-01 00:00:00"
 
@@ -83,6 +83,13 @@ def p1_events_sink(spark, sf):
     return sinks(_chat(spark, sf))["guardrail_events"].drop("ts")
 
 
+def _pair_scores(pairs: str) -> str:
+    """V4 of every distinct pair (v1, v2) of rows of ``vectors``."""
+    return f"""SELECT v1, v2, round(CASE WHEN a.dim = 0 OR b.dim = 0 OR a.dim <> b.dim OR a.norm = 0 OR b.norm = 0 THEN 0.0::DOUBLE
+    ELSE list_dot_product(a.vec, b.vec) / (a.norm * b.norm) END, 6) AS sim
+  FROM (SELECT DISTINCT v1, v2 FROM {pairs}) JOIN vn a ON a.vid = v1 JOIN vn b ON b.vid = v2"""
+
+
 def _p1_sql() -> str:
     """CTEs up to ``outcomes``: the same request path, step by step."""
     from .evaluation import _f1
@@ -105,34 +112,39 @@ def _p1_sql() -> str:
 , req AS (SELECT {sql_pair_id('conv_id', 'turn')} AS query_id, conv_id, turn, TIMESTAMP '{BASE}' + to_minutes(conv_id * 10 + turn) AS ts,
    username, role, query FROM chat_queries),
 ans AS (SELECT {sql_pair_id('conv_id', 'turn')} AS query_id, answer, CAST(length(answer) AS DOUBLE) AS latency_ms FROM chat_answers),
-nv AS (SELECT count(*) AS n FROM vectors),
+nv AS MATERIALIZED (SELECT count(*) AS n FROM vectors),
+vn AS MATERIALIZED (SELECT vec_id AS vid, vec, len(vec) AS dim, sqrt(list_dot_product(vec, vec)) AS norm FROM vectors),
 {ctes},
 g0 AS (SELECT *, {D.injection_type('query')} AS inj, {D.pii_count('query')} AS npii, {D.pii_detected('query')} AS det,
   {s['in_scope']} AS in_scope, {s['reason']} AS sreason FROM {red}),
-g AS (SELECT *, CASE WHEN inj <> '' THEN 'INJECTION' WHEN npii > 0 THEN 'PII' WHEN NOT in_scope THEN 'SCOPE' ELSE '' END AS block_type FROM g0),
+g AS MATERIALIZED (SELECT *, CASE WHEN inj <> '' THEN 'INJECTION' WHEN npii > 0 THEN 'PII' WHEN NOT in_scope THEN 'SCOPE' ELSE '' END AS block_type FROM g0),
 blocked AS (SELECT *, CASE block_type WHEN 'INJECTION' THEN {D.q(head)} || inj || {D.q(tail)}
   WHEN 'PII' THEN {D.q(phead)} || det || {D.q(ptail)} ELSE {D.q(shead)} || sreason END AS reason FROM g WHERE block_type <> ''),
-open AS (SELECT g.query_id, g.ts, g.username, g.role, g.query, v.vec FROM g, nv JOIN vectors v ON v.vec_id = ((g.conv_id * 10 + g.turn) // 3) % nv.n WHERE block_type = ''),
-entries AS (SELECT req.query_id AS entry_id, req.ts AS created_at, req.role AS owner_role, v.vec, ans.answer AS response
-  FROM req JOIN ans USING (query_id), nv JOIN vectors v ON v.vec_id = ((req.conv_id * 10 + req.turn) // 3) % nv.n),
-probe AS (SELECT o.query_id, e.entry_id, round({_cos_sql('o.vec', 'e.vec')}, 6) AS sim, e.created_at, e.owner_role, o.role, e.response
+open AS MATERIALIZED (SELECT g.query_id, g.ts, g.username, g.role, g.query, ((g.conv_id * 10 + g.turn) // 3) % nv.n AS vid FROM g, nv WHERE block_type = ''),
+entries AS MATERIALIZED (SELECT req.query_id AS entry_id, req.ts AS created_at, req.role AS owner_role, ((req.conv_id * 10 + req.turn) // 3) % nv.n AS vid,
+  ans.answer AS response FROM req JOIN ans USING (query_id), nv),
+near_in_time AS MATERIALIZED (SELECT o.query_id, e.entry_id, o.vid AS v1, e.vid AS v2, e.created_at, e.owner_role, o.role, e.response
   FROM open o JOIN entries e ON e.created_at < o.ts AND o.ts - e.created_at < INTERVAL {ttl} SECOND),
+probe AS (SELECT t.* EXCLUDE (v1, v2), p.sim FROM near_in_time t JOIN ({_pair_scores('near_in_time')}) p USING (v1, v2)),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, created_at, entry_id) AS rn FROM probe WHERE sim > 0) WHERE rn = 1),
-hits AS (SELECT * FROM best WHERE sim >= {threshold} AND {level('role')} >= {level('owner_role')}),
-miss AS (SELECT *, {model} AS model FROM (SELECT *, {D.complexity('query', 'role')} AS complexity FROM open
+hits AS MATERIALIZED (SELECT * FROM best WHERE sim >= {threshold} AND {level('role')} >= {level('owner_role')}),
+miss AS MATERIALIZED (SELECT *, {model} AS model FROM (SELECT *, {D.complexity('query', 'role')} AS complexity FROM open
   WHERE query_id NOT IN (SELECT query_id FROM hits))),
 win AS (SELECT doc_id, CASE namespace WHEN 'general' THEN 'legal' ELSE namespace END AS namespace, source, text, unnest(generate_series(1, greatest(1, length(text) - 50), 450)) AS start
   FROM chunks WHERE length(text) > 0),
 ck0 AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS pos, namespace, source, substr(text, start, 500) AS text FROM win),
-ck AS (SELECT {sql_pair_id('doc_id', 'pos')} AS chunk_id, namespace, source, text FROM ck0),
-cv AS (SELECT ck.*, v.vec FROM ck, nv JOIN vectors v ON v.vec_id = ck.chunk_id % nv.n),
-qn AS (SELECT m.query_id, m.vec, rn.namespace FROM miss m JOIN {D.role_ns_dim()} ON {D.norm_role('m.role')} = rn.role
+ck AS MATERIALIZED (SELECT {sql_pair_id('doc_id', 'pos')} AS chunk_id, namespace, source, text FROM ck0),
+cv AS MATERIALIZED (SELECT chunk_id, namespace, chunk_id % nv.n AS vid FROM ck, nv),
+qn AS MATERIALIZED (SELECT m.query_id, m.vid, rn.namespace FROM miss m JOIN {D.role_ns_dim()} ON {D.norm_role('m.role')} = rn.role
     WHERE {D.norm_role('m.role')} <> '{L.UNRESTRICTED_ROLE}'
-  UNION ALL SELECT m.query_id, m.vec, 'general' FROM miss m WHERE {D.norm_role('m.role')} NOT IN (SELECT role FROM {D.roles_dim()})
-  UNION ALL SELECT m.query_id, m.vec, n.namespace FROM miss m, (SELECT DISTINCT namespace FROM ck) n
+  UNION ALL SELECT m.query_id, m.vid, 'general' FROM miss m WHERE {D.norm_role('m.role')} NOT IN (SELECT role FROM {D.roles_dim()})
+  UNION ALL SELECT m.query_id, m.vid, n.namespace FROM miss m, (SELECT DISTINCT namespace FROM ck) n
     WHERE {D.norm_role('m.role')} = '{L.UNRESTRICTED_ROLE}'),
-near AS (SELECT * FROM (SELECT query_id, chunk_id, rr, row_number() OVER (PARTITION BY query_id ORDER BY rr DESC, chunk_id) AS retrieval_rank
-  FROM (SELECT qn.query_id, cv.chunk_id, round({_cos_sql('qn.vec', 'cv.vec')}, 6) AS rr FROM qn JOIN cv ON cv.namespace = qn.namespace))
+vid_pairs AS MATERIALIZED (SELECT DISTINCT qn.vid AS v1, c.vid AS v2 FROM (SELECT DISTINCT vid, namespace FROM qn) qn
+  JOIN (SELECT DISTINCT vid, namespace FROM cv) c USING (namespace)),
+vid_scores AS MATERIALIZED ({_pair_scores('vid_pairs')}),
+near AS MATERIALIZED (SELECT * FROM (SELECT query_id, chunk_id, rr, row_number() OVER (PARTITION BY query_id ORDER BY rr DESC, chunk_id) AS retrieval_rank
+  FROM (SELECT qn.query_id, cv.chunk_id, p.sim AS rr FROM qn JOIN cv ON cv.namespace = qn.namespace JOIN vid_scores p ON p.v1 = qn.vid AND p.v2 = cv.vid))
   WHERE retrieval_rank <= {L.RERANK_CANDIDATES}),
 scored AS (SELECT near.*, ck.text, ck.source, {_f1('m.query', 'ck.text')} AS score, count(*) OVER (PARTITION BY near.query_id) > {L.RERANK_TOP_K} AS rerank_used
   FROM near JOIN miss m USING (query_id) JOIN ck USING (chunk_id)),
@@ -140,11 +152,11 @@ ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORD
   FROM scored) WHERE rank <= {L.RERANK_TOP_K}),
 ctx AS (SELECT query_id, string_agg(text, {D.q(L.CONTEXT_SEPARATOR)} ORDER BY rank) AS context, string_agg(coalesce(source, 'unknown'), ',' ORDER BY rank) AS sources,
   string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) AS chunk_ids, bool_or(rerank_used) AS rerank_used FROM ranked GROUP BY query_id),
-joined AS (SELECT m.query_id, m.username, m.role, m.query, m.complexity, m.model, ctx.* EXCLUDE (query_id), ans.answer, ans.latency_ms,
+joined AS MATERIALIZED (SELECT m.query_id, m.username, m.role, m.query, m.complexity, m.model, ctx.* EXCLUDE (query_id), ans.answer, ans.latency_ms,
   {D.q(pa)} || m.role || {D.q(pb)} || ctx.context || {D.q(pc)} || m.query || {D.q(pd)} AS prompt
   FROM miss m JOIN ctx USING (query_id) LEFT JOIN ans USING (query_id)),
 {octes},
-fin AS (SELECT *, {D.tokens("(prompt || answer)")} AS tokens, {D.pii_count('answer')} AS onpii FROM {ored}),
+fin AS MATERIALIZED (SELECT *, {D.tokens("(prompt || answer)")} AS tokens, {D.pii_count('answer')} AS onpii FROM {ored}),
 outcomes AS (
 SELECT query_id, username, role, query, 'blocked' AS outcome, 'none' AS model_used, 'blocked' AS complexity, 0 AS tokens_used, 0.0::DOUBLE AS cost_usd, 0.0::DOUBLE AS latency_ms,
   false AS cache_hit, reason AS guardrail_reason, block_type, false AS rerank_used, 'Warning: ' || reason AS response, '' AS sources, '' AS chunk_ids, {none} FROM blocked
