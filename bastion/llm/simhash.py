@@ -12,9 +12,10 @@ the result is each text's connected component. The steps:
    cells are never paired. Cells start with as many pivots as the number of points asks for; those that hold over
    ``MOST`` points are cut by further pivots, until none does. What is left when the pivots are used up (many points
    within a few bits of each other) is cut into blocks that meet pairwise as cells of their own.
-3. Filter and verify. A task takes whole cells, sorted by the distance to a ``REST`` pivot, compares a point only with those
-   at most RADIUS further in that order, discards pairs whose largest coordinate difference over the other REST
-   pivots is over RADIUS, and counts the differing bits of the survivors. Only spanning links leave a task.
+3. Filter and verify. A task takes whole cells and cuts them by ``LOCAL`` further pivots in the same way, in memory, to
+   about ``SMALL`` points. Sorted by the distance to one more pivot, a point is compared only with those of its small cell that
+   are at most RADIUS further in that order; pairs whose largest coordinate difference over the ``REST`` other pivots is
+   over RADIUS are discarded, and the differing bits of the survivors are counted. Only spanning links leave a task.
 
 The result is exact: the filters never drop a linked pair. Nothing is collected to the driver but one count a round.
 
@@ -42,14 +43,14 @@ from . import common as C
 
 #: Words a shingle; seed of its hash; bits that linked fingerprints may differ in.
 WORDS, SEED, RADIUS = 3, 42, 2
-#: Reference fingerprints that span the cells, and those that filter within a cell.
-PIVOTS, REST = 24, 4
-#: Points of a cell that are compared without a further cut, and rows of one comparing task.
-MOST, TASK_ROWS = 4096, 40000
+#: Reference fingerprints: of the cells, of the cuts within a task, and of the filter.
+PIVOTS, LOCAL, REST = 24, 10, 4
+#: Points of a cell that a task takes whole, rows of a task, and points of a cell that is swept.
+MOST, TASK_ROWS, SMALL = 1 << 16, 1 << 16, 512
 #: Pivots that a round adds to a cell which holds too many points.
 STEP = 2
 
-_REFERENCES = C.stream(PIVOTS + REST, 1111)
+_REFERENCES = C.stream(PIVOTS + LOCAL + REST, 1111)
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
@@ -146,7 +147,7 @@ def distances(points: np.ndarray, lo: int, hi: int) -> np.ndarray:
 
 
 def _cut(points: np.ndarray, cells: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """Points and cells, each cell cut by the pivots lo to hi - 1; points near an interval's end lie in two."""
+    """(row, cell): each cell cut by the pivots lo to hi - 1; rows near an interval's end lie in two."""
     width = 2 * RADIUS + 1
     table, row = distances(points, lo, hi), np.arange(len(points))
     cells = cells.view(np.uint64).copy()
@@ -157,7 +158,7 @@ def _cut(points: np.ndarray, cells: np.ndarray, lo: int, hi: int) -> tuple[np.nd
         row, cells = np.concatenate([row, row[near]]), np.concatenate([cells, cells[near]])
         with np.errstate(over="ignore"):
             cells = C.mix(cells * C.U64(0x9E3779B97F4A7C15) + interval)
-    return points[row], cells.view(np.int64)
+    return row, cells.view(np.int64)
 
 
 def _cut_rows(rows: DataFrame, lo: int, hi: int) -> DataFrame:
@@ -167,8 +168,8 @@ def _cut_rows(rows: DataFrame, lo: int, hi: int) -> DataFrame:
         for batch in batches:
             cells, points = (batch.column(k).to_numpy() for k in (0, 1))
             for a in range(0, len(points), 2048):
-                p, c = _cut(points[a:a + 2048], cells[a:a + 2048], lo, hi)
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(p)], ["cell", "point"])
+                row, cut = _cut(points[a:a + 2048], cells[a:a + 2048], lo, hi)
+                yield pa.RecordBatch.from_arrays([pa.array(cut), pa.array(points[a:a + 2048][row])], ["cell", "point"])
 
     return rows.select("cell", "point").mapInArrow(run, "cell long, point long")
 
@@ -228,14 +229,19 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _close(frame: pd.DataFrame) -> pd.DataFrame:
     """Spanning links (a, b) between the points of whole cells."""
     points, cell = frame["point"].to_numpy(), frame["cell"].to_numpy()
-    table = distances(points, PIVOTS, PIVOTS + REST)
+    n, row = len(points), np.arange(len(points))
+    largest = np.unique(cell, return_counts=True)[1].max()
+    cuts = min(LOCAL, max(0, math.ceil(math.log2(largest / SMALL) / 1.25)))
+    if cuts:
+        row, cell = _cut(points, cell, PIVOTS, PIVOTS + cuts)
     _, cell = np.unique(cell, return_inverse=True)
-    place = cell.astype(np.int64) * 256 + table[:, 0]  # cells lie far apart in this order
+    table = distances(points, PIVOTS + LOCAL, PIVOTS + LOCAL + REST)
+    place = cell.astype(np.int64) * 256 + table[row, 0]  # cells lie far apart in this order
     order = np.argsort(place, kind="stable")
-    points, place, table = points[order].view(np.uint64), place[order], table[order]
+    place, row = place[order], row[order]
+    bits, table = points.view(np.uint64)[row], table[row]
     until = np.searchsorted(place, place + RADIUS, "right")
-    n = len(points)
-    link, active, step, pairs, found = np.arange(n), np.arange(n), 0, [], 0
+    link, active, step, pairs, found = np.arange(n), np.arange(len(row)), 0, [], 0
     while True:
         step += 1
         active = active[until[active] > active + step]
@@ -243,16 +249,16 @@ def _close(frame: pd.DataFrame) -> pd.DataFrame:
             break
         near = active[np.abs(table[active, 1] - table[active + step, 1]) <= RADIUS]
         near = near[(np.abs(table[near, 2:] - table[near + step, 2:]) <= RADIUS).all(axis=1)]
-        near = near[np.bitwise_count(points[near] ^ points[near + step]) <= RADIUS]
+        near = near[np.bitwise_count(bits[near] ^ bits[near + step]) <= RADIUS]
         if len(near):
-            pairs.append((near, near + step))
+            pairs.append((row[near], row[near + step]))
             found += len(near)
         if found > 1 << 20:  # keep a forest of what was found so far
             link = _merge(link, pairs)
             pairs, found = [], 0
     link = _merge(link, pairs)
     some = np.flatnonzero((link != np.arange(n)) & (points != points[link]))
-    return pd.DataFrame({"a": points[some].view(np.int64), "b": points[link[some]].view(np.int64)})
+    return pd.DataFrame({"a": points[some], "b": points[link[some]]})
 
 
 def _merge(link: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:

@@ -83,9 +83,10 @@ def families(seed, count, each, most_flips):
     return sorted(set(out))
 
 
-@pytest.mark.parametrize("most", [4096, 64, 8])
-def test_links_against_all_pairs(spark, most):
+@pytest.mark.parametrize("most,small", [(1 << 16, 512), (1 << 16, 4), (64, 16), (8, 512)])
+def test_links_against_all_pairs(spark, monkeypatch, most, small):
     """Random families and one dense ball, whose cells the pivots cannot part."""
+    monkeypatch.setattr(S, "SMALL", small)
     points = sorted(set(families(1, 150, 6, 4) + families(2, 1, 500, 3) + families(3, 700, 1, 0)))
     df = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in points], "point long")
     label = {r["node"] % 2 ** 64: r["component"] % 2 ** 64 for r in S.C.connected_components(S.links(df, most)).collect()}
@@ -98,6 +99,20 @@ def test_links_against_all_pairs(spark, most):
     assert len(mine) < len(points) - 300
 
 
+@pytest.mark.parametrize("small", [512, 2])
+def test_a_task_of_whole_cells(monkeypatch, small):
+    """The kernel alone, with cuts in memory: all links within a cell, none between cells."""
+    import pandas as pd
+    monkeypatch.setattr(S, "SMALL", small)
+    points = np.array(families(8, 200, 5, 3) + families(9, 1, 200, 2), dtype=np.uint64)
+    cell = np.random.default_rng(1).integers(0, 3, len(points))
+    got = S._close(pd.DataFrame({"cell": cell, "point": points.view(np.int64)}))
+    at = {int(p): k for k, p in enumerate(points.view(np.int64))}
+    mine = S.roots(len(points), *(np.array([at[int(x)] for x in got[c]], int) for c in ("a", "b")))
+    near = (np.bitwise_count(points[:, None] ^ points[None, :]) <= 2) & (cell[:, None] == cell[None, :])
+    assert (mine == S.roots(len(points), *np.nonzero(near))).all()
+
+
 def test_cells_are_bounded_and_keep_linked_points_together(spark):
     points = sorted(set(families(5, 1, 3000, 5) + families(6, 300, 4, 2)))
     df = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in points], "point long")
