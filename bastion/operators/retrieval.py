@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import libraries as L
 from ..functions.text import col_of, strip
 from .access import principal_namespaces
+from .vector_index import search_index
 from .vectors import approx_topk, block_topk, topk_join
 
 
@@ -23,7 +24,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = L.RERANK_CANDIDATES
     Queries are expanded to one row per readable namespace (R1; the unrestricted
     role gets every namespace present) and equi-joined on namespace, so the
     access filter is a join key, never an OR predicate. ``method``: ``block`` (exact,
-    blocked kernel), ``lsh`` (V6: approximate, needs ``dim``; only chunks of a readable
+    blocked kernel), ``index`` (V6: a persisted index of the chunks, given as ``index``; exact unless ``probes``
+    limits it), ``lsh`` (approximate without an index, needs ``dim``; only chunks of a readable
     namespace are candidates) or ``join`` (exact, every pair a row: for checks).
     Returns (q_id, c_id, score, retrieval_rank).
     """
@@ -34,6 +36,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = L.RERANK_CANDIDATES
     elif method == "lsh":
         res = approx_topk(q, chunks, k, q_id=q_id, i_id=c_id, q_key=namespace, i_key=namespace, q_vec=q_vec,
                           i_vec=c_vec, **kw).select(q_id, c_id, "score", "rank")
+    elif method == "index":
+        res = search_index(q, kw.pop("index"), k, q_id=q_id, i_id=c_id, q_key=namespace, q_vec=q_vec, **kw)
     elif method != "join":
         raise ValueError(f"unknown method {method!r}")
     else:

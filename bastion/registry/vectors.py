@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import libraries as L
@@ -9,9 +11,12 @@ from ..functions.overlap import f1_of_sets
 from ..functions.text import token_set
 from ..operators import cache as C
 from ..operators import retrieval as R
+from ..operators.access import principal_namespaces
+from ..operators.vector_index import build_index, candidates
 from ..operators.vectors import cosine
 from ..operators.ingest import fixed_chunks
 from ..sources.driver_tables import chat_answers, chat_queries, pair_id, sql_pair_id, table, vectors, with_sql
+from ..session import ensure_checkpoint_dir
 from . import duck as D
 
 THRESHOLD = 0.3  # the synthetic vectors never reach 0.95; 0.3 gives real hits
@@ -92,25 +97,37 @@ def _v5_sql(k):
 
 
 # -- V6 ----------------------------------------------------------------------
-DIM, BITS, TABLES, SEED = 64, 3, 8, 7
+DIM = 64
+
+
+def _index(spark, sf):
+    """An index of all vectors by namespace, below the shared folder."""
+    v = _vec(spark, sf)
+    chunks = v.select(F.col("vec_id").alias("chunk_id"), "namespace", "vec")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bastion/{spark.sparkContext.applicationId}/vector-index-{uuid.uuid4().hex}"
+    return build_index(chunks, path, DIM, i_id="chunk_id", i_key="namespace")
 
 
 def v6_approx_topk(spark, sf):
-    """Approximate, access-filtered: candidates share a signed-projection bucket and a readable namespace."""
-    return _retrieve(spark, sf, L.RERANK_TOP_K, method="lsh", dim=DIM, bits=BITS, tables=TABLES, seed=SEED)
+    """Access-filtered top-k through the persisted index; without a limit of probes it is exact."""
+    return _retrieve(spark, sf, L.RERANK_TOP_K, method="index", index=_index(spark, sf))
 
 
-def _v6_sql():
-    import numpy as np
-    planes = np.random.default_rng(SEED).standard_normal((TABLES * BITS, DIM))
-    sign = lambda t, b: f"CASE WHEN list_dot_product(vec, [{', '.join(map(repr, planes[t * BITS + b].tolist()))}]) > 0 THEN {1 << b} ELSE 0 END"
-    tables = ", ".join("'" + f"{t}:' || CAST(" + " + ".join(sign(t, b) for b in range(BITS)) + " AS VARCHAR)" for t in range(TABLES))
-    return _pairs_sql() + f""",
-bk AS (SELECT vec_id, unnest([{tables}]) AS bucket FROM vectors WHERE len(vec) = {DIM}),
-mates AS (SELECT DISTINCT a.vec_id AS query_id, b.vec_id AS chunk_id FROM bk a JOIN bk b ON a.bucket = b.bucket),
-ap AS (SELECT sc.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS retrieval_rank
-  FROM sc JOIN mates USING (query_id, chunk_id))
-SELECT query_id, chunk_id, score, CAST(retrieval_rank AS INTEGER) AS retrieval_rank FROM ap WHERE retrieval_rank <= {L.RERANK_TOP_K}"""
+def v6_index_reads(spark, sf):
+    """How the index was read, per query: all its readable vectors are known to it, and at most three in ten were read in full."""
+    index = _index(spark, sf)
+    v = _vec(spark, sf)
+    q = principal_namespaces(v.select(F.col("vec_id").alias("__q"), F.col("vec").alias("__qv"), "role"), v, "role", "namespace").withColumnRenamed("namespace", "key")
+    full = candidates(q.select("__q", "__qv", "key"), index, L.RERANK_TOP_K, exclude_self=True).groupBy("__q").agg(F.count("*").alias("full"))
+    sizes = index.cells(spark).groupBy("key").agg(F.sum("n").alias("n"))
+    readable = q.join(F.broadcast(sizes), "key").groupBy("__q").agg(F.sum("n").alias("readable"))
+    return readable.join(full, "__q", "left").select(
+        F.col("__q").alias("query_id"), "readable", (F.coalesce("full", F.lit(0)) <= 0.3 * F.col("readable") + L.RERANK_TOP_K).alias("few_read"))
+
+
+V6_READS_SQL = _pairs_sql() + """
+SELECT query_id, CAST(sum(n) AS BIGINT) AS readable, true AS few_read
+FROM qn JOIN (SELECT namespace, count(*) AS n FROM vectors GROUP BY namespace) USING (namespace) GROUP BY query_id"""
 
 
 # -- V7 ----------------------------------------------------------------------
@@ -327,6 +344,7 @@ QUERIES = {
     "v4_cosine": v4_cosine,
     "v5_topk": v5_topk,
     "v6_approx_topk": v6_approx_topk,
+    "v6_index_reads": v6_index_reads,
     "v7_hypothesis": v7_hypothesis,
     "v8_rerank": v8_rerank,
     "v9_rerank_scores": v9_rerank_scores,
@@ -344,7 +362,8 @@ ORACLE = {
     "v1_chunks": V1_SQL,
     "v4_cosine": V4_SQL,
     "v5_topk": _v5_sql(L.RERANK_TOP_K),
-    "v6_approx_topk": _v6_sql(),
+    "v6_approx_topk": _v5_sql(L.RERANK_TOP_K),
+    "v6_index_reads": V6_READS_SQL,
     "v7_hypothesis": _v7_sql(),
     "v8_rerank": V8_SQL,
     "v9_rerank_scores": V9_SQL,
