@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import libraries as L
 from ..operators import feedback as FB
 from ..operators import monitoring as M
+from ..operators import rollups as RU
 from ..sources.driver_tables import feedback_requests, query_metrics, table, with_sql
+from ..session import scratch
 from . import duck as D
 
 TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -190,7 +192,48 @@ def _counts_sql(key):
                                         f"AND {_win()} GROUP BY {key} ORDER BY queries DESC, {key}")
 
 
+# -- A1, A4, A9 from stored rollups --------------------------------------------------
+def _rollups(spark, sf):
+    """Rollups of all hours but the last two, written and read back; the log answers for the rest."""
+    path = scratch(spark, "rollups")
+    m = _qm(spark, sf)
+    RU.refresh(m, path, M.latest_ts(m) - F.make_interval(hours=F.lit(2)))
+    return RU.stored(spark, path), m
+
+
+def _users_close(estimate, exact):
+    return (F.abs(estimate - exact) <= F.greatest(F.lit(1.0), 0.02 * exact)).alias("users_within_2_percent")
+
+
+def a1_rollup_summary(spark, sf):
+    rollups, m = _rollups(spark, sf)
+    exact = M.metrics_summary(m, 24).select("unique_users").scalar()
+    return RU.summary(rollups, m, 24).select("total_queries", _r("avg_latency_ms"), _r("total_cost_usd"), "total_tokens", "cache_hits", "guardrail_blocks",
+                                             _users_close(F.col("unique_users"), exact))
+
+
+A1_ROLLUP_SQL = f"SELECT * EXCLUDE (unique_users), true AS users_within_2_percent FROM ({A1_SQL})"
+
+
+def a4_rollup_hours(spark, sf):
+    rollups, m = _rollups(spark, sf)
+    exact = M.hours_selector(m).select("hours", F.col("unique_users").alias("exact"))
+    return RU.hours_selector(rollups, m).join(exact, "hours").select(
+        "hours", "total_queries", _r("avg_latency_ms"), _r("total_cost_usd"), "total_tokens", "cache_hits", "guardrail_blocks",
+        _users_close(F.col("unique_users"), F.col("exact")))
+
+
+A4_ROLLUP_SQL = f"SELECT * EXCLUDE (unique_users), true AS users_within_2_percent FROM ({A4_SQL})"
+
+
+def a9_rollup_kpi(spark, sf):
+    return RU.kpi_row(*_rollups(spark, sf), 24)
+
+
 QUERIES = {
+    "a1_rollup_summary": a1_rollup_summary,
+    "a4_rollup_hours": a4_rollup_hours,
+    "a9_rollup_kpi": a9_rollup_kpi,
     "a1_metrics_summary": a1_metrics_summary,
     "a2_feedback_summary": a2_feedback_summary,
     "a3_recent_metrics": a3_recent_metrics,
@@ -208,6 +251,9 @@ QUERIES = {
     "a14_complexity_distribution": _counts("complexity"),
 }
 ORACLE = {
+    "a1_rollup_summary": A1_ROLLUP_SQL,
+    "a4_rollup_hours": A4_ROLLUP_SQL,
+    "a9_rollup_kpi": A9_SQL,
     "a1_metrics_summary": A1_SQL,
     "a2_feedback_summary": A2_SQL,
     "a3_recent_metrics": A3_SQL,

@@ -8,6 +8,7 @@ from ..functions import libraries as L
 from ..plans.chat import chat, sinks
 from ..sources.driver_tables import (chat_answers, chat_queries, chunks_from_documents, pair_id, sql_cost, sql_pair_id, table,
                                      vectors, with_sql)
+from ..session import scratch
 from . import duck as D
 from .vectors import closed
 
@@ -218,3 +219,41 @@ FROM m JOIN chunks ch USING (doc_id)"""
 
 QUERIES["s5_doc_chunks_upsert"] = s5_doc_chunks_upsert
 ORACLE["s5_doc_chunks_upsert"] = _s5_sql()
+
+
+def s5_bucketed_merge(spark, sf):
+    """The same two ingests as merges into a stored table of hash buckets."""
+    from ..sources.sinks import merge_latest
+    path = scratch(spark, "doc-chunks")
+    merge_latest(spark, _meta(spark, sf, "2024-01-01 00:00:00"), path)
+    merge_latest(spark, _meta(spark, sf, "2024-01-02 00:00:00").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi"), path)
+    return spark.read.parquet(path).select("chunk_id", "file_name", "department", F.date_format("indexed_at", "yyyy-MM-dd").alias("day"))
+
+
+QUERIES["s5_bucketed_merge"] = s5_bucketed_merge
+ORACLE["s5_bucketed_merge"] = _s5_sql()
+
+
+# -- S6 and C5: index and metadata published together ---------------------------------
+def s6_published_index(spark, sf):
+    """All documents are published, then the labelled ones again as the next version: readers see one version of both tables.
+
+    Chunks per department of the current version with the rows of its metadata, and the version C5 keeps.
+    """
+    from ..operators.cache import invalidate
+    from ..sources import versions
+    from ..sources.sinks import publish_index
+    root = scratch(spark, "published")
+    meta = _meta(spark, sf, "2024-01-01 00:00:00")
+    version = 0
+    for wanted in (meta, meta.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")):
+        version = publish_index(wanted.select("chunk_id", "department", "doc_id"), wanted.drop("department"), root)
+    chunks, rows = (versions.read(spark, root, t, version) for t in ("chunks", "doc_chunks"))
+    entries = chunks.join(rows, "chunk_id").withColumn("index_version", F.lit(version))
+    return invalidate(entries, versions.current_version(spark, root)).groupBy("department", "index_version").agg(
+        F.count(F.lit(1)).alias("chunks"), F.countDistinct("file_name").alias("files"))
+
+
+QUERIES["s6_published_index"] = s6_published_index
+ORACLE["s6_published_index"] = _s5_sql().replace("SELECT m.chunk_id, m.file_name", "SELECT department, 2 AS index_version, count(*) AS chunks, count(DISTINCT file_name) AS files FROM (SELECT m.chunk_id, m.file_name") + """
+WHERE m.doc_id IN (SELECT doc_id FROM labels)) GROUP BY department"""

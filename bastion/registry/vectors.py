@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import libraries as L
@@ -16,7 +14,7 @@ from ..operators.vector_index import build_index, candidates
 from ..operators.vectors import cosine
 from ..operators.ingest import fixed_chunks
 from ..sources.driver_tables import chat_answers, chat_queries, pair_id, sql_pair_id, table, vectors, with_sql
-from ..session import ensure_checkpoint_dir
+from ..session import scratch
 from . import duck as D
 
 THRESHOLD = 0.3  # the synthetic vectors never reach 0.95; 0.3 gives real hits
@@ -104,8 +102,7 @@ def _index(spark, sf):
     """An index of all vectors by namespace, below the shared folder."""
     v = _vec(spark, sf)
     chunks = v.select(F.col("vec_id").alias("chunk_id"), "namespace", "vec")
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bastion/{spark.sparkContext.applicationId}/vector-index-{uuid.uuid4().hex}"
-    return build_index(chunks, path, DIM, i_id="chunk_id", i_key="namespace")
+    return build_index(chunks, scratch(spark, "vector-index"), DIM, i_id="chunk_id", i_key="namespace")
 
 
 def v6_approx_topk(spark, sf):

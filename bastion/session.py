@@ -74,6 +74,13 @@ def _stage_root(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/bastion/{spark.sparkContext.applicationId}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder; :func:`drop_materialized` deletes it."""
+    import uuid
+
+    return f"{_stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def drop_materialized(spark: SparkSession) -> None:
     """Delete all that :func:`materialize` wrote in this application."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_stage_root(spark))
