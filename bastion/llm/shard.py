@@ -3,7 +3,8 @@
 The rows lie in P source partitions (by a hash of the row's key, so a rerun finds them there
 again). Rows of one key are numbered, and the number is part of every draw, so that copies are dealt
 apart like any other rows; the numbers come from counts by key and salt, so that no task holds all
-rows of a key. A communication matrix with the partitions' exact counts as row sums and the shards' exact
+rows of a key. All of this works on (row number, hash of the key); the rows themselves are written once with their
+row number and joined with their shard and slot once, at the end. A communication matrix with the partitions' exact counts as row sums and the shards' exact
 sizes as column sums is drawn from the multivariate hypergeometric law, which is the law of those
 counts under a uniform shuffle. Each partition is permuted locally and cut by its matrix row, the
 pieces are exchanged, and every shard is permuted again. The driver sees P counts and P x shards
@@ -80,43 +81,47 @@ def numbered(df: DataFrame, key_cols: list[str], salts: int) -> DataFrame:
             .drop("__llm_hash", "__llm_salt", "__llm_k", "__llm_start"))
 
 
-def shuffle_into_shards(df: DataFrame, key_cols: list[str], n_shards: int = SHARDS, seed: int = 7) -> DataFrame:
-    """``df`` with ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 within the shard, the shuffled order)."""
-    spark = df.sparkSession
-    base = df.drop("shard", "slot")
+def places(rows: DataFrame, n_shards: int, seed: int) -> DataFrame:
+    """(row, shard, slot) of rows (row, hash): the shuffle itself, on two numbers a row."""
+    spark = rows.sparkSession
     parts = max(n_shards, C.partitions(spark))
-    draw = lambda k: F.xxhash64(*key_cols, "__llm_no", F.lit(seed), F.lit(k))
-    rows = numbered(base, key_cols, parts).withColumn("__llm_part", F.pmod(draw(1), F.lit(parts)).cast("int"))
-    found = {r[0]: r[1] for r in rows.groupBy("__llm_part").count().collect()}  # at most `parts` rows
+    draw = lambda k: F.xxhash64("hash", "__llm_no", F.lit(seed), F.lit(k))
+    rows = C.stage(numbered(rows, ["hash"], parts).withColumn("part", F.pmod(draw(1), F.lit(parts)).cast("int")), "numbered")
+    found = {r[0]: r[1] for r in rows.groupBy("part").count().collect()}  # at most `parts` rows
     total = sum(found.values())
     extra = set(np.random.default_rng(seed + 1).permutation(n_shards)[:total % n_shards].tolist())
     sizes = [total // n_shards + (s in extra) for s in range(n_shards)]
     order = sorted(found)
     matrix = communication_matrix([found[p] for p in order], sizes, seed)
-    table = spark.createDataFrame([(p, np.cumsum(r).tolist()) for p, r in zip(order, matrix)],
-                                  "__llm_part int, __llm_ends array<long>")
+    table = spark.createDataFrame([(p, np.cumsum(r).tolist()) for p, r in zip(order, matrix)], "part int, ends array<long>")
     # local permutation, cut by the matrix row; the table has a row per source partition
-    local = Window.partitionBy("__llm_part").orderBy(draw(2), *key_cols, "__llm_no")
-    dealt = (rows.withColumn("__llm_pos", F.row_number().over(local))
-             .join(F.broadcast(table), "__llm_part")
-             .withColumn("shard", F.size(F.filter("__llm_ends", lambda e: e < F.col("__llm_pos"))).cast("int"))
-             .drop("__llm_pos", "__llm_ends", "__llm_part"))
-    dealt = C.stage(dealt, "dealt")
+    local = Window.partitionBy("part").orderBy(draw(2), "row")
+    dealt = (rows.withColumn("pos", F.row_number().over(local)).join(F.broadcast(table), "part")
+             .withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("pos"))).cast("int")))
     # second permutation: ranges of a random key, so that one shard is sorted by many tasks
     cells = max(1, math.ceil(parts / n_shards))
-    key2 = draw(3)
-    cell = F.floor(F.shiftrightunsigned(key2, 32) * F.lit(cells) / F.lit(2.0 ** 32)).cast("int")
-    dealt = dealt.withColumn("__llm_key", key2).withColumn("__llm_cell", cell)
-    ends = sorted((r[0], r[1], r[2]) for r in dealt.groupBy("shard", "__llm_cell").count().collect())  # about `parts` rows
+    cell = F.floor(F.shiftrightunsigned("key", 32) * F.lit(cells) / F.lit(2.0 ** 32)).cast("int")
+    dealt = C.stage(dealt.select("row", "shard", draw(3).alias("key")).withColumn("cell", cell), "dealt")
+    C.unstage(rows)
+    ends = sorted((r[0], r[1], r[2]) for r in dealt.groupBy("shard", "cell").count().collect())  # about `parts` rows
     offsets, at = [], {}
     for s, c, n in ends:
         offsets.append((s, c, at.get(s, 0)))
         at[s] = at.get(s, 0) + n
-    begin = spark.createDataFrame(offsets, "shard int, __llm_cell int, __llm_begin long")
-    again = Window.partitionBy("shard", "__llm_cell").orderBy("__llm_key", *key_cols, "__llm_no")
-    return (dealt.withColumn("__llm_rank", F.row_number().over(again))
-            .join(F.broadcast(begin), ["shard", "__llm_cell"])
-            .select(*base.columns, "shard", (F.col("__llm_begin") + F.col("__llm_rank") - 1).alias("slot")))
+    begin = spark.createDataFrame(offsets, "shard int, cell int, begin long")
+    again = Window.partitionBy("shard", "cell").orderBy("key", "row")
+    return (dealt.withColumn("rank", F.row_number().over(again)).join(F.broadcast(begin), ["shard", "cell"])
+            .select("row", "shard", (F.col("begin") + F.col("rank") - 1).alias("slot")))
+
+
+def shuffle_into_shards(df: DataFrame, key_cols: list[str], n_shards: int = SHARDS, seed: int = 7) -> DataFrame:
+    """``df`` with ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 within the shard, the shuffled order)."""
+    base = df.drop("shard", "slot")
+    # staged: a row must have the same number in both reads
+    rows = C.stage(base.withColumn("__llm_row", F.monotonically_increasing_id()), "rows")
+    narrow = rows.select(F.col("__llm_row").alias("row"), F.xxhash64(*key_cols).alias("hash"))
+    placed = places(narrow, n_shards, seed)
+    return rows.join(placed, F.col("__llm_row") == F.col("row")).select(*[rows[c] for c in base.columns], placed["shard"], placed["slot"])
 
 
 def op4_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
