@@ -37,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -51,6 +51,8 @@ BLOCK, LARGE = 1024, 512
 #: Hub members that every member of a larger cluster meets first.
 HUBS = 6
 NO_REPLY = 0xFFFF
+#: Bits of a sieve at most (8 MB).
+SIEVE_BITS = 1 << 26
 
 
 def need(n):
@@ -193,10 +195,35 @@ def survivors(texts: DataFrame) -> DataFrame:
     return met.groupBy("chunk").applyInPandas(_survive, "node long, n long").distinct()
 
 
+def sieve(keys: DataFrame) -> DataFrame:
+    """(word, bits): a bit for each hash of the long column ``key``, at most SIEVE_BITS / 64 rows.
+
+    About 16 bits a key up to that bound; beyond it more keys share a bit, and more rows pass for :func:`may_hold`.
+    """
+    bits = min(SIEVE_BITS, 1 << max(10, (16 * keys.count() - 1).bit_length()))
+    place = F.pmod(F.xxhash64("key", F.lit("sieve")), F.lit(bits))
+    return keys.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"), F.max(F.lit(bits)).alias("of"))
+
+
+def may_hold(rows: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """``rows`` with ``__llm_key`` and ``__llm_maybe``: false only if the key is none of the sieve's. No shuffle of the rows."""
+    head = kept.agg(F.max("of")).first()[0] or 64
+    table = kept.select(F.col("word").alias("__llm_word"), F.col("bits").alias("__llm_bits"))
+    place = F.pmod(F.xxhash64("__llm_key", F.lit("sieve")), F.lit(head))
+    return (rows.withColumn("__llm_key", key).withColumn("__llm_place", place).withColumn("__llm_word", F.shiftright("__llm_place", 6))
+            .join(F.broadcast(table), "__llm_word", "left")  # at most SIEVE_BITS / 64 rows
+            .withColumn("__llm_maybe", F.coalesce(F.expr("(shiftright(__llm_bits, cast(__llm_place & 63 as int)) & 1) = 1"), F.lit(False)))
+            .drop("__llm_place", "__llm_word", "__llm_bits"))
+
+
 def survivor_sets(rows: DataFrame, alive: DataFrame) -> DataFrame:
     """(node, n, tokens) of the surviving classes, from one text of each. ``alive``: (id, mark) of those texts."""
-    chosen = alive.select(F.col("id").alias("__llm_id"), F.col("mark").alias("__llm_mark"))
-    texts = rows.join(chosen, F.col("id").eqNullSafe(F.col("__llm_id")) & (F.col("mark") == F.col("__llm_mark")), "left_semi").select("text")
+    chosen = C.stage(alive.select(F.xxhash64("id", "mark").alias("key"), F.col("id").alias("__llm_id"), F.col("mark").alias("__llm_mark")), "chosen")
+    # only texts that pass the sieve are dealt by their key
+    maybe = may_hold(rows, F.xxhash64("id", "mark"), sieve(chosen)).where("__llm_maybe")
+    texts = maybe.join(chosen, (F.col("__llm_key") == F.col("key")) & F.col("id").eqNullSafe(F.col("__llm_id")) & (
+        F.col("mark") == F.col("__llm_mark")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -414,16 +441,26 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row of each component; rows without words stay as they are. Texts cross the network once."""
-    first = near_components(df, id_col, text_col).where("first").select(
-        F.xxhash64("id", "mark").alias("__llm_key"), F.col("id").alias("__llm_id"), F.col("mark").alias("__llm_mark"),
-        (F.col("n_shingles") == 0).alias("__llm_none")).distinct()
+    """``df`` with one row of each component; rows without words stay as they are.
+
+    Rows that a sieve of the keys to be dropped tells apart for certain stay where they lie; only the others are dealt by
+    their key and looked up.
+    """
+    found = near_components(df, id_col, text_col).select(
+        F.xxhash64("id", "mark").alias("key"), F.col("id").alias("__llm_id"), F.col("mark").alias("__llm_mark"), "first",
+        (F.col("n_shingles") == 0).alias("__llm_none"))
+    found = C.stage(found, "found")
+    # keys with a row that must go: not of the first text, or repeated rows of it
+    going = found.where("not __llm_none").groupBy("key").agg(F.min("first").alias("first"), F.count("*").alias("n")).where("not first or n > 1")
     mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = df.withColumn("__llm_text", mark).withColumn("__llm_key", F.xxhash64(F.col(id_col), F.col("__llm_text")))
-    met = rows.join(first, "__llm_key").where(F.col(id_col).eqNullSafe(F.col("__llm_id")) & (F.col("__llm_text") == F.col("__llm_mark")))
+    rows = may_hold(df.withColumn("__llm_text", mark), F.xxhash64(F.col(id_col), F.col("__llm_text")), sieve(going))
+    first = found.where("first").drop("first").distinct()
+    met = rows.where("__llm_maybe").join(first, F.col("__llm_key") == F.col("key")).where(
+        F.col(id_col).eqNullSafe(F.col("__llm_id")) & (F.col("__llm_text") == F.col("__llm_mark")))
     # repeated rows of the first text: one stays; the join has dealt the rows by the key already
     rank = Window.partitionBy("__llm_key", "__llm_id", "__llm_mark").orderBy(F.lit(0))
-    return met.withColumn("__llm_k", F.row_number().over(rank)).where("__llm_k = 1 or __llm_none").select(*df.columns)
+    met = met.withColumn("__llm_k", F.row_number().over(rank)).where("__llm_k = 1 or __llm_none")
+    return rows.where("not __llm_maybe").select(*df.columns).union(met.select(*df.columns))
 
 
 def op3_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
