@@ -10,6 +10,7 @@ from ..operators import monitoring as M
 from ..operators import rollups as RU
 from ..sources.driver_tables import feedback_requests, query_metrics, table, with_sql
 from ..session import scratch
+from ..streaming import stateful as ST
 from . import duck as D
 
 TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -230,7 +231,26 @@ def a9_rollup_kpi(spark, sf):
     return RU.kpi_row(*_rollups(spark, sf), 24)
 
 
+# -- P5 without gaps: the whole event log as a stream -------------------------------------
+def p5_filled_trend(spark, sf):
+    """All buckets whose end the watermark (the latest event) has passed, from the stream's sink."""
+    path = scratch(spark, "trend")
+    events = ST.read_stream(spark, f"{sf}/events.parquet")
+    ST.filled_trend_stream(query_metrics(events), path, scratch(spark, "trend-checkpoint"), watermark="0 seconds").awaitTermination()
+    return spark.read.parquet(path).select(F.date_format("bucket_start", TS_FMT).alias("bucket"), _r("avg_latency_ms"), _r("total_cost_usd"), "queries")
+
+
+P5_SQL = with_sql("query_metrics") + f"""
+, b AS (SELECT make_timestamp((epoch_us(ts) // 300000000) * 300000000) AS bucket, latency_ms, cost_usd FROM query_metrics),
+p AS (SELECT bucket, avg(latency_ms) AS lat, sum(cost_usd) AS cost, count(*) AS n FROM b GROUP BY bucket),
+g AS (SELECT unnest(generate_series(min(bucket), max(bucket), INTERVAL 5 MINUTE)) AS bucket FROM p)
+SELECT strftime(g.bucket, {DUCK_TS}) AS bucket, round(p.lat, 6) AS avg_latency_ms, round(CASE WHEN p.n > 0 THEN p.cost ELSE 0.0 END, 6) AS total_cost_usd,
+  coalesce(p.n, 0) AS queries
+FROM g LEFT JOIN p ON g.bucket = p.bucket WHERE g.bucket + INTERVAL 5 MINUTE <= {AS_OF}"""
+
+
 QUERIES = {
+    "p5_filled_trend": p5_filled_trend,
     "a1_rollup_summary": a1_rollup_summary,
     "a4_rollup_hours": a4_rollup_hours,
     "a9_rollup_kpi": a9_rollup_kpi,
@@ -251,6 +271,7 @@ QUERIES = {
     "a14_complexity_distribution": _counts("complexity"),
 }
 ORACLE = {
+    "p5_filled_trend": P5_SQL,
     "a1_rollup_summary": A1_ROLLUP_SQL,
     "a4_rollup_hours": A4_ROLLUP_SQL,
     "a9_rollup_kpi": A9_SQL,

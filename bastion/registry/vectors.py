@@ -261,10 +261,10 @@ WHERE q.vec_id NOT IN (SELECT query_id FROM rk JOIN vectors c ON c.vec_id = rk.c
 
 
 # -- cache -------------------------------------------------------------------
-def _cache_sides(spark, sf):
-    v = _vec(spark, sf)
+def _cache_sides(spark, sf, read=_vec):
+    v = read(spark, sf)
     q = v.select(F.col("vec_id").alias("query_id"), "vec", F.col("created_at").alias("ts"), "role")
-    e = v.select(F.col("vec_id").alias("entry_id"), "vec", "created_at", "owner_role")
+    e = read(spark, sf).select(F.col("vec_id").alias("entry_id"), "vec", "created_at", "owner_role")
     return q, e
 
 
@@ -404,3 +404,18 @@ SELECT vec_id AS entry_id, 2 AS index_version FROM vectors, m WHERE created_at >
 
 QUERIES["c5_invalidate"] = c5_invalidate
 ORACLE["c5_invalidate"] = C5_SQL
+
+
+def c1_stream_candidates(spark, sf):
+    """C1 with both sides as streams: each query's best live entry and whether it is a hit."""
+    from ..streaming import stateful as ST
+    q, e = _cache_sides(spark, sf, lambda spark, sf: vectors(ST.read_stream(spark, f"{sf}/embeddings.parquet")))
+    path = scratch(spark, "candidates")
+    found = ST.cache_candidates(q, e, ttl_s=TTL, watermark="1 minute")
+    found.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "candidates-checkpoint")).trigger(
+        availableNow=True).start().awaitTermination()
+    return ST.best_candidates(spark.read.parquet(path), threshold=THRESHOLD).select("query_id", "entry_id", "sim", "hit")
+
+
+QUERIES["c1_stream_candidates"] = c1_stream_candidates
+ORACLE["c1_stream_candidates"] = f"SELECT * FROM ({C1_SQL}) WHERE entry_id IS NOT NULL"
