@@ -12,12 +12,16 @@ A text's set holds the hashes of its distinct 5-word shingles. Two texts link wh
 3. Grouped prefix join. The survivors' shingles are ordered by frequency, rarest first. Partners share a
    shingle in the first n - ceil(0.75 n) + 1 of each. Shingles of one class only match nothing and are left
    out. Classes with equal prefixes and sizes collapse into one group. Groups that share a prefix shingle
-   and whose sizes may reach 0.75 (size bands of ratio 4/3, neighbours included) lie in one cluster; edges
+   and whose sizes may reach 0.75 (size bands of ratio 4/3, neighbours included) are packed into one cluster; edges
    lead to one hub per shingle and band, never between all pairs.
-4. Expand and verify. Within a cluster the members' whole sets are compared exactly. Clusters of over
-   BLOCK members are cut into blocks that are compared pairwise, a task each. When only components are asked
-   for, members of large clusters first meet a few hub members each, and members already linked by these are not
-   compared with one another; when links are counted, all pairs of a cluster are compared.
+4. Filter group pairs. A cluster of at most BLOCK members is one task, which compares the members that share shingles. A larger
+   one may be a chain whose ends have nothing in common, so it is taken apart: the groups of each prefix shingle of at most SPARSE
+   members are paired, and a pair stays only if its sizes and the places of the shingle in both orders leave room for
+   enough common ones. Groups that share a shingle of more members form dense clusters of their own (through hubs again).
+5. Expand and verify. Pairs are expanded to their members and their whole sets compared exactly. Members of a dense cluster are
+   compared by incidence products; those of over BLOCK members are cut into blocks that are compared pairwise, a task each. When
+   only components are asked for, members of large dense clusters first meet a few hub members each, and members already
+   linked by these are not compared with one another; when links are counted, all pairs of a dense cluster are compared.
 
 Links are found by 64-bit hashes of shingles; but for hash collisions the components and the numbers of links
 are exact. Spanning links and one sum per member leave a task; nothing is collected to the driver.
@@ -48,6 +52,8 @@ PERCENT = 75
 CHUNK_SHINGLES, CHUNK_TEXTS = 1 << 21, 60000
 #: Members of a cluster that are compared in one task; a set of more than LARGE shingles counts as several.
 BLOCK, LARGE = 1024, 512
+#: Members of a prefix shingle whose pairs are formed one by one.
+SPARSE = 32
 #: Hub members that every member of a larger cluster meets first.
 HUBS = 6
 NO_REPLY = 0xFFFF
@@ -107,7 +113,10 @@ def _entries(texts: DataFrame, parts: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal seq
-            chunk = (task << 32) | seq
+            # named after its content as well: replies to a chunk that a rerun has made differently find no description
+            named = np.array([task, seq, *(node for node, _ in known)], dtype=np.int64).view(np.uint64)
+            with np.errstate(over="ignore"):
+                chunk = int(np.add.reduce(C.mix(named + C.mix(np.arange(len(named), dtype=C.U64)))).view(np.int64))
             seq += 1
             sizes = np.array([len(s) for s in held], dtype=np.int64)
             tokens = np.concatenate(held)
@@ -127,7 +136,7 @@ def _entries(texts: DataFrame, parts: int) -> DataFrame:
             cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=C.U64))
             low = ((entry >> C.U64(16)) & C.U64(0xFFFFFFFF)).astype(np.uint32)
             some = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
-            home = int(C.mix(np.array([chunk], C.U64))[0] % C.U64(parts))
+            home = int(C.mix(np.array([chunk], np.int64).view(C.U64))[0] % C.U64(parts))
             return pa.RecordBatch.from_arrays([
                 pa.array([*some, home], pa.int32()), pa.array([chunk] * (len(some) + 1), pa.int64()),
                 pa.array([*(low[cuts[p]:cuts[p + 1]].tobytes() for p in some), np.array(known, dtype=np.int64).T.tobytes()], pa.binary()),
@@ -170,7 +179,7 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
         cuts = np.searchsorted(chunk[back], np.arange(len(keys) + 1))
         names = frame["chunk"].to_numpy()
         got = [(names[k], reply[back[cuts[k]:cuts[k + 1]]].tobytes()) for k in range(len(keys)) if cuts[k + 1] > cuts[k]]
-        out.append(pd.DataFrame({"chunk": [g[0] for g in got], "a": [g[1] for g in got], "b": [b""] * len(got), "about": [False] * len(got)}))
+        out.append(pd.DataFrame({"chunk": np.array([g[0] for g in got], np.int64), "a": [g[1] for g in got], "b": [b""] * len(got), "about": [False] * len(got)}))
     return pd.concat(out, ignore_index=True)
 
 
@@ -178,7 +187,7 @@ def _survive(frame: pd.DataFrame) -> pd.DataFrame:
     """Texts of one chunk that share enough of the shingles they sent: (node, n)."""
     about = frame[frame["about"]]
     if not len(about):
-        return pd.DataFrame({"node": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+        raise RuntimeError("the input changed between two attempts of a task: stage it before the join")
     nodes, sizes = np.frombuffer(about["a"].iloc[0], np.int64).reshape(2, -1)
     shared = np.frombuffer(about["b"].iloc[0], np.int32).astype(np.int64)
     for reply in frame[~frame["about"]]["a"]:
@@ -239,37 +248,79 @@ def survivor_sets(rows: DataFrame, alive: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- step 3
 
-def clusters(sets: DataFrame) -> DataFrame:
-    """(node, cluster) of classes that share a cluster with another class."""
+def _hub_edges(index: DataFrame) -> DataFrame:
+    """(a, b) edges of rows (group, band, token): to one hub per shingle and band, and between the hubs of neighbour bands."""
+    hubs = index.groupBy("token", "band").agg(F.min("group").alias("hub"), F.count("*").alias("m"))
+    inside = (index.join(hubs.where("m > 1"), ["token", "band"]).where("group <> hub")
+              .select(F.col("group").alias("a"), F.col("hub").alias("b")))
+    # partners' sizes differ by 4/3 at most, so their bands are equal or neighbours
+    next_band = hubs.select("token", (F.col("band") - 1).alias("band"), F.col("hub").alias("b"))
+    across = hubs.join(next_band, ["token", "band"]).select(F.col("hub").alias("a"), "b").where("a <> b")
+    return inside.union(across)
+
+
+def clusters(sets: DataFrame, sparse: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(node, n, cluster) of classes whose clusters are compared whole, and candidate pairs (x, y) of classes besides."""
+    sparse = sparse or SPARSE
     tokens = sets.select("node", "n", F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
     # per class its matchable shingles, rarest first; at most a text's own number
     ranked = (tokens.join(often, "token").groupBy("node", "n")
               .agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("known")))
-    first = F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100) + 1 - (F.col("n") - F.size("known"))
-    prefix = (ranked.select("node", "n", "known", first.cast("int").alias("most")).where("most > 0")
-              .select("node", "n", F.transform(F.slice("known", 1, F.col("most")), lambda x: x["token"]).alias("prefix")))
+    alone = F.col("n") - F.size("known")  # shingles of this class only come first in its order
+    first = F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100) + 1 - alone
+    prefix = (ranked.select("node", "n", "known", alone.alias("alone"), first.cast("int").alias("most")).where("most > 0")
+              .select("node", "n", "alone", F.transform(F.slice("known", 1, F.col("most")), lambda x: x["token"]).alias("prefix")))
     prefix = C.stage(prefix.withColumn("group", F.xxhash64(F.array_sort("prefix"), "n")), "prefix")
     # classes with equal prefixes and sizes are one group
-    groups = prefix.groupBy("group").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"))
+    groups = prefix.groupBy("group").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"), F.count("*").alias("m"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + F.lit(1e-9)).cast("int")
     index = groups.select("group", band.alias("band"), F.explode("prefix").alias("token"))
-    hubs = index.groupBy("token", "band").agg(F.min("group").alias("hub"), F.count("*").alias("m"))
-    inside = (index.join(hubs.where("m > 1"), ["token", "band"]).where("group <> hub")
-              .select(F.col("group").alias("a"), F.col("hub").alias("b")))
-    # partners' sizes differ by 4/3 at most, so their bands are equal or neighbours
-    next_band = hubs.select("token", (F.col("band") - 1).alias("band"), F.col("hub").alias("b"))
-    across = hubs.join(next_band, ["token", "band"]).select(F.col("hub").alias("a"), "b").where("a <> b")
-    alone = prefix.groupBy("group").agg(F.count("*").alias("m")).where("m > 1").select(F.col("group").alias("a"), F.col("group").alias("b"))
-    label = C.connected_components(inside.union(across).union(alone).distinct())
-    out = C.stage(prefix.select("node", "n", "group").join(label, prefix["group"] == label["node"])
-                  .select(prefix["node"], prefix["n"], label["component"].alias("cluster")), "clusters")
+    own = groups.where("m > 1").select(F.col("group").alias("a"), F.col("group").alias("b"))
+    label = C.connected_components(_hub_edges(index).union(own).distinct())
+    members = C.stage(prefix.select("node", "n", "group").join(label, prefix["group"] == label["node"])
+                      .select(prefix["node"], prefix["n"], "group", label["component"].alias("cluster")), "clusters")
     C.unstage(label)
+    load = F.sum(F.greatest(F.lit(1.0), F.col("n") / LARGE))
+    large = members.groupBy("cluster").agg(load.alias("load")).where(F.col("load") > BLOCK).select("cluster")
+    taken = C.stage(members.join(large, "cluster"), "large_clusters")
+    if taken.isEmpty():
+        none = taken.select(F.col("node").alias("x"), F.col("node").alias("y"))
+        return members.select("node", "n", "cluster"), none
+    out = _taken_apart(prefix, members, taken, band, sparse)
     C.unstage(prefix)
     return out
 
 
-# ---------------------------------------------------------------- step 4
+def _taken_apart(prefix: DataFrame, members: DataFrame, taken: DataFrame, band: Column, sparse: int) -> tuple[DataFrame, DataFrame]:
+    """As :func:`clusters`, with the members of large clusters (``taken``) in dense clusters and candidate pairs."""
+    some = prefix.join(taken.select("node", "n", "cluster"), ["node", "n"])
+    posted = C.stage(some.select("node", "n", "group", band.alias("band"), F.posexplode("prefix").alias("at", "token"), "alone")
+                     .select("node", "n", "group", "band", "token", (F.col("at") + F.col("alone")).alias("at")), "postings")
+    counts = posted.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    dense = posted.join(counts.where(F.col("m") > sparse).select("token"), "token").select("group", "band", "token").distinct()
+    several = taken.groupBy("group").agg(F.count("*").alias("m")).where("m > 1").select(F.col("group").alias("a"), F.col("group").alias("b"))
+    label = C.connected_components(_hub_edges(dense).union(several).distinct())
+    whole = members.join(taken.select("cluster").distinct(), "cluster", "left_anti").select("node", "n", "cluster").union(
+        taken.join(label.withColumnRenamed("node", "group"), "group").select("node", "n", F.col("component").alias("cluster")))
+    # at most ``sparse`` members of a shingle meet in one row
+    lists = (posted.join(counts.where(F.col("m") <= sparse).select("token"), "token")
+             .join(label.withColumnRenamed("node", "group"), "group", "left")
+             .groupBy("token").agg(F.collect_list(F.struct("node", "n", "at", "component")).alias("have")))
+
+    def fits(p: Column, q: Column) -> Column:
+        shared = F.ceil(PERCENT * (p["n"] + q["n"]) / F.lit(100.0 + PERCENT) - F.lit(1e-9))  # common shingles of a linked pair
+        room = F.least(p["n"] - p["at"], q["n"] - q["at"])
+        return ((p["node"] < q["node"]) & (100 * F.least(p["n"], q["n"]) >= PERCENT * F.greatest(p["n"], q["n"])) & (room >= shared)
+                & ~F.coalesce(p["component"] == q["component"], F.lit(False)))
+
+    near = F.flatten(F.transform("have", lambda p: F.transform(F.filter("have", lambda q: fits(p, q)), lambda q: F.struct(
+        p["node"].alias("x"), q["node"].alias("y")))))
+    pairs = C.stage(lists.select(F.explode(near).alias("p")).select("p.x", "p.y").distinct(), "group_pairs")
+    return whole, pairs
+
+
+# ---------------------------------------------------------------- step 5
 
 def _forest(a: np.ndarray, b: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of the graph on 0 .. count - 1 with links a[i] - b[i]."""
@@ -303,8 +354,11 @@ def common(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     n, m = len(left), len(right) if right else len(left)
-    out = np.zeros((n, m), dtype=np.float32)
     total = int((times > 1).sum())
+    often = np.diff(np.searchsorted(column, np.arange(total + 1)))
+    if (often.astype(np.float64) ** 2).sum() < 0.05 * total * len(sets) + 1e5:  # few members share each shingle: count the pairs that do
+        return _counted(owner, column, often, n, m, bool(right))
+    out = np.zeros((n, m), dtype=np.float32)
     width = max(1, min(4096, total))
     for at in range(0, total, width):
         lo, hi = np.searchsorted(column, [at, at + width])
@@ -314,6 +368,23 @@ def common(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.
     return np.rint(out).astype(np.int64)
 
 
+def _counted(owner: np.ndarray, column: np.ndarray, often: np.ndarray, n: int, m: int, two: bool) -> np.ndarray:
+    """Intersection sizes from the shingles' member lists, pair by pair."""
+    out = np.zeros((n, m), dtype=np.int64)
+    begin = np.cumsum(often) - often
+    within = np.arange(len(owner)) - begin[column]  # place in the shingle's list
+    for step in range(1, int(often.max(initial=0))):
+        at = np.flatnonzero(within + step < often[column])
+        a, b = np.minimum(owner[at], owner[at + step]), np.maximum(owner[at], owner[at + step])
+        if two:
+            cross = (a < n) & (b >= n)
+            np.add.at(out, (a[cross], b[cross] - n), 1)
+        else:
+            np.add.at(out, (a, b), 1)
+            np.add.at(out, (b, a), 1)
+    return out
+
+
 def links(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of linked sets between two blocks, or within one."""
     shared = common(left, right)
@@ -360,8 +431,22 @@ def _hub_links(big: DataFrame) -> DataFrame:
         F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
-def verified_links(sets: DataFrame, members: DataFrame, classes: DataFrame | None = None) -> DataFrame:
-    """Links (a, b, null) between classes whose closure is that of all links within clusters.
+def pair_links(sets: DataFrame, pairs: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """(a, b, null) of linked candidate pairs; with ``classes`` also (a, null, links) for both ends."""
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("tokens").alias(f"t{k}"))
+    met = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("shared", F.size(F.array_intersect("tx", "ty")))
+    hit = met.where(100 * F.col("shared") >= PERCENT * (F.col("nx") + F.col("ny") - F.col("shared"))).select("x", "y")
+    none = F.lit(None).cast("long")
+    out = hit.select(F.col("x").alias("a"), F.col("y").alias("b"), none.alias("links"))
+    if classes is None:
+        return out
+    copies = classes.select(F.col("node").alias("b"), "copies")
+    both = hit.select(F.col("x").alias("a"), F.col("y").alias("b")).union(hit.select(F.col("y").alias("a"), F.col("x").alias("b")))
+    return out.union(both.join(copies, "b").select("a", none, F.col("copies").alias("links")))
+
+
+def verified_links(sets: DataFrame, members: DataFrame, classes: DataFrame | None = None, besides: DataFrame | None = None) -> DataFrame:
+    """Links (a, b, null) between classes whose closure is that of all links within clusters and among the candidate pairs (x, y) ``besides``.
 
     With ``classes`` (node, n, copies) all pairs of a cluster are compared, and rows (a, null, links) hold parts of the
     number of rows that a class is linked with, its own not counted.
@@ -397,6 +482,8 @@ def verified_links(sets: DataFrame, members: DataFrame, classes: DataFrame | Non
     tasks = placed.join(sides, ["cluster", "block"]).select("task", "self", "side", "node", "copies", "tokens").union(
         whole.where(F.col("m") <= BLOCK).select(F.col("cluster").alias("task"), F.lit(True).alias("self"), F.lit(0).alias("side"), "node", "copies", "tokens"))
     found = tasks.groupBy("task").applyInPandas(_verify, "a long, b long, links long")
+    if besides is not None:
+        found = found.union(pair_links(sets, besides, classes))
     out = C.stage(found if early is None else early.select("a", "b", F.lit(None).cast("long").alias("links")).union(found), "links")
     for used in (whole, early, label, placed):
         C.unstage(used)
@@ -420,8 +507,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = C.stage(profile.where("n > 0").groupBy("node", "n").agg(lead, F.count("*").alias("copies")), "classes")
     alive = survivors(rows.select("text"))
     sets = C.stage(survivor_sets(rows, classes.join(alive, ["node", "n"]).select("lead.id", "lead.mark")), "sets")
-    found = clusters(sets)
-    edges = verified_links(sets, found, classes if count_links else None)
+    found, pairs = clusters(sets)
+    edges = verified_links(sets, found, classes if count_links else None, pairs)
     label = C.connected_components(edges)  # rows without b are no links
     if count_links:
         degree = edges.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))

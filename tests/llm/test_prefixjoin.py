@@ -97,3 +97,65 @@ def test_query_gives_number_of_links(spark):
     sets = {r["doc_id"]: shingles(r["text"]) for r in docs}
     want = {i: sum(1 for j, b in sets.items() if i != j and a and b and 100 * len(a & b) >= 75 * len(a | b)) for i, a in sets.items()}
     assert {r["doc_id"]: r["n_links"] for r in P.op3_grouped_prefix_join(spark, SF).collect()} == want
+
+
+def chain(windows, words=200, step=100):
+    """Windows that share half of their words with the next: one cluster by shared shingles, no link anywhere."""
+    stream = [f"s{k}" for k in range(step * windows + words)]
+    return [" ".join(stream[step * k:step * k + words]) for k in range(windows)]
+
+
+def test_a_chain_of_overlapping_windows_makes_few_pairs(make_docs, monkeypatch):
+    pairs = []
+    kept = P.pair_links
+    monkeypatch.setattr(P, "pair_links", lambda sets, found, classes: pairs.append(found.count()) or kept(sets, found, classes))
+    texts = chain(2000) + near_texts(5, 120, 40, 2)
+    got = P.near_components(make_docs(texts), count_links=True).collect()
+    assert pairs and pairs[0] < 10_000
+    assert all(r["n_links"] == 0 and r["component_id"] == r["id"] for r in got if r["id"] < 2000)
+    assert len({r["component_id"] for r in got if r["id"] >= 2000}) < 40
+
+
+@pytest.mark.parametrize("sparse", [32, 3])
+def test_clusters_taken_apart_lose_no_link(make_docs, monkeypatch, sparse):
+    """Chains, near copies of their windows and dense families in one cluster, in tiny blocks."""
+    monkeypatch.setattr(P, "BLOCK", 4)
+    monkeypatch.setattr(P, "SPARSE", sparse)
+    rng = random.Random(9)
+    texts = chain(30, 80, 30)
+    for k in range(0, 30, 3):
+        for _ in range(rng.randrange(1, 7)):
+            w = texts[k].split()
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10 ** 9)}"
+            texts.append(" ".join(w))
+    texts += [texts[0], texts[33], texts[33].upper(), "", None] + near_texts(6, 60, 25, 3)
+    random.Random(4).shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    linked = lambda a, b: a and b and 100 * len(a & b) >= 75 * len(a | b)
+    want = [sum(bool(linked(a, b)) for k, b in enumerate(sets) if k != i) for i, a in enumerate(sets)]
+    got = sorted(P.near_components(make_docs(texts), count_links=True).collect(), key=lambda r: r["id"])
+    assert [r["n_links"] for r in got] == want
+    named = components(texts, list(range(len(texts))))
+    assert [r["component_id"] for r in got] == named
+    plain = sorted(P.near_components(make_docs(texts)).collect(), key=lambda r: r["id"])
+    assert [r["component_id"] for r in plain] == named
+
+
+def test_intersections_counted_pair_by_pair_equal_products():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 4000, 60)).astype(np.uint64) for _ in range(50)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    np.fill_diagonal(want, 0)
+    got = P.common(sets)
+    np.fill_diagonal(got, 0)
+    assert (got == want).all() and (P.common(sets[:20], sets[20:]) == want[:20, 20:]).all()
+
+
+def test_a_very_long_text_and_clashing_columns(make_docs):
+    from pyspark.sql import functions as F
+    long = " ".join(f"w{k % 9973}x{k // 9973}" for k in range(300_000))
+    df = make_docs([long, long + " tail", "a b c d e f", None]).withColumn("node", F.lit("x")).withColumn("mark", F.lit(1)).withColumn("n", F.lit(2))
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in P.near_components(df).collect()}
+    assert got == {0: (299_996, 0), 1: (299_997, 0), 2: (2, 2), 3: (0, 3)}
