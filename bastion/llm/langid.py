@@ -133,7 +133,10 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
         F.col(id_col).cast("string").alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
     chosen = C.hash_sample(rows.select("id", "label").distinct(), "label", "id", F.lit(per_class))
     # bounded: per_class rows per language
-    picked = rows.join(F.broadcast(chosen), ["id", "label"]).select("id", "label", F.xxhash64("id").alias("k"), "text")
+    picked = rows.join(F.broadcast(chosen), ["id", "label"])
+    # an id may be repeated over much of the table: one text of each leaves the executors
+    one = F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text"))
+    picked = picked.groupBy("id", "label").agg(one.alias("text")).select("id", "label", F.xxhash64("id").alias("k"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

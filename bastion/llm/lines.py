@@ -2,8 +2,8 @@
 
 Pages are cut into visible lines. Per host (the URL's host, lower-cased, without port) the pages
 that contain a line are divided by the host's pages; a line whose ratio exceeds ``most`` is
-boilerplate of that site and is dropped from all its pages. Hosts with fewer than ``least_pages``
-pages tell nothing about repetition and keep all lines (on a host of one page every ratio is 1).
+boilerplate of that site and is dropped from all its pages. A line of one page only is none, whatever the ratio
+(on a host of one page every ratio is 1), so hosts of any size are judged alike.
 
 A line counts once per page. Counts are partial sums before their shuffle, keyed by host and a
 128-bit line digest, so a hot host spreads over all tasks by its lines; texts travel once, with
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from . import common as C
 
 RATIO = 0.3
-LEAST_PAGES = 5
 
 HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</(script|style)>|<head\b[^>]*>.*?</head>"
 BLOCK = r"(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>"
@@ -48,16 +47,16 @@ def visible_lines(html: Column) -> Column:
     return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
 
 
-def site_boilerplate(lines: DataFrame, most: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def site_boilerplate(lines: DataFrame, most: float = RATIO) -> DataFrame:
     """(host, line digest, pages, host_pages) of lines over the ratio, from rows (host, digests array)."""
-    totals = lines.groupBy("host").agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= least_pages)
+    totals = lines.groupBy("host").agg(F.count("*").alias("host_pages"))
     seen = (lines.select("host", F.explode(F.array_distinct("digests")).alias("digest"))
             .groupBy("host", "digest").agg(F.count("*").alias("pages")).where("pages > 1"))
     return seen.join(totals, "host").where(F.col("pages") / F.col("host_pages") > most)
 
 
 def drop_boilerplate(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                     most: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+                     most: float = RATIO) -> DataFrame:
     """One row per page: id, host, text (kept lines joined by newline), n_lines, n_dropped."""
     page = df.select(F.col(id_col).alias("__llm_id"), host_of(F.col(url_col)).alias("host"),
                      visible_lines(F.col(html_col)).alias("lines"))
@@ -65,7 +64,7 @@ def drop_boilerplate(df: DataFrame, id_col: str = "page_id", url_col: str = "url
     page = C.stage(page.withColumn("__llm_row", F.monotonically_increasing_id()), "lines")
     # digests are cheaper to compute again than to store: 16 bytes a line that nothing compresses
     page = page.withColumn("digests", F.transform("lines", lambda x: F.unhex(F.md5(x.cast("binary")))))
-    bad = site_boilerplate(page.select("host", "digests"), most, least_pages)
+    bad = site_boilerplate(page.select("host", "digests"), most)
     hits = (page.select("__llm_row", "host", F.explode(F.array_distinct("digests")).alias("digest"))
             .join(bad.select("host", "digest"), ["host", "digest"])
             .groupBy("__llm_row").agg(F.collect_list("digest").alias("__llm_bad")))  # at most a page's own lines
@@ -103,7 +102,7 @@ WITH p AS (
 l AS (SELECT r, host, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM p),
 t AS (SELECT host, count(*) AS host_pages FROM p GROUP BY host),
 bad AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT r) AS pages FROM l GROUP BY host, line) s JOIN t USING (host)
-  WHERE pages > 1 AND host_pages >= {LEAST_PAGES} AND pages / host_pages > {RATIO}),
+  WHERE pages > 1 AND pages / host_pages > {RATIO}),
 k AS (SELECT l.r, string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE b.line IS NULL) AS text,
     count(*) FILTER (WHERE b.line IS NOT NULL) AS n_dropped
   FROM l LEFT JOIN bad b ON l.host = b.host AND l.line = b.line GROUP BY l.r)

@@ -42,6 +42,8 @@ SHAPES = 8
 #: Weights of the expected tokens by domain: a labelled text of low quality is ``poor``, any other its language.
 TARGETS = {"en": 0.45, "de": 0.18, "fr": 0.18, "es": 0.16, "poor": 0.03}
 ROUNDS, CLOSE = 60, 1e-5
+#: Columns that the operator adds or replaces.
+ADDED = ("tokens", "posterior", "rate", "copies")
 
 
 def featurise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +115,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not counts:
         return Model(["all"], np.zeros((SLOTS + SHAPES, 1), np.float32), np.zeros(1, np.float32))
     chosen = C.hash_sample(known, "domain", "id", F.lit(per_domain))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "domain", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    # an id may be repeated over much of the table: one text of each leaves the executors
+    rows = rows.groupBy("id", "domain").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

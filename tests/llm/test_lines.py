@@ -32,7 +32,7 @@ def test_against_brute_force_on_whole_table(spark):
         for x in lines:
             seen[host, x].add(page)
     for page, (host, lines) in split.items():
-        kept = [x for x in lines if not (of[host] >= 5 and len(seen[host, x]) > 1 and len(seen[host, x]) / of[host] > 0.3)]
+        kept = [x for x in lines if not (len(seen[host, x]) > 1 and len(seen[host, x]) / of[host] > 0.3)]
         r = got[page]
         assert (r["host"], r["text"], r["n_lines"], r["n_dropped"]) == (host, "\n".join(kept), len(lines), len(lines) - len(kept))
 
@@ -47,3 +47,12 @@ def test_ratio_and_edge_cases(spark):
     assert sorted(r["text"] for r in got if r["page_id"] == 11) == ["", "x\nx"]
     assert [r["text"] for r in got if r["page_id"] is None] == [""]
     assert L.drop_boilerplate(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_small_hosts_and_a_very_long_page(spark):
+    rows = [(i, "http://four/", f"<p>own {i}</p><p>footer</p>") for i in range(4)] + [(10 + i, "http://two/", f"<p>both</p><p>own {i}</p>") for i in range(2)]
+    rows += [(20, "http://one/", "<p>alone</p><p>alone</p>"), (21, "http://four/", "".join(f"<p>line {k}</p>" for k in range(60_000)) + "<p>footer</p>")]
+    got = {r["page_id"]: r for r in L.drop_boilerplate(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[i]["text"] == f"own {i}" and got[i]["n_dropped"] == 1 for i in range(4))
+    assert [got[i]["text"] for i in (10, 11)] == ["own 0", "own 1"] and got[20]["text"] == "alone\nalone"
+    assert got[21]["n_lines"] == 60_001 and got[21]["n_dropped"] == 1
