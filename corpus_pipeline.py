@@ -42,10 +42,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = mixing.label_domains(common.read(spark, sf_dir, "labels"), docs)
-    mixed, model, fitted = mixing.mix(docs, labels, targets=mixing.TARGETS, thin=THIN)
+    # the caller's columns of these names pass through under others
+    own = {c: f"__own_{c}" for c in docs.columns if c in mixing.ADDED}
+    mixed, model, fitted = mixing.mix(docs.withColumnsRenamed(own), labels, targets=mixing.TARGETS, thin=THIN)
     for domain, wanted, gap in zip(model.domains, fitted.wanted, fitted.gap()):
         log.info("mixing: %s wants %.0f expected tokens, gap %+.0f", domain, wanted, gap)
-    return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    dealt = mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return dealt.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
