@@ -257,3 +257,17 @@ def s6_published_index(spark, sf):
 QUERIES["s6_published_index"] = s6_published_index
 ORACLE["s6_published_index"] = _s5_sql().replace("SELECT m.chunk_id, m.file_name", "SELECT department, 2 AS index_version, count(*) AS chunks, count(DISTINCT file_name) AS files FROM (SELECT m.chunk_id, m.file_name") + """
 WHERE m.doc_id IN (SELECT doc_id FROM labels)) GROUP BY department"""
+
+
+# -- S3: all documents as CSV files, cut by Spark, with line breaks inside quotes ---------
+def s3_csv_split(spark, sf):
+    from ..sources.files import split_csv_documents
+    path = scratch(spark, "csv")
+    table(spark, sf, "documents").select("doc_id", "text").write.option("header", True).option("escape", '"').csv(path)
+    rows = split_csv_documents(spark, path)
+    return rows.select(F.sha2("text", 256).alias("row_sha256"), F.length("text").alias("row_len"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+QUERIES["s3_csv_split"] = s3_csv_split
+ORACLE["s3_csv_split"] = f"""SELECT sha256(r) AS row_sha256, CAST(length(r) AS INTEGER) AS row_len, '' AS error
+FROM (SELECT 'doc_id: ' || doc_id || chr(10) || 'text: ' || {D.strip("coalesce(text, '')")} AS r FROM documents)"""

@@ -13,7 +13,7 @@ import csv
 import io
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TEXT_SUFFIXES = (".md", ".txt")
@@ -61,14 +61,17 @@ def text_documents(files: DataFrame) -> DataFrame:
 CSV_BATCH = 2000
 
 
+def _row_text(row: dict) -> str:
+    """A CSV row as 'column: value' lines."""
+    return "\n".join(f"{(k or '').strip()}: {(v or '').strip() if isinstance(v, str) else v}" for k, v in row.items())
+
+
 def _csv_rows(batches):
     def rows(rec):
         try:
             reader = csv.DictReader(io.TextIOWrapper(io.BytesIO(rec.content), "utf-8", newline=""))
             for i, row in enumerate(reader):
-                text = "\n".join(f"{(k or '').strip()}: {(v or '').strip() if isinstance(v, str) else v}"
-                                 for k, v in row.items())
-                yield (rec.path, rec.folder, rec.file_name, i, text, None)
+                yield (rec.path, rec.folder, rec.file_name, i, _row_text(row), None)
         except Exception as exc:  # noqa: BLE001 — a bad file is reported, the job goes on
             yield (rec.path, rec.folder, rec.file_name, -1, None, f"{type(exc).__name__}: {exc}")
 
@@ -92,7 +95,7 @@ def csv_documents(files: DataFrame) -> DataFrame:
 
     Each file is parsed inside a task with Python's csv module (quotes, embedded
     commas and newlines handled), its rows handed on in small batches; files are spread over
-    tasks by the scan. A file above the binary source's 2 GB needs :func:`large_csv_documents`.
+    tasks by the scan. Large files, and any above the binary source's 2 GB, are for :func:`split_csv_documents`.
     """
     c = files.where(F.col("suffix").isin(*CSV_SUFFIXES)).select("path", "folder", "file_name", "content")
     return c.mapInPandas(_csv_rows, "path string, folder string, file_name string, row int, text string, "
@@ -106,6 +109,89 @@ def large_csv_documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.lit(path).alias("path"), F.concat_ws("\n", *lines).alias("text"))
 
 
+# Regular expressions of a CSV line (fields end at a comma or a lone carriage return). What stands inside quotes up to
+# its end; a field that is over; the beginning of a line up to a field that is still open.
+_INSIDE = r'[^"]*+(?:""[^"]*+)*+'
+_FIELD = rf'(?:"{_INSIDE}"[^,\r]*+|[^",\r][^,\r]*+|)'
+_OPEN = rf'(?:{_FIELD}[,\r])*+"{_INSIDE}'
+
+
+def _csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(path, record, text) of the records of CSV files, which Spark may have cut anywhere.
+
+    A line maps the two states in which it can begin (outside or inside quotes) to the state in which it ends. Most lines
+    keep or flip the state; a line that ends alike in both cases fixes it. The state before a line is therefore the value of the
+    last fixing line, flipped as often as lines flipped it since: two running aggregates within a block, and one row a block
+    to carry them from block to block. Lines are numbered by the records that begin before them and joined again.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    line = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                      F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    out = F.col("line").rlike(f"^{_OPEN}$")  # state at the end if it began outside
+    ins = F.col("line").rlike(f"^{_INSIDE}$") | F.col("line").rlike(f'^{_INSIDE}"[^,\r]*+[,\r]{_OPEN}$')  # or inside
+    plain = ~F.col("line").contains('"')
+    line = line.withColumn("fixed", F.when(~plain & (out == ins), out.cast("int"))).withColumn("flips", F.when(~plain & out & ~ins, 1).otherwise(0))
+    upto = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    seen = line.withColumn("flipped", F.sum("flips").over(upto))
+    # the last line so far that fixed the state: its value and the flips until then
+    seen = seen.withColumn("known", F.last(F.when(F.col("fixed").isNotNull(), F.struct("fixed", "flipped")), ignorenulls=True).over(upto))
+    ends = seen.groupBy("path", "block").agg(F.max_by(F.struct("known", "flipped"), "at").alias("end"))  # a row a block
+    blocks = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = (ends.withColumn("total", F.coalesce(F.sum("end.flipped").over(blocks), F.lit(0)))
+            .withColumn("mark", F.when(F.col("end.known").isNotNull(), F.struct(F.col("end.known.fixed").alias("fixed"), (
+                F.col("total") + F.col("end.known.flipped")).alias("flipped"))))
+            .withColumn("before", F.last("mark", ignorenulls=True).over(blocks)).select("path", "block", "total", "before"))
+    state = lambda known, flips: F.pmod(known["fixed"] + flips - known["flipped"], F.lit(2))
+    enters = F.when(F.col("before").isNotNull(), state(F.col("before"), F.col("total"))).otherwise(F.pmod("total", F.lit(2)))
+    ends = ends.select("path", "block", enters.alias("enters"))
+    # one row a split of a file is joined to its lines on the keys by which these are dealt already
+    after = F.when(F.col("known").isNotNull(), state(F.col("known"), F.col("flipped"))).otherwise(F.pmod(F.col("enters") + F.col("flipped"), F.lit(2)))
+    prior = Window.partitionBy("path", "block").orderBy("at")
+    lines = (seen.join(ends, ["path", "block"]).withColumn("after", after)
+             .withColumn("starts", (F.coalesce(F.lag("after").over(prior), F.col("enters")) == 0).cast("int")))
+    lines = lines.withColumn("nth", F.sum("starts").over(upto)).select("path", "block", "at", "line", "starts", "nth")
+    begun = lines.groupBy("path", "block").agg(F.sum("starts").alias("n"))
+    begun = begun.select("path", "block", F.coalesce(F.sum("n").over(blocks), F.lit(0)).alias("earlier"))
+    numbered = lines.join(begun, ["path", "block"]).select("path", (F.col("earlier") + F.col("nth") - 1).alias("record"), "block", "at", "line")
+    parts = F.array_sort(F.collect_list(F.struct("block", "at", "line")))  # the lines of one record
+    return numbered.groupBy("path", "record").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("text"))
+
+
+def _record_rows(batches):
+    """Rows of records with their file's header, as ``_csv_rows`` words them."""
+    for pdf in batches:
+        out = []
+        for rec in pdf.itertuples(index=False):
+            if rec.text is None:
+                out.append((rec.path, rec.record, 0, None, "not valid UTF-8"))
+                continue
+            try:
+                names = next(csv.reader(io.StringIO(rec.header, newline="")), [])
+                rows = list(csv.reader(io.StringIO(rec.text, newline="")))
+                for i, row in enumerate(rows[1:] if rec.record == rec.first else rows):
+                    if row:
+                        cells = dict(zip(names, row)) | ({None: row[len(names):]} if len(row) > len(names) else dict.fromkeys(names[len(row):]))
+                        out.append((rec.path, rec.record, i, _row_text(cells), None))
+            except Exception as exc:  # noqa: BLE001 — a bad record is reported, the job goes on
+                out.append((rec.path, rec.record, 0, None, f"{type(exc).__name__}: {exc}"))
+        yield pd.DataFrame(out, columns=["path", "record", "part", "text", "error"])
+
+
+def split_csv_documents(spark: SparkSession, path: str) -> DataFrame:
+    """S3 for files of any size: (path, record, part, text, error), one row per CSV row, line breaks inside quotes included.
+
+    Spark cuts a file where it likes; no task reads a whole file. ``record`` orders the rows of a file (``part`` where a lone
+    carriage return divides a record). The rows equal those that Python's csv module finds in the whole file.
+    """
+    records = _csv_records(spark, path).withColumn("text", F.try_validate_utf8("text"))
+    # the header is the first record that is not blank
+    first = records.where(F.trim(F.regexp_replace("text", r"[\r\n]", "")) != "").groupBy("path").agg(
+        F.min_by("text", "record").alias("header"), F.min("record").alias("first"))
+    rows = records.join(first, "path").where(F.col("record") >= F.col("first"))
+    return rows.select("path", "record", "first", "header", "text").mapInPandas(
+        _record_rows, "path string, record long, part int, text string, error string")
+
+
 def load_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(documents, rejects). documents: path, file_name, source, role, department, row, text."""
     files = scan(spark, root)
