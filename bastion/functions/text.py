@@ -71,6 +71,11 @@ def token_set(text: Column | str) -> Column:
     return F.array_distinct(F.filter(toks, lambda x: x != F.lit("")))
 
 
+def hashed_token_set(text: Column | str) -> Column:
+    """:func:`token_set` as 64-bit hashes: smaller to move and to compare, for set sizes and overlaps only."""
+    return F.array_distinct(F.transform(token_set(text), lambda x: F.xxhash64(x)))
+
+
 def sha256_prefix(text: Column | str, n: int) -> Column:
     """First ``n`` hex characters of SHA-256 of the UTF-8 text."""
     return F.substring(F.sha2(col_of(text), 256), 1, n)

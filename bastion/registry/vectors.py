@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import libraries as L
 from ..functions.overlap import f1_of_sets
-from ..functions.text import token_set
+from ..functions.text import hashed_token_set
 from ..operators import cache as C
 from ..operators import retrieval as R
 from ..operators.access import principal_namespaces
@@ -14,7 +14,7 @@ from ..operators.vector_index import build_index, candidates
 from ..operators.vectors import cosine
 from ..operators.ingest import fixed_chunks
 from ..sources.driver_tables import chat_answers, chat_queries, pair_id, sql_pair_id, table, vectors, with_sql
-from ..session import scratch
+from ..session import materialize, scratch
 from . import duck as D
 
 THRESHOLD = 0.3  # the synthetic vectors never reach 0.95; 0.3 gives real hits
@@ -152,8 +152,12 @@ SELECT query_id, rt <> query AS hyde_used, sha256(rt) AS retrieval_sha256,
 
 # -- V8/V9 ---------------------------------------------------------------------
 def _second_scorer(spark, sf, cand):
-    """The default pair scorer, E1, on whole texts: those of the documents with the query's and the chunk's id."""
-    d = table(spark, sf, "documents").select("doc_id", token_set("text").alias("s"))
+    """The default pair scorer, E1, on whole texts: those of the documents with the query's and the chunk's id.
+
+    Only documents that are a candidate's side are tokenised, each once, and their tokens travel as hashes.
+    """
+    sides = cand.select(F.col("query_id").alias("doc_id")).union(cand.select(F.col("chunk_id").alias("doc_id"))).distinct()
+    d = materialize(table(spark, sf, "documents").join(sides, "doc_id", "left_semi").select("doc_id", hashed_token_set("text").alias("s")))
     qs = d.select(F.col("doc_id").alias("query_id"), F.col("s").alias("qs"))
     cs = d.select(F.col("doc_id").alias("chunk_id"), F.col("s").alias("cs"))
     return cand.join(qs, "query_id", "left").join(cs, "chunk_id", "left").withColumn(
@@ -161,7 +165,7 @@ def _second_scorer(spark, sf, cand):
 
 
 def _reranked(spark, sf, keep_scores=False):
-    cand = _retrieve(spark, sf, L.RERANK_CANDIDATES).drop("score")
+    cand = materialize(_retrieve(spark, sf, L.RERANK_CANDIDATES).drop("score"))
     return R.rerank(_second_scorer(spark, sf, cand), L.RERANK_TOP_K, keep_scores=keep_scores)
 
 
