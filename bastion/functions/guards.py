@@ -9,6 +9,7 @@ views of a result project the struct once and read its fields.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -123,17 +124,39 @@ def injection_class(text: Column | str, unicode: bool = True) -> Column:
 # scope
 # ---------------------------------------------------------------------------
 
-def first_keyword(lower_text: Column, keywords: list[str]) -> Column:
-    """First keyword (list order) contained in ``lower_text``; NULL when none."""
-    chain = None
+def trie_pattern(keywords: list[str]) -> str:
+    """A regular expression that matches, at a place where keywords begin, the one that comes first in the list.
+
+    Common beginnings are factored out, so a place is left at the first letter that no keyword goes on with. Keywords
+    that differ in a letter exclude each other there, so only the order against a keyword that ends before matters:
+    those after it in the list can never be the answer and are left out, those before it are tried first.
+    """
+    if "" in keywords:
+        keywords = keywords[:keywords.index("")]
+        ends = True
+    else:
+        ends = False
+    branches: dict[str, list[str]] = {}
     for k in keywords:
-        hit = lower_text.contains(F.lit(k))
-        chain = F.when(hit, F.lit(k)) if chain is None else chain.when(hit, F.lit(k))
-    return chain
+        branches.setdefault(k[0], []).append(k[1:])
+    parts = [(re.escape(c) if ord(c) < 128 else c) + trie_pattern(rest) for c, rest in branches.items()]
+    if not parts:
+        return ""
+    if len(parts) == 1 and not ends:
+        return parts[0]
+    return "(?:" + "|".join(parts) + ")" + ("?" if ends else "")
+
+
+def first_keyword(lower_text: Column, keywords: list[str]) -> Column:
+    """First keyword (list order) contained in ``lower_text``; NULL when none. One scan, whatever the number of keywords."""
+    listed = F.array(*[F.lit(k) for k in keywords])
+    found = F.array_distinct(F.regexp_extract_all(lower_text, F.lit(f"(?=({trie_pattern(keywords)}))"), F.lit(1)))
+    at = F.array_min(F.transform(found, lambda k: F.array_position(listed, k)))
+    return F.get(listed, (at - 1).cast("int"))
 
 
 def any_keyword(lower_text: Column, keywords: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [lower_text.contains(F.lit(k)) for k in keywords])
+    return lower_text.rlike(trie_pattern(keywords))
 
 
 @memo_column
