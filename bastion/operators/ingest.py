@@ -3,17 +3,16 @@
 ``fixed_chunks`` is the native, oracle-checkable splitter: windows of ``size``
 characters stepping ``size - overlap``; the last start is ``n - overlap`` so no
 chunk is only overlap. ``boundary_chunks`` ends its windows at the best break in reach
-(paragraph, line, sentence, space), run per partition with ``mapInPandas`` — each
-document is split independently, whole.
+(paragraph, line, sentence, space), as a fold over each whole document.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import libraries as L
+from ..functions.text import strip
 
 
 def chunk_id(doc_key, pos) -> F.Column:
@@ -31,14 +30,12 @@ def fixed_chunks(docs: DataFrame, text: str = "text", doc_key: str = "doc_id", s
         .withColumn("chunk_id", chunk_id(doc_key, "pos"))
 
 
-#: Chunks handed on at a time.
-CHUNK_BATCH = 5000
 #: Places to end a chunk at, best first.
 BREAKS = ("\n\n", "\n", ". ", " ")
 
 
 def split_text(text: str, size: int = L.CHUNK_SIZE, overlap: int = L.CHUNK_OVERLAP) -> list[str]:
-    """Windows of at most ``size`` characters that end at the best break in reach and overlap by whole words.
+    """In plain Python, for one text and for tests: windows of at most ``size`` characters that end at the best break in reach and overlap by whole words.
 
     A window ends after the last paragraph break that leaves it longer than the overlap, else the last line
     break, sentence end or space, else it is cut. The next one begins at the first word of the last ``overlap``
@@ -61,26 +58,53 @@ def split_text(text: str, size: int = L.CHUNK_SIZE, overlap: int = L.CHUNK_OVERL
     return out
 
 
+#: Code points of the blocks that a text is read in while it is cut.
+READ_BLOCK = 8192
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _cut(state: Column, blocks: Column, n: Column, size: int, overlap: int) -> Column:
+    """One window further: (lo, out) with the window's stripped piece appended, lo = -1 after the last."""
+    lo = state["lo"]
+    at = F.floor(lo / READ_BLOCK).cast("int")
+    window = F.substring(F.concat(F.get(blocks, at), F.coalesce(F.get(blocks, at + 1), F.lit(""))), lo - at * READ_BLOCK + 1, F.lit(size))
+
+    def end(w: Column) -> Column:
+        """Characters of the window up to the best break in reach."""
+        tail = F.substring(w, overlap + 1, size - overlap)
+        hi = F.lit(size)
+        for mark in reversed(BREAKS):
+            after = F.locate(mark[::-1], F.reverse(tail))  # from the end
+            hi = F.when(after > 0, F.lit(size + 1) - after).otherwise(hi)
+        return F.when(lo + size >= n, n - lo).otherwise(hi).cast("int")
+
+    def step(w: Column) -> Column:
+        return _let(end(w), lambda e: F.struct(
+            F.when(lo + e >= n, F.lit(-1)).otherwise(
+                lo + e - overlap + F.locate(" ", F.substring(w, e - overlap + 1, F.lit(overlap - 1)))).cast("int").alias("lo"),
+            _let(strip(F.substring(w, F.lit(1), e)), lambda piece: F.when(piece != "", F.concat(state["out"], F.array(piece))).otherwise(state["out"])).alias("out")))
+
+    return _let(window, step)
+
+
 def boundary_chunks(docs: DataFrame, text: str = "text", doc_key: str = "doc_id", size: int = L.CHUNK_SIZE,
                     overlap: int = L.CHUNK_OVERLAP) -> DataFrame:
-    """V1 boundary-aware variant via ``mapInPandas`` (one pass, no shuffle)."""
+    """V1 boundary-aware variant: the windows of :func:`split_text` as a fold in Spark expressions (one pass, no shuffle, no Python).
+
+    A text is read in blocks, so a window costs a block and not the whole text. Of len(BREAKS) + 1 windows in a row one at least
+    ends beyond the reach of the first (the last break of a kind in reach is taken, so each of the others must end at
+    a lesser kind), which bounds the number of steps.
+    """
     keep = [c for c in docs.columns if c != text]
-    schema = docs.select(*keep).schema.simpleString()[len("struct<"):-1]
-
-    def fn(batches):
-        names = keep + ["pos", "chunk_text"]
-        rows = []
-        for pdf in batches:
-            for rec in pdf.itertuples(index=False):
-                d = rec._asdict()
-                t = d.pop(text) or ""
-                for i, c in enumerate(split_text(t, size, overlap)):
-                    rows.append({**d, "pos": i, "chunk_text": c})
-                    if len(rows) >= CHUNK_BATCH:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
-
-    out = docs.mapInPandas(fn, f"{schema}, pos int, chunk_text string")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    read = docs.select(*keep, F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{READ_BLOCK}}}"), F.lit(0)).alias("__blocks"), F.char_length(whole).alias("__n"))
+    steps = (F.ceil(F.col("__n") / (size - overlap)).cast("int") + 1) * (len(BREAKS) + 1)
+    start = F.struct(F.lit(0).alias("lo"), F.array().cast("array<string>").alias("out"))
+    done = F.aggregate(F.sequence(F.lit(1), steps), start, lambda s, _: F.when(s["lo"] < 0, s).otherwise(
+        _cut(s, F.col("__blocks"), F.col("__n"), size, overlap)))
+    out = read.where("__n > 0").select(*keep, F.posexplode(done["out"]).alias("pos", "chunk_text"))
     return out.withColumn("chunk_id", chunk_id(doc_key, "pos"))

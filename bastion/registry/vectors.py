@@ -381,13 +381,32 @@ ORACLE = {
 
 
 def v1_boundary_chunks(spark, sf):
-    """Boundary-aware recursive splitting of every document, whole (no oracle: Python splitter)."""
+    """Windows that end at the best break in reach, of every document, whole."""
     from ..operators.ingest import boundary_chunks
     ch = boundary_chunks(table(spark, sf, "documents").select("doc_id", "text"))
-    return ch.select("doc_id", "pos", "chunk_id", F.length("chunk_text").alias("chunk_len"))
+    return ch.select("doc_id", "pos", "chunk_id", F.length("chunk_text").alias("chunk_len"), F.sha2("chunk_text", 256).alias("chunk_sha256"))
+
+
+def _v1_boundary_sql(size=L.CHUNK_SIZE, overlap=L.CHUNK_OVERLAP):
+    from ..operators.ingest import BREAKS
+    tail = f"substr(text, lo + {overlap + 1}, {size - overlap})"
+    code = lambda m: " || ".join(f"chr({ord(c)})" for c in m)
+    pattern = lambda m: "'(?s)^(.*)' || " + " || ".join(f"'\\' || chr({ord(c)})" if c == "." else f"chr({ord(c)})" for c in m)
+    hi = f"CASE WHEN lo + {size} >= n THEN n " + " ".join(
+        f"WHEN contains({tail}, {code(m)}) THEN lo + {overlap} + length(regexp_extract({tail}, {pattern(m)}, 1)) + {len(m)}" for m in BREAKS) + f" ELSE lo + {size} END"
+    return f"""WITH RECURSIVE w AS (
+  SELECT doc_id, text, n, lo, {hi} AS hi, 0 AS step FROM (SELECT doc_id, text, length(text) AS n, 0::BIGINT AS lo FROM documents WHERE length(text) > 0)
+  UNION ALL
+  SELECT doc_id, text, n, lo, {hi} AS hi, step + 1 FROM (
+    SELECT doc_id, text, n, hi - {overlap} + strpos(substr(text, hi - {overlap} + 1, {overlap - 1}), ' ') AS lo, step FROM w WHERE hi < n)),
+p AS (SELECT doc_id, step, {D.strip('substr(text, lo + 1, hi - lo)')} AS piece FROM w),
+c AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS INTEGER) AS pos, piece FROM p WHERE piece <> '')
+SELECT doc_id, pos, sha256(CAST(doc_id AS VARCHAR) || '|' || CAST(pos AS VARCHAR)) AS chunk_id, CAST(length(piece) AS INTEGER) AS chunk_len,
+  sha256(piece) AS chunk_sha256 FROM c"""
 
 
 QUERIES["v1_boundary_chunks"] = v1_boundary_chunks
+ORACLE["v1_boundary_chunks"] = _v1_boundary_sql()
 
 
 def c5_invalidate(spark, sf):
