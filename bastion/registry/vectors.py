@@ -11,7 +11,7 @@ from ..operators import cache as C
 from ..operators import retrieval as R
 from ..operators.access import principal_namespaces
 from ..operators.vector_index import build_index, candidates
-from ..operators.vectors import cosine
+from ..operators.vectors import cosine, hashing_embedder, norm
 from ..operators.ingest import fixed_chunks
 from ..sources.driver_tables import chat_answers, chat_queries, pair_id, sql_pair_id, table, vectors, with_sql
 from ..session import materialize, scratch
@@ -46,6 +46,23 @@ SELECT doc_id, pos, sha256(CAST(doc_id AS VARCHAR) || '|' || CAST(pos AS VARCHAR
        CAST(length(chunk_text) AS INTEGER) AS chunk_len, sha256(chunk_text) AS chunk_sha256 FROM c"""
 
 
+# -- V3 ----------------------------------------------------------------------
+EMBED_DIM = 256
+
+
+def v3_embed(spark, sf):
+    """The default embedding of every whole document: its length, its norm (1, or 0 without words) and whether it matches itself.
+
+    The values themselves are hashes of words: a brute-force version checks them in the tests.
+    """
+    v = hashing_embedder(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", dim=EMBED_DIM)
+    return v.select("doc_id", F.size("vec").alias("dim"), F.round(norm("vec"), 6).alias("norm"), (F.round(cosine("vec", "vec"), 6) == 1.0).alias("self_similar"))
+
+
+V3_SQL = f"""SELECT doc_id, {EMBED_DIM} AS dim, CASE WHEN regexp_matches(coalesce(text, ''), '[\p{{L}}\p{{N}}_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm,
+  regexp_matches(coalesce(text, ''), '[\p{{L}}\p{{N}}_]') AS self_similar FROM documents"""
+
+
 # -- V4 ----------------------------------------------------------------------
 def v4_cosine(spark, sf):
     v = _vec(spark, sf)
@@ -344,6 +361,7 @@ QUERIES = {
     "v1_chunks": v1_chunks,
     "v4_cosine": v4_cosine,
     "v5_topk": v5_topk,
+    "v3_embed": v3_embed,
     "v6_approx_topk": v6_approx_topk,
     "v6_index_reads": v6_index_reads,
     "v7_hypothesis": v7_hypothesis,
@@ -363,6 +381,7 @@ ORACLE = {
     "v1_chunks": V1_SQL,
     "v4_cosine": V4_SQL,
     "v5_topk": _v5_sql(L.RERANK_TOP_K),
+    "v3_embed": V3_SQL,
     "v6_approx_topk": _v5_sql(L.RERANK_TOP_K),
     "v6_index_reads": V6_READS_SQL,
     "v7_hypothesis": _v7_sql(),
