@@ -7,7 +7,7 @@ copies of one text prove nothing. Stems that clean texts hardly know are insults
 other symbols come from fixed word lists. (2) Small machines (words since a negation, reported speech within
 the clause, words since a target) are composed into one transducer by the product construction. It reads the
 clauses and gives each insult, slur or threat a path class: negated or not, reported or not, with a target or
-not. (3) Path weights are the toxic share of training texts with that class, drawn to a prior. The sums of
+not; a clause has the class of its weightiest match and counts once. (3) Path weights are the toxic share of training texts with that class, drawn to a prior. The sums of
 path weights per kind, and the slurs' sum per word (ambiguous stems also occur by chance, in proportion to
 length), go through a logistic curve fitted on the training texts.
 
@@ -120,6 +120,10 @@ def class_prior(k: int) -> float:
     return base
 
 
+#: Place of each class by its prior weight, the weightiest first: the class that stands for a clause with several matches.
+RANK = [sorted(range(CLASSES), key=lambda k: (-class_prior(k), k)).index(k) for k in range(CLASSES)]
+
+
 # ---------------------------------------------------------------- model
 
 @dataclass
@@ -153,12 +157,15 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "words"}
 
     def read(self, text: str) -> tuple[int, list[int]]:
-        """Words of a whole text and its matches per path class; (0, zeros) where no stem or threat occurs at all."""
+        """Words of a whole text and its matched clauses per path class; (0, zeros) where no stem or threat occurs at all.
+
+        A clause counts once, with the weightiest class of its matches.
+        """
         counts = [0] * CLASSES
         text = text.lower()
         if not self.words[3].search(text):
             return 0, counts
-        state, known, n = 0, {}, 0
+        state, known, n, best = 0, {}, 0, -1
         for found in WORD.finditer(text):
             word = found.group()
             symbol = known.get(word)
@@ -166,9 +173,14 @@ class Model:
                 symbol = known[word] = self.symbol(word)
             n += symbol != STOP
             given = GRAMMAR.out[state][symbol]
-            if given >= 0:
-                counts[given] += 1
+            if given >= 0 and (best < 0 or RANK[given] < RANK[best]):
+                best = given
+            if symbol == STOP and best >= 0:
+                counts[best] += 1
+                best = -1
             state = GRAMMAR.step[state][symbol]
+        if best >= 0:
+            counts[best] += 1
         return n, counts
 
     def features(self, n: int, counts: list[int]) -> list[float]:
@@ -258,10 +270,10 @@ def stem_counts(rows: DataFrame) -> DataFrame:
             .groupBy("id", "toxic", "x.word").agg(F.min("x.near").alias("near"))
             .select("toxic", "word", "near").distinct()
             .groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
-    # beginnings of 4 and more letters, and the word itself with its end
-    ends = F.concat(F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), F.char_length("word"))), lambda k: F.substring("word", F.lit(1), k)),
-                    F.array(F.concat("word", F.lit("$"))))
-    return (seen.where(F.char_length("word") >= 4).select(F.explode(F.array_distinct(ends)).alias("stem"), "t", "c")
+    # the word itself with its end, whatever its length, and beginnings of 4 and more letters
+    open_ends = F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), F.char_length("word"))), lambda k: F.substring("word", F.lit(1), k))
+    ends = F.concat(F.when(F.char_length("word") >= 4, open_ends).otherwise(F.array().cast("array<string>")), F.array(F.concat("word", F.lit("$"))))
+    return (seen.select(F.explode(F.array_distinct(ends)).alias("stem"), "t", "c")
             .groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
 
 

@@ -65,3 +65,57 @@ def test_edge_cases(spark, make_docs):
         assert same[0] == same[1] and same[0][2] == 1 and all(p == 0 for t, _, p in by if t != "you idiot")
     empty = df.limit(0)
     assert X.score(empty, X.Model()).count() == 0
+
+
+def test_a_clause_counts_once_with_its_weightiest_match():
+    model = X.Model(insults=["blorg"], slurs=["zap"])
+    name = lambda text: {k: n for k, n in enumerate(model.read(text)[1]) if n}
+    assert name("you blorg blorg zap. zap zap") == {4: 1, 8: 1}
+    assert name("not a blorg you blorg") == {4: 1}
+    assert name("blorg, blorg, blorg") == {0: 3}
+
+
+def labelled_corpus(seed=3):
+    """Texts of made-up words; the toxic ones hold a three-letter word that clean ones never have."""
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(list("abdeilmnorstu"), rng.integers(2, 9))) for _ in range(400)]
+    rows = []
+    for i in range(400):
+        text = [words[k] for k in rng.integers(0, 400, 30)]
+        if toxic := i % 4 == 0:
+            text.insert(int(rng.integers(0, 30)), "zkq")
+        rows.append((i, " ".join(text) + ("." if i % 2 else " q x"), int(toxic)))
+    return rows
+
+
+def test_a_three_letter_insult_is_learned(spark):
+    rows = labelled_corpus()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, x) for i, _, x in rows], "doc_id long, quality int, toxic int")
+    model = X.fit(docs, labels)
+    assert "zkq$" in model.insults
+    got = {r["doc_id"]: r["predicted"] for r in X.score(docs, model).collect()}
+    assert np.mean([got[i] == x for i, _, x in rows if zlib.crc32(str(i).encode()) % 4 == 2]) > 0.97
+
+
+def test_stem_counts_against_brute_force(spark):
+    import re
+    rows = labelled_corpus(5)[:120] + [(900, "a bb ccc dddd eeeee dddd", 1), (901, "a bb ccc dddd eeeee dddd", 1), (902, "", 0), (903, "É ééééé x", 0)]
+    df = spark.createDataFrame(rows, "id long, text string, toxic int")
+    got = {r["stem"]: (r["t"], r["c"]) for r in X.stem_counts(df).collect()}
+    assert "bb$" in got and "a$" in got and "ccc$" in got and "ccc" not in got
+    # neighbours are compared by Spark's hash there: take its smallest per text and word from Spark as well
+    pairs = []
+    for i, text, toxic in rows:
+        w = re.findall(r"[^\W\d_]+", text.lower())
+        pairs += [(i, toxic, x, w[k - 1] if k else None, w[k + 1] if k + 1 < len(w) else None) for k, x in enumerate(w)]
+    near = spark.createDataFrame(pairs, "id long, toxic int, word string, a string, b string").withColumn("near", F.xxhash64("a", "b")).collect()
+    least = {}
+    for r in near:
+        least[r["id"], r["toxic"], r["word"]] = min(least.get((r["id"], r["toxic"], r["word"]), r["near"]), r["near"])
+    want = {}
+    for toxic, word, _ in {(t, w, n) for (_, t, w), n in least.items()}:
+        for stem in {word + "$"} | {word[:k] for k in range(4, len(word) + 1)}:
+            t, c = want.get(stem, (0, 0))
+            want[stem] = (t + toxic, c + 1 - toxic)
+    assert got == want
