@@ -80,43 +80,70 @@ def tile(doc: np.ndarray, item: np.ndarray, least: int = LEAST) -> list[tuple[in
     size = max(least, min(len(item), len(doc)) // 2)
     while True:
         found = _scan(doc, item, doc_sums, item_sums, in_doc, in_item, size)
-        if found and found[0][0] > 2 * size:
-            size = found[0][0]
+        if len(found) and found[0, 0] > 2 * size:
+            size = int(found[0, 0])
             continue
-        for length, d, i in found:
+        for length, d, i in map(np.ndarray.tolist, found):  # longest first
             if not in_doc[d:d + length].any() and not in_item[i:i + length].any():
                 in_doc[d:d + length] = in_item[i:i + length] = True
                 tiles.append((d, i, length))
-        if found:
+                if len(item) - in_item.sum() < least:  # nothing is left to match
+                    return tiles
+        if len(found):
             continue  # what an occluded match left over may still hold ``size`` words
         if size == least:
             return tiles
         size = max(least, size // 2)
 
 
-def _scan(doc, item, doc_sums, item_sums, in_doc, in_item, size) -> list[tuple[int, int, int]]:
-    """Maximal runs (words, place in doc, place in item) of at least ``size`` unmarked common words, longest first."""
+def _runs(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first place, places) of runs of equal windows one after another, among the windows at ``at`` (ascending)."""
+    key = keys[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (key[1:] != key[:-1])
+    head = np.flatnonzero(new)
+    return key[head], at[head], np.diff(np.append(head, len(at)))
+
+
+def _scan(doc, item, doc_sums, item_sums, in_doc, in_item, size) -> np.ndarray:
+    """Rows (words, place in doc, place in item) of the maximal runs of at least ``size`` unmarked common words, longest first.
+
+    Equal windows that follow one another (a repeated word) are taken as a run: two runs meet in one interval per diagonal, so
+    the work is their sum and never their product.
+    """
     item_keys, doc_keys = running(item_sums, size), running(doc_sums, size)
-    item_at = np.flatnonzero(_free(in_item, size))
+    item_at, doc_at = np.flatnonzero(_free(in_item, size)), np.flatnonzero(_free(in_doc, size))
+    none = np.zeros((0, 3), np.int64)
     if not len(item_at) or not len(doc_keys):
-        return []
-    item_at = item_at[np.argsort(item_keys[item_at], kind="stable")]
-    keys = item_keys[item_at]
-    doc_at = np.flatnonzero(_free(in_doc, size))
-    first, last = np.searchsorted(keys, doc_keys[doc_at], "left"), np.searchsorted(keys, doc_keys[doc_at], "right")
+        return none
+    key, i0, many_i = _runs(item_keys, item_at)
+    order = np.argsort(key, kind="stable")
+    key, i0, many_i = key[order], i0[order], many_i[order]
+    doc_at = doc_at[np.isin(doc_keys[doc_at], key)]
+    if not len(doc_at):
+        return none
+    doc_key, d0, many_d = _runs(doc_keys, doc_at)
+    first, last = np.searchsorted(key, doc_key, "left"), np.searchsorted(key, doc_key, "right")
     many = last - first
-    if not many.sum():
-        return []
-    d = np.repeat(doc_at, many)
-    i = item_at[np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())]
-    # windows of one run lie on one diagonal, one after another
-    order = np.lexsort((d, d - i))
-    d, i = d[order], i[order]
-    new = np.ones(len(d), bool)
-    new[1:] = (np.diff(d) != 1) | (np.diff(d - i) != 0)
+    x = np.repeat(np.arange(len(d0)), many)
+    y = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    # one interval for each diagonal on which the two runs meet
+    spans = many_d[x] + many_i[y] - 1
+    pair = np.repeat(np.arange(len(x)), spans)
+    x, y = x[pair], y[pair]
+    diagonal = d0[x] - i0[y] - many_i[y] + 1 + np.arange(len(pair)) - np.repeat(np.cumsum(spans) - spans, spans)
+    begin = np.maximum(d0[x], i0[y] + diagonal)
+    end = np.minimum(d0[x] + many_d[x], i0[y] + many_i[y] + diagonal)
+    # intervals of one diagonal that touch are one match
+    order = np.lexsort((begin, diagonal))
+    diagonal, begin, end = diagonal[order], begin[order], end[order]
+    new = np.ones(len(begin), bool)
+    new[1:] = (begin[1:] != end[:-1]) | (diagonal[1:] != diagonal[:-1])
     head = np.flatnonzero(new)
-    length = np.diff(np.append(head, len(d))) + size - 1
-    return sorted(zip(length.tolist(), d[head].tolist(), i[head].tolist()), key=lambda m: (-m[0], m[1], m[2]))
+    d, length = begin[head], end[np.append(head[1:], len(begin)) - 1] - begin[head] + size - 1
+    i = d - diagonal[head]
+    order = np.lexsort((i, d, -length))
+    return np.stack([length[order], d[order], i[order]], axis=1)
 
 
 class Block:

@@ -86,3 +86,22 @@ def test_driver_table(spark):
                     want.add((r["doc_id"], i))
     got = {(r["doc_id"], r["item_id"]) for r in G.op10_greedy_tiling_decontamination(spark, SF).collect()}
     assert got == want
+
+
+def test_millions_of_equal_words_take_bounded_memory():
+    import tracemalloc
+    doc, item = np.full(2_000_000, 12345, np.uint64), np.full(2000, 12345, np.uint64)
+    tracemalloc.start()
+    tiles = G.tile(doc, item)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [tuple(t) for t in tiles] == [(0, 0, 2000)] and peak < 500e6, peak
+
+
+def test_runs_of_repeated_words_meet_on_every_diagonal():
+    a, b, c = (int(G.C.mix(np.array([k], np.uint64))[0]) for k in (1, 2, 3))
+    doc = np.array([a, a, a, b, a, a, a, a, b, c, a, a], np.uint64)
+    item = np.array([a, a, b, a, a, a, a, b, c], np.uint64)
+    assert [tuple(t) for t in G.tile(doc, item, 3)] == [(1, 0, 9)]
+    assert [tuple(t) for t in G.tile(item, doc, 3)] == [(0, 1, 9)]
+    assert [tuple(t) for t in G.tile(np.full(7, a, np.uint64), np.full(4, a, np.uint64), 3)] == [(0, 0, 4)]
