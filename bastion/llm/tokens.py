@@ -6,7 +6,9 @@ without regard to documents: rows (file, block, payload). :func:`flat_tokens` wr
 a table of texts, :func:`file_blocks` cuts existing raw files. :func:`separator_scan` finds the
 separators of each block in one vectorised search and stitches documents that cross blocks with
 a prefix scan over the blocks of a file: running sum of tokens, running maximum of the last
-separator's place. Only separator places (4 bytes a document) leave a block, never tokens.
+separator's place. The scan has two levels and sees a few numbers a block: first over groups of ``GROUP`` blocks, then
+within a group, so a file of very many blocks is scanned by many tasks. Separator places (8 bytes a document) are
+written once and joined with the result; tokens never leave a block.
 
 Defined cases: null or empty text = a document of 0 tokens; texts are tokenised whole, a text's own
 ``<|endoftext|>`` is ordinary text; tokens after a file's last separator form a last document with
@@ -32,6 +34,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_ID = 50256
 WIDTH = 2
 BLOCK_TOKENS = 1 << 18
+#: Blocks that the second level of the scan takes together.
+GROUP = 4096
 
 
 @lru_cache(maxsize=2)
@@ -84,12 +88,40 @@ def flat_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
 
 
 def file_blocks(spark: SparkSession, path: str, width: int = WIDTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Raw flat token files under ``path`` as rows (file, block, payload); a file must be under 2 GB (Spark's binary source)."""
+    """Raw flat token files under ``path`` as rows (file, block, payload); a file must be under 2 GB (Spark's binary source).
+
+    A file's blocks are handed on one after another as slices of its content.
+    """
     size = width * block_tokens
-    files = spark.read.format("binaryFile").load(path)
-    at = F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.col("length"), F.lit(1)) - 1) / size).cast("long")))
-    return files.select(F.col("path").alias("file"), "content", at.alias("block")).select(
-        "file", "block", F.substring("content", (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("payload"))
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1)):
+                raw = content.as_buffer()
+                for block in range(max(1, -(-raw.size // size))):
+                    part = raw.slice(block * size, min(size, raw.size - block * size))
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([block], pa.int64()), pa.array([part.to_pybytes()], pa.binary())],
+                                                     ["file", "block", "payload"])
+
+    return files.mapInArrow(run, "file string, block long, payload binary")
+
+
+def block_offsets(blocks: DataFrame) -> DataFrame:
+    """(file, block, base, first, last) from rows (file, block, tokens, n, at): tokens and documents before each block, and the place
+    of the last separator before it (-1: none). ``n``: separators of the block, ``at``: the last one's place in it, null if none."""
+    rows = blocks.withColumn("part", F.floor(F.col("block") / GROUP))
+    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    start = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    groups, within = before(["file"], "part"), before(["file", "part"], "block")
+    sums = rows.groupBy("file", "part").agg(F.sum("tokens").alias("t"), F.sum("n").alias("k"))
+    sums = sums.select("file", "part", start("t", groups).alias("t"), start("k", groups).alias("k"))
+    rows = (rows.join(sums, ["file", "part"]).withColumn("base", F.col("t") + start("tokens", within))
+            .withColumn("first", F.col("k") + start("n", within)).withColumn("place", F.col("base") + F.col("at")))
+    lasts = rows.groupBy("file", "part").agg(F.max("place").alias("place"))
+    lasts = lasts.select("file", "part", F.coalesce(F.max("place").over(groups), F.lit(-1)).alias("earlier"))
+    return rows.join(lasts, ["file", "part"]).select(
+        "file", "block", "base", "first", F.greatest("earlier", F.coalesce(F.max("place").over(within), F.lit(-1))).alias("last"))
 
 
 def separator_scan(blocks: DataFrame, end_id: int = END_ID, width: int = WIDTH) -> DataFrame:
@@ -109,26 +141,27 @@ def separator_scan(blocks: DataFrame, end_id: int = END_ID, width: int = WIDTH)
                 pa.array(ends, pa.list_(pa.int64()))], ["file", "block", "tokens", "ends"])
 
     file_type = given.schema["file"].dataType.simpleString()
-    found = given.mapInArrow(run, f"file {file_type}, block long, tokens long, ends array<long>")
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    scan = (found.withColumn("base", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)))
-            .withColumn("place", F.transform("ends", lambda e: e + F.col("base")))
-            .withColumn("first", F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0)))
-            .withColumn("last", F.coalesce(F.max(F.element_at(F.when(F.size("place") > 0, F.col("place")), -1)).over(earlier), F.lit(-1))))
-    closed = scan.select("file", "first", "last", "place", F.posexplode("place").alias("k", "end")).select(
+    found = C.stage(given.mapInArrow(run, f"file {file_type}, block long, tokens long, ends array<long>"), "separators")
+    last_end = F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1)
+    narrow = found.select("file", "block", "tokens", F.size("ends").alias("n"), last_end.alias("at"))
+    scan = found.join(block_offsets(narrow), ["file", "block"])
+    place = scan.select("file", "first", "last", F.transform("ends", lambda e: e + F.col("base")).alias("place"))
+    closed = place.select("file", "first", "last", "place", F.posexplode("place").alias("k", "end")).select(
         "file", (F.col("first") + F.col("k")).alias("ordinal"),
         (F.when(F.col("k") == 0, F.col("last")).otherwise(F.get("place", F.col("k") - 1)) + 1).alias("begin"), "end")
     tail = (scan.groupBy("file").agg(F.sum("tokens").alias("end"), F.sum(F.size("ends")).alias("ordinal"),
-                                     F.coalesce(F.max(F.element_at(F.when(F.size("place") > 0, F.col("place")), -1)), F.lit(-1)).alias("last"))
+                                     F.coalesce(F.max(F.col("base") + last_end), F.lit(-1)).alias("last"))
             .where("end > last + 1").select("file", F.col("ordinal"), (F.col("last") + 1).alias("begin"), "end"))
     return (closed.withColumn("closed", F.lit(True)).union(tail.withColumn("closed", F.lit(False)))
             .select("file", "ordinal", "begin", (F.col("end") - F.col("begin")).alias("n_tokens"), "closed"))
 
 
 def manifest(blocks: DataFrame) -> DataFrame:
-    """(file, ordinal, id) from the ids kept beside the blocks."""
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return (blocks.select("file", "block", "ids").withColumn("first", F.coalesce(F.sum(F.size("ids")).over(earlier), F.lit(0)))
+    """(file, ordinal, id) from the ids kept beside the blocks; the scan sees their numbers only."""
+    none = F.lit(None).cast("long")
+    narrow = blocks.select("file", "block", F.lit(0).cast("long").alias("tokens"), F.size("ids").alias("n"), none.alias("at"))
+    first = block_offsets(narrow).select("file", "block", "first")
+    return (blocks.select("file", "block", "ids").join(first, ["file", "block"])
             .select("file", "first", F.posexplode("ids").alias("k", "id"))
             .select("file", (F.col("first") + F.col("k")).alias("ordinal"), "id"))
 

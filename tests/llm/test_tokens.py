@@ -47,3 +47,27 @@ def test_raw_files(spark, tmp_path):
     blocks = T.file_blocks(spark, str(tmp_path), block_tokens=2)
     got = sorted((r["ordinal"], r["n_tokens"], r["closed"]) for r in T.separator_scan(blocks, end_id=9).collect())
     assert got == [(0, 2, True), (1, 1, True), (2, 0, True), (3, 1, False)]
+
+
+def test_two_level_scan_over_many_groups(spark, monkeypatch):
+    """Blocks without separators, whole groups without any, a file that ends open."""
+    monkeypatch.setattr(T, "GROUP", 3)
+    rng = np.random.default_rng(4)
+    flat = np.where(rng.random(600) < 0.02, 7, 1).astype("<u2")
+    flat[200:300] = 1
+    ends = np.flatnonzero(flat == 7)
+    starts = np.concatenate([[0], ends + 1])
+    want = [(k, int(a), int(b - a), k < len(ends)) for k, (a, b) in enumerate(zip(starts, np.append(ends, 600))) if a < 600]
+    rows = [("f", k, flat[a:a + 8].tobytes()) for k, a in enumerate(range(0, 600, 8))]
+    df = spark.createDataFrame(rows, "file string, block long, payload binary").repartition(4)
+    got = sorted((r["ordinal"], r["begin"], r["n_tokens"], r["closed"]) for r in T.separator_scan(df, end_id=7).collect())
+    assert got == want
+
+
+def test_a_raw_file_of_many_blocks_is_cut_into_slices(spark, tmp_path):
+    flat = np.full(3_000_000, 3, "<u2")
+    flat[[10, 2_999_999]] = 9
+    (tmp_path / "a.bin").write_bytes(flat.tobytes())
+    blocks = T.file_blocks(spark, str(tmp_path), block_tokens=1 << 16)
+    assert blocks.select(F.max(F.octet_length("payload")), F.count("*"), F.sum(F.octet_length("payload"))).first()[:] == (2 << 16, 46, 6_000_000)
+    assert sorted(r["n_tokens"] for r in T.separator_scan(blocks, end_id=9).collect()) == [10, 2_999_988]
