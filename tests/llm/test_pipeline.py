@@ -43,7 +43,7 @@ def test_stages_take_odd_rows(spark, make_docs):
 def test_registered():
     import __spark_entry__ as E
     names = set(E.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(E.oracle_sql()) <= names
 
 

@@ -116,8 +116,7 @@ def test_a_chain_of_overlapping_windows_makes_few_pairs(make_docs, monkeypatch):
     assert len({r["component_id"] for r in got if r["id"] >= 2000}) < 40
 
 
-@pytest.mark.parametrize("sparse", [32, 3])
-def test_clusters_taken_apart_lose_no_link(make_docs, monkeypatch, sparse):
+def test_clusters_taken_apart_lose_no_link(make_docs, monkeypatch, sparse=3):
     """Chains, near copies of their windows and dense families in one cluster, in tiny blocks."""
     monkeypatch.setattr(P, "BLOCK", 4)
     monkeypatch.setattr(P, "SPARSE", sparse)
