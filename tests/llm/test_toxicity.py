@@ -119,3 +119,9 @@ def test_stem_counts_against_brute_force(spark):
             t, c = want.get(stem, (0, 0))
             want[stem] = (t + toxic, c + 1 - toxic)
     assert got == want
+
+
+def test_a_very_long_text_counts_its_clauses():
+    model = X.Model(insults=["blorg"])
+    n, counts = model.read("you blorg, fine words here. " * 100_000)
+    assert n == 500_000 and counts[4] == 100_000 and sum(counts) == 100_000
