@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import libraries as L
@@ -218,7 +220,8 @@ A1_ROLLUP_SQL = f"SELECT * EXCLUDE (unique_users), true AS users_within_2_percen
 
 def a4_rollup_hours(spark, sf):
     rollups, m = _rollups(spark, sf)
-    exact = M.hours_selector(m).select("hours", F.col("unique_users").alias("exact"))
+    exact = reduce(lambda a, b: a.union(b), [M.in_window(m, h, M.latest_ts(m)).agg(F.lit(h).alias("hours"), F.countDistinct("username").alias("exact"))
+                                             for h in L.DASHBOARD_HOURS])
     return RU.hours_selector(rollups, m).join(exact, "hours").select(
         "hours", "total_queries", _r("avg_latency_ms"), _r("total_cost_usd"), "total_tokens", "cache_hits", "guardrail_blocks",
         _users_close(F.col("unique_users"), F.col("exact")))

@@ -59,7 +59,7 @@ def v3_embed(spark, sf):
     return v.select("doc_id", F.size("vec").alias("dim"), F.round(norm("vec"), 6).alias("norm"), (F.round(cosine("vec", "vec"), 6) == 1.0).alias("self_similar"))
 
 
-V3_SQL = f"""SELECT doc_id, {EMBED_DIM} AS dim, CASE WHEN regexp_matches(coalesce(text, ''), '[\p{{L}}\p{{N}}_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm,
+V3_SQL = rf"""SELECT doc_id, {EMBED_DIM} AS dim, CASE WHEN regexp_matches(coalesce(text, ''), '[\p{{L}}\p{{N}}_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm,
   regexp_matches(coalesce(text, ''), '[\p{{L}}\p{{N}}_]') AS self_similar FROM documents"""
 
 
