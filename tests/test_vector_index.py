@@ -91,3 +91,39 @@ def test_empty_index(spark, tmp_path):
     index = build_index(spark.createDataFrame([], ITEM), str(tmp_path), 16, i_id="iid", i_key="ns")
     q = spark.createDataFrame([(1, "a", [1.0] * 16)], QUERY)
     assert search_index(q, index, 4, q_id="qid", i_id="iid", q_key="ns").count() == 0
+
+
+def random_search(seed, n, dim=16):
+    return [(k, "a", v) for k, v in enumerate(np.random.default_rng(seed).standard_normal((n, dim)).tolist())]
+
+
+def test_a_query_travels_once_to_a_shelf_however_many_cells_it_probes(spark, tmp_path):
+    """Random vectors: no cell can be left out, so rows by query and cell would grow with the square of the table."""
+    from bastion.operators import vector_index as V
+    i = spark.createDataFrame(random_search(1, 600), ITEM)
+    index = build_index(i, str(tmp_path), 16, i_id="iid", i_key="ns", cells=40)
+    cells = index.cells(spark).toPandas()
+    shelved = V._shelved(cells, index.centres, 300)
+    assert 2 <= shelved["shelf"].nunique() <= 4 and shelved.groupby("shelf")["n"].sum().max() <= 300
+    q = i.select(F.col("iid").alias("__q"), F.col("vec").alias("__qv"), F.col("ns").alias("key"), F.lit(-2.0).alias("floor"))
+    plan = "__q long, __qv array<double>, floor double, key string, shelf int, blocks int, bits binary"
+    rounds = [q.mapInArrow(V._probes(index, shelved, 4, later), plan).collect() for later in (False, True)]
+    assert all(len(r) <= 600 * shelved["shelf"].nunique() for r in rounds)
+    # every cell is probed once: in the first round or in the later one
+    probed = [sum(bin(b).count("1") for r in rows for b in r.bits) for rows in rounds]
+    assert probed[0] == 4 * 600 and sum(probed) == 600 * len(cells)
+
+
+@pytest.mark.parametrize("shelf_rows", [60, 50_000])
+def test_shelves_and_copies_of_one_vector_equal_exhaustive_search(spark, tmp_path, shelf_rows):
+    """Copies of one vector are candidates k + 1 times a block at most, with the same answer."""
+    items = random_search(2, 400)
+    items += [(1000 + k, "a", items[3][2]) for k in range(300)]
+    i = spark.createDataFrame(items, ITEM)
+    q = i.select(F.col("iid").alias("qid"), "ns", "vec")
+    index = build_index(i, str(tmp_path), 16, i_id="iid", i_key="ns", cells=20)
+    got = search_index(q, index, 4, q_id="qid", i_id="iid", q_key="ns", exclude_self=True, shelf_rows=shelf_rows)
+    want = topk_join(q, i, 4, q_id="qid", i_id="iid", key="ns", exclude_self=True)
+    assert as_set(got) == as_set(want)
+    rows = q.select(F.col("qid").alias("__q"), F.col("vec").alias("__qv"), F.col("ns").alias("key"))
+    assert candidates(rows, index, 4, exclude_self=True).count() <= 12 * 700
