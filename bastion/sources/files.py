@@ -157,24 +157,21 @@ def _csv_records(spark: SparkSession, path: str) -> DataFrame:
     return numbered.groupBy("path", "record").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("text"))
 
 
-def _record_rows(batches):
-    """Rows of records with their file's header, as ``_csv_rows`` words them."""
-    for pdf in batches:
-        out = []
-        for rec in pdf.itertuples(index=False):
-            if rec.text is None:
-                out.append((rec.path, rec.record, 0, None, "not valid UTF-8"))
-                continue
-            try:
-                names = next(csv.reader(io.StringIO(rec.header, newline="")), [])
-                rows = list(csv.reader(io.StringIO(rec.text, newline="")))
-                for i, row in enumerate(rows[1:] if rec.record == rec.first else rows):
-                    if row:
-                        cells = dict(zip(names, row)) | ({None: row[len(names):]} if len(row) > len(names) else dict.fromkeys(names[len(row):]))
-                        out.append((rec.path, rec.record, i, _row_text(cells), None))
-            except Exception as exc:  # noqa: BLE001 — a bad record is reported, the job goes on
-                out.append((rec.path, rec.record, 0, None, f"{type(exc).__name__}: {exc}"))
-        yield pd.DataFrame(out, columns=["path", "record", "part", "text", "error"])
+def _record_rows(record: int, first: int, header: str | None, text: str | None) -> list[tuple[int, str | None, str | None]]:
+    """(part, text, error) of the rows of one record with its file's header, as ``_csv_rows`` words them."""
+    if text is None:
+        return [(0, None, "not valid UTF-8")]
+    out = []
+    try:
+        names = next(csv.reader(io.StringIO(header, newline="")), [])
+        rows = list(csv.reader(io.StringIO(text, newline="")))
+        for i, row in enumerate(rows[1:] if record == first else rows):
+            if row:
+                cells = dict(zip(names, row)) | ({None: row[len(names):]} if len(row) > len(names) else dict.fromkeys(names[len(row):]))
+                out.append((i, _row_text(cells), None))
+    except Exception as exc:  # noqa: BLE001 — a bad record is reported, the job goes on
+        out.append((0, None, f"{type(exc).__name__}: {exc}"))
+    return out
 
 
 def split_csv_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -188,8 +185,10 @@ def split_csv_documents(spark: SparkSession, path: str) -> DataFrame:
     first = records.where(F.trim(F.regexp_replace("text", r"[\r\n]", "")) != "").groupBy("path").agg(
         F.min_by("text", "record").alias("header"), F.min("record").alias("first"))
     rows = records.join(first, "path").where(F.col("record") >= F.col("first"))
-    return rows.select("path", "record", "first", "header", "text").mapInPandas(
-        _record_rows, "path string, record long, part int, text string, error string")
+    # records go to Python a hundred at a time: an Arrow batch holds 10 000, however long
+    parsed = F.udf(_record_rows, "array<struct<part:int,text:string,error:string>>", useArrow=False)
+    return rows.select("path", "record", F.explode(parsed("record", "first", "header", "text")).alias("r")).select(
+        "path", "record", "r.part", "r.text", "r.error")
 
 
 def load_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

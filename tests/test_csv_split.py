@@ -66,3 +66,10 @@ def test_no_header_bad_bytes_and_short_rows(spark, tmp_path):
     assert set(got) == {"short.csv", "bad.csv"}
     assert [t for _, t, _ in sorted(got["short.csv"])] == whole("a,b\n1\n1,2,3\n")
     assert [(t, e) for _, t, e in sorted(got["bad.csv"])] == [(None, "not valid UTF-8"), ("a: 2\nb: ok", None)]
+
+
+def test_records_go_to_python_in_small_batches(spark, tmp_path):
+    """An Arrow batch takes 10 000 records however long they are; pickled rows come a hundred at a time."""
+    (tmp_path / "t.csv").write_bytes(TEXT.encode())
+    plan = S.split_csv_documents(spark, str(tmp_path / "t.csv"))._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "InPandas" not in plan and "ArrowEvalPython" not in plan
