@@ -236,3 +236,18 @@ def test_chat_with_approximate_search(spark):
                    embed=_pick_vector(spark, sf, SLOT), cfg=ChatConfig(search=search))
         got[name] = {r.query_id: (r.outcome, r.chunk_ids) for r in out.select("query_id", "outcome", "chunk_ids").collect()}
     assert {k: v[0] for k, v in got["block"].items()} == {k: v[0] for k, v in got["lsh"].items()}
+
+
+def test_chat_cuts_and_embeds_chunks_and_reads_the_cache_once(spark, monkeypatch):
+    """What several steps read is kept before the first of them."""
+    from bastion.plans import chat as P
+    from bastion.registry.pipelines import _chat
+    kept, searched, looked = [], [], []
+    keep, retrieve, lookup = P.materialize, P.R.retrieve, P.C.lookup
+    files = lambda df: bool(df.inputFiles()) and all("/bastion/" in f for f in df.inputFiles())
+    monkeypatch.setattr(P, "materialize", lambda df: kept.append(df.columns) or keep(df))
+    monkeypatch.setattr(P.R, "retrieve", lambda q, c, *a, **kw: searched.append(files(c)) or retrieve(q, c, *a, **kw))
+    monkeypatch.setattr(P.C, "lookup", lambda q, e, **kw: looked.append(files(e)) or lookup(q, e, **kw))
+    _chat(spark, "/root/testdata/sf0.001")
+    assert searched == [True] and looked == [True]
+    assert ["chunk_id", "namespace", "vec"] in kept
