@@ -249,3 +249,39 @@ def test_live_entries_literal_as_of(spark):
                               "entry_id long, created_at timestamp_ntz")
     now = T0 + dt.timedelta(seconds=3600)
     assert sorted(r.entry_id for r in C.live_entries(e, now).collect()) == [2, 3]  # age == ttl is expired
+
+
+def test_kernel_memory_does_not_follow_the_block(spark):
+    """Besides the vectors a block takes a few MB at a time, and finds what sorting every score finds."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from bastion.operators.vectors import _kernel
+    rng = np.random.default_rng(3)
+    iv, qv = rng.standard_normal((20_000, 8)), rng.standard_normal((600, 8))
+    iv[100:130] = iv[99]  # ties
+    frame = lambda p, v: pd.DataFrame({f"__{p}": np.arange(len(v)), f"__{p}v": list(v), "__ts": np.zeros(len(v), int), "__t": np.arange(len(v))})
+    q, i = frame("q", qv), frame("i", iv)
+    tracemalloc.start()
+    got = _kernel(4, 6, True, None, None)(q, i)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round(unit(qv) @ unit(iv).T, 6)
+    s[np.arange(600), np.arange(600)] = -np.inf
+    want = np.argsort(-s, axis=1, kind="stable")[:, :4]
+    assert (got["__i"].to_numpy().reshape(600, 4) == want).all()
+
+
+def test_ttl_buckets_hold_every_live_entry_and_most_queries_probe_one(spark):
+    from pyspark.sql import functions as F
+
+    from bastion.operators.cache import _ttl_buckets
+    times = spark.range(600).select("id", (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(mins=(F.col("id") * 7).cast("int"))).alias("ts"))
+    q, e = _ttl_buckets(times, "ts", times.withColumnRenamed("id", "eid").withColumnRenamed("ts", "et"), "et", 3600)
+    assert q.count() <= 1.25 * 600 and e.count() == 600
+    age = F.timestamp_diff("MINUTE", F.col("et"), F.col("ts"))
+    met = {(r.id, r.eid) for r in q.join(e, "__tb").where((age > 0) & (age < 60)).select("id", "eid").collect()}
+    assert met == {(a, b) for a in range(600) for b in range(a) if 7 * (a - b) < 60}
